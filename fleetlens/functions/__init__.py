@@ -1,0 +1 @@
+from fleetlens.functions.text import *  # noqa: F401,F403
