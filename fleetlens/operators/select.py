@@ -43,7 +43,7 @@ def match_local(
     if isinstance(addresses, str):
         if mode == "exact":
             return hosts.where(F.col("hostname").isin(addresses.split()))
-        return hosts.where(F.lit(addresses).rlike(pattern))
+        return hosts.where(F.regexp_like(F.lit(addresses), pattern))
     keys = list(keys)
     if mode == "exact":
         tokens = X.drop_blank(F.split("addresses", r"\s+"))
@@ -51,7 +51,7 @@ def match_local(
         return hosts.join(single, [*keys, "hostname"], "left_semi")
     lists = addresses.select(*[F.col(k).alias(f"__{k}") for k in keys], "addresses")
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
-    condition = F.col("addresses").rlike(pattern)
+    condition = F.regexp_like("addresses", pattern)
     for test in same:
         condition = condition & test
     return hosts.join(lists, condition, "left_semi")
