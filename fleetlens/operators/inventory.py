@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions.text import variant_text
+from fleetlens.operators.skew import salted_join
 
 
 def server_rows(documents: DataFrame) -> DataFrame:
@@ -25,10 +26,13 @@ def service_rows(servers: DataFrame) -> DataFrame:
     blocks = servers.select(
         "inventory", "server_pos", "hostname", F.posexplode("services").alias("service_pos", "block")
     )
-    cfg = F.transform_values("block", lambda _, v: variant_text(v))
-    texts = blocks.withColumn("cfg", cfg).drop("block")
-    return texts.select(
-        "inventory", "server_pos", "hostname", "service_pos", F.col("cfg")["name"].alias("service"), "cfg"
+    return blocks.select(
+        "inventory",
+        "server_pos",
+        "hostname",
+        "service_pos",
+        variant_text(F.col("block")["name"]).alias("service"),
+        F.transform_values("block", lambda _, v: variant_text(v)).alias("cfg"),
     )
 
 
@@ -70,7 +74,7 @@ def host_services(hosts: DataFrame, services: DataFrame, keys=("inventory", "hos
     often, instead of repeating its rows.
     """
     listed = hosts.groupBy(*keys).agg(F.count("*").alias("times"))
-    return services.join(listed, list(keys), "inner")
+    return salted_join(services, listed, keys, ["server_pos", "service_pos"])
 
 
 def needs_backfill(servers: str = "servers", placeholders: dict[str, str] = C.BACKFILL_PLACEHOLDERS) -> Column:

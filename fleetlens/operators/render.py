@@ -54,7 +54,7 @@ def expand_units(resolved: DataFrame, service: str) -> DataFrame:
     )
 
 
-def _airflow_body(service: str) -> Column:
+def _airflow_body(service: str, unit: Column) -> Column:
     env_lines = F.array_join(
         F.transform(
             env_block(service),
@@ -63,14 +63,22 @@ def _airflow_body(service: str) -> Column:
         "",
     )
     return X.fill(
-        C.AIRFLOW_UNIT, user="SERVICE_USER", home="airflow_home", bin_dir="python_bin_dir", env_lines=env_lines
+        C.AIRFLOW_UNIT,
+        description=unit["description"],
+        command=unit["command"],
+        user="SERVICE_USER",
+        home="airflow_home",
+        bin_dir="python_bin_dir",
+        env_lines=env_lines,
     )
 
 
-def _spark_body(java_home: Column) -> Column:
-    is_worker = F.col("unit") == "spark-worker"
+def _spark_body(unit: Column, java_home: Column) -> Column:
+    is_worker = unit["unit"] == "spark-worker"
     return X.fill(
         C.SPARK_UNIT,
+        description=unit["description"],
+        command=unit["command"],
         user="SERVICE_USER",
         home="spark_home",
         java_home=java_home,
@@ -79,20 +87,40 @@ def _spark_body(java_home: Column) -> Column:
     )
 
 
+def _unit_documents(service: str, java_home: Column | None) -> Column:
+    java_home = java_home if java_home is not None else F.lit("")
+
+    def document(unit: Column) -> Column:
+        body = _spark_body(unit, java_home) if service == C.SPARK else _airflow_body(service, unit)
+        return F.struct(unit["unit"].alias("unit"), body.alias("body"))
+
+    return F.transform(unit_array(service), document)
+
+
+def _script(service: str, java_home: Column | None) -> Column:
+    if service == C.SPARK:
+        body = X.fill(C.SPARK_ENV, java_home=java_home if java_home is not None else F.lit(""))
+        return F.struct(F.lit("spark-env").alias("unit"), body.alias("body"))
+    body = X.fill(C.PROFILE, home="airflow_home", bin_dir="python_bin_dir")
+    return F.struct(F.lit("profile").alias("unit"), body.alias("body"))
+
+
 def render_units(resolved: DataFrame, service: str, java_home: Column | None = None) -> DataFrame:
     """One unit document per row. ``java_home`` is a machine fact, used by Spark units only."""
-    units = expand_units(resolved, service)
-    body = _spark_body(X.or_empty(java_home if java_home is not None else F.lit(None))) if service == C.SPARK else _airflow_body(service)
-    return units.select(*DOCUMENT_KEYS, "unit_pos", "unit", body.alias("body"))
+    return resolved.select(*DOCUMENT_KEYS, F.inline(_unit_documents(service, java_home)))
 
 
 def render_profile(resolved: DataFrame) -> DataFrame:
     """Shell profile of a resolved scheduler or worker row."""
-    body = X.fill(C.PROFILE, home="airflow_home", bin_dir="python_bin_dir")
-    return resolved.select(*DOCUMENT_KEYS, F.lit("profile").alias("unit"), body.alias("body"))
+    return resolved.select(*DOCUMENT_KEYS, F.inline(F.array(_script(C.WORKER, None))))
 
 
 def render_spark_env(resolved: DataFrame, java_home: Column) -> DataFrame:
     """Environment script of a resolved Spark row."""
-    body = X.fill(C.SPARK_ENV, java_home=java_home)
-    return resolved.select(*DOCUMENT_KEYS, F.lit("spark-env").alias("unit"), body.alias("body"))
+    return resolved.select(*DOCUMENT_KEYS, F.inline(F.array(_script(C.SPARK, java_home))))
+
+
+def render_all(resolved: DataFrame, service: str, java_home: Column | None = None) -> DataFrame:
+    """Every document of a resolved row, in one pass: its units and its script."""
+    documents = F.concat(_unit_documents(service, java_home), F.array(_script(service, java_home)))
+    return resolved.select(*DOCUMENT_KEYS, F.inline(documents))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import earlier_count, fill_forward, next_value
+from fleetlens.operators.skew import salted_join
 
 PIECE_HOSTS = 1000
 SEP = "\u0001"
@@ -29,6 +30,8 @@ def parse_run_lines(lines: DataFrame, ts_type: str = "timestamp_ntz") -> DataFra
     """Classify each line and pull out its parts; unknown lines stay, as OTHER.
 
     One pattern match per host line; lines that cannot be host lines are not matched at all.
+    The matched groups go through a one-element explode: a filter on a part of the line
+    then reads the groups instead of being rewritten into more pattern matches.
     """
     line = F.col("line")
     stamp = X.present(F.regexp_extract(line, C.STAMP_PATTERN, 1))
@@ -39,7 +42,7 @@ def parse_run_lines(lines: DataFrame, ts_type: str = "timestamp_ntz") -> DataFra
     groups = F.split(
         F.regexp_replace(line, C.HOST_PATTERN, SEP.join(f"${i}" for i in (1, 2, 3, 4, 5, 6))), SEP, 6
     )
-    staged = staged.withColumn("__g", F.when(msg.startswith("=== "), groups))
+    staged = staged.select("*", F.explode(F.array(F.when(msg.startswith("=== "), groups))).alias("__g"))
     is_host = F.size("__g") == 6
 
     def group(i: int) -> Column:
@@ -203,19 +206,21 @@ def failed_host_text(attempts: DataFrame, piece_hosts: int = PIECE_HOSTS) -> Dat
 
 def run_summary(outcomes: DataFrame, attempts: DataFrame, piece_hosts: int = PIECE_HOSTS) -> DataFrame:
     """Outcome rows with the message a run prints, cut into the pieces of ``failed_host_text``."""
-    text = failed_host_text(attempts, piece_hosts)
-    joined = outcomes.join(text, "run", "left").withColumn("piece", F.coalesce("piece", F.lit(0)))
-    ok = X.fill(C.SUMMARY_OK_FORMAT, total=F.col("total").cast("string"))
-    tail = X.fill(
-        C.SUMMARY_FAILED_END, succeeded=F.col("claimed").cast("string"), total=F.col("total").cast("string")
-    )
-    last_piece = F.expr(f"(failed - 1) div {piece_hosts}")
-    failed = F.concat(
-        F.when(F.col("piece") == 0, C.SUMMARY_FAILED_START).otherwise(""),
-        X.or_empty("hosts"),
-        F.when(F.col("piece") == last_piece, tail).otherwise(""),
+    total = F.col("total").cast("string")
+    clean = outcomes.where("failed = 0").withColumns(
+        {
+            "piece": F.lit(0).cast("bigint"),
+            "hosts": F.lit(None).cast("string"),
+            "message": X.fill(C.SUMMARY_OK_FORMAT, total=total),
+        }
     )
-    return joined.withColumn("message", F.when(F.col("failed") == 0, ok).otherwise(failed))
+    head = F.when(F.col("piece") == 0, C.SUMMARY_FAILED_START).otherwise("")
+    tail = X.fill(C.SUMMARY_FAILED_END, succeeded=F.col("claimed").cast("string"), total=total)
+    is_last = F.col("piece") == F.expr(f"(failed - 1) div {piece_hosts}")
+    pieces = salted_join(
+        failed_host_text(attempts, piece_hosts), outcomes.where("failed > 0"), ["run"], ["piece"]
+    ).withColumn("message", F.concat(head, F.col("hosts"), F.when(is_last, tail).otherwise("")))
+    return clean.unionByName(pieces)
 
 
 def parse_service_lines(lines: DataFrame, ts_type: str = "timestamp_ntz") -> DataFrame:

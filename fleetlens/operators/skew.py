@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 4
 SALT = "__salt"
 
 
 def salted_join(big: DataFrame, per_key: DataFrame, keys, spread, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Equi-join that spreads each key of ``big`` over ``salts`` tasks.
+    """Equi-join that spreads each key of ``big`` over ``salts`` partitions.
 
-    ``per_key`` holds one row per key and is repeated once per salt. The adaptive skew
-    join cannot split a side that was aggregated on the join keys; the salt can.
+    ``per_key`` holds one row per key and is repeated once per salt. A table that was
+    aggregated on the join keys would be joined without a new exchange, and then the
+    adaptive skew join cannot act. With the salt both sides get their own exchange, so it
+    splits whatever a few salts leave too large.
     """
     keys = list(keys)
     salted = big.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))

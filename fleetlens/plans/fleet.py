@@ -19,19 +19,15 @@ def services_of(documents: DataFrame) -> DataFrame:
 def fleet_documents(services: DataFrame, java_home: Column) -> DataFrame:
     """Every rendered document of every service: units, profiles, environment scripts.
 
-    Narrow from the scan to the sink.
+    Narrow from the scan to the sink. Over a table of services partitioned by service
+    (``land_services``) each of the three branches reads its own rows only.
     """
-    columns = [*render.DOCUMENT_KEYS, "unit", "body"]
-    out = []
-    for service in (C.SCHEDULER, C.WORKER):
-        rows = resolve(services, service)
-        out += [render.render_units(rows, service), render.render_profile(rows)]
-    rows = resolve(services, C.SPARK)
-    out += [render.render_units(rows, C.SPARK, java_home), render.render_spark_env(rows, java_home)]
-    return reduce(DataFrame.unionByName, [d.select(*columns) for d in out])
+    return reduce(
+        DataFrame.unionByName,
+        [render.render_all(resolve(services, s), s, java_home) for s in (C.SCHEDULER, C.WORKER, C.SPARK)],
+    )
 
 
-def failure_report(lines: DataFrame) -> DataFrame:
+def failure_report(parsed: DataFrame) -> DataFrame:
     """Which hosts failed or never finished in each run, why, and how long it took."""
-    attempts = runlog.host_attempts(runlog.parse_run_lines(lines))
-    return attempts.where("status != 'SUCCESS'").drop("part", "n")
+    return runlog.host_attempts(parsed).where("status != 'SUCCESS'").drop("part", "n")

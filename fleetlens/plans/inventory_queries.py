@@ -106,9 +106,8 @@ def config_entries(spark, sf_dir):
 @query("land_config_entries", WITH + ENTRIES_SQL)
 def land_config_entries(spark, sf_dir):
     """Entries written as a table by service, and read back."""
-    path = scratch_path(spark, "entries")
-    source.land_config_entries(I.config_entries(services(spark, sf_dir)), path)
-    return resolve.mask_secrets(spark.read.parquet(path))
+    landed = source.land_config_entries(I.config_entries(services(spark, sf_dir)), scratch_path(spark, "entries"))
+    return resolve.mask_secrets(landed)
 
 
 @query(
@@ -401,7 +400,7 @@ def _render_query(name, service):
     def run(spark, sf_dir):
         rows = resolve.resolve(services(spark, sf_dir), service)
         units = render.render_units(rows, service, F.lit(JAVA_HOME))
-        return resolve.mask_secrets(units.drop("unit_pos"))
+        return resolve.mask_secrets(units)
 
     return run
 
@@ -443,7 +442,8 @@ def _all_documents(service):
 def write_documents(spark, sf_dir):
     """All documents of the fleet, written and read back."""
     path = scratch_path(spark, "rendered")
-    sinks.write_documents(fleet_documents(services(spark, sf_dir), F.lit(JAVA_HOME)), path)
+    landed = source.land_services(services(spark, sf_dir), scratch_path(spark, "services"))
+    sinks.write_documents(fleet_documents(landed, F.lit(JAVA_HOME)), path)
     return resolve.mask_secrets(spark.read.parquet(path))
 
 
@@ -531,7 +531,8 @@ def consistency_check(spark, sf_dir):
     + f"SELECT {PLACE}, service, key, sha256(value) AS value_hash FROM shared JOIN report USING (inventory, key) WHERE NOT consistent",
 )
 def inconsistent_blocks(spark, sf_dir):
-    return validate.inconsistent_blocks(services(spark, sf_dir))
+    documents = source.land_inventory(samples.inventories(spark, sf_dir), scratch_path(spark, "documents"))
+    return validate.inconsistent_blocks(services_of(documents))
 
 
 @query(

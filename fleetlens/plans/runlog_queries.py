@@ -12,7 +12,7 @@ from fleetlens.plans.fleet import failure_report
 from fleetlens.plans.registry import query
 from fleetlens.plans.samples import table
 from fleetlens.sources import logs, sinks
-from fleetlens.sources.scratch import scratch_path
+from fleetlens.sources.scratch import scratch_path, stored
 from fleetlens.streaming import logs as streaming
 
 # The events as parsed lines: one row per event, then one summary row per day.
@@ -47,6 +47,15 @@ def parsed_lines(spark, sf_dir):
     return runlog.parse_run_lines(samples.event_lines(spark, sf_dir))
 
 
+def landed_hosts(spark, sf_dir):
+    """Parsed host lines, written once: the ordered operators read them twice."""
+    return stored(runlog.host_lines(parsed_lines(spark, sf_dir)), "host-lines")
+
+
+def landed_attempts(spark, sf_dir):
+    return stored(runlog.host_attempts(landed_hosts(spark, sf_dir)), "attempts")
+
+
 @query(
     "parse_run_log",
     EVENTS
@@ -66,8 +75,8 @@ def parse_run_log(spark, sf_dir):
 )
 def read_run_logs(spark, sf_dir):
     """Run logs written as files and read back line by line, with their line numbers."""
-    lines = logs.read_run_logs(spark, samples.run_files(spark, sf_dir), samples.RUN_FOLDER_PATTERN)
-    numbered = number_lines(runlog.parse_run_lines(lines))
+    files, out = samples.run_files(spark, sf_dir), scratch_path(spark, "run-lines")
+    numbered = number_lines(logs.land_run_logs(spark, files, out, samples.RUN_FOLDER_PATTERN))
     return numbered.select("run", "run_ts", "line_no", "kind", "ts", "host", "status", "command")
 
 
@@ -79,7 +88,8 @@ def read_run_logs(spark, sf_dir):
       FROM (SELECT run, n, kind, host FROM lines UNION ALL SELECT run, n, 'SUMMARY', NULL FROM ends) AS a) AS b""",
 )
 def attribute_lines(spark, sf_dir):
-    return runlog.attribute_lines(parsed_lines(spark, sf_dir)).select("run", "n", "kind", "owner")
+    parsed = stored(parsed_lines(spark, sf_dir), "run-lines")
+    return runlog.attribute_lines(parsed).select("run", "n", "kind", "owner")
 
 
 @query(
@@ -90,7 +100,7 @@ def attribute_lines(spark, sf_dir):
       FROM lines) AS b WHERE kind IN ('STEP_OK', 'STEP_ERR') AND owner IS NOT NULL""",
 )
 def step_results(spark, sf_dir):
-    return runlog.step_results(parsed_lines(spark, sf_dir)).drop("part")
+    return runlog.step_results(stored(parsed_lines(spark, sf_dir), "run-lines")).drop("part")
 
 
 @query(
@@ -100,17 +110,17 @@ def step_results(spark, sf_dir):
         lead(ts) OVER (PARTITION BY run, host ORDER BY n)) AS seconds FROM lines WHERE host IS NOT NULL) AS t WHERE status IS NULL""",
 )
 def phase_durations(spark, sf_dir):
-    return runlog.phase_durations(parsed_lines(spark, sf_dir)).drop("part")
+    return runlog.phase_durations(landed_hosts(spark, sf_dir)).drop("part")
 
 
 @query("host_attempts", EVENTS + f"SELECT {ATTEMPT} FROM attempts")
 def host_attempts(spark, sf_dir):
-    return runlog.host_attempts(parsed_lines(spark, sf_dir)).drop("part", "n")
+    return runlog.host_attempts(landed_hosts(spark, sf_dir)).drop("part", "n")
 
 
 @query("failure_report", EVENTS + f"SELECT {ATTEMPT} FROM attempts WHERE status <> 'SUCCESS'")
 def failures(spark, sf_dir):
-    return failure_report(samples.event_lines(spark, sf_dir))
+    return failure_report(landed_hosts(spark, sf_dir))
 
 
 @query(
@@ -132,7 +142,7 @@ def steps_reached(spark, sf_dir):
     EVENTS + "SELECT run, row_number() OVER (PARTITION BY run ORDER BY n) AS idx, host FROM attempts WHERE status = 'FAILED'",
 )
 def failed_hosts(spark, sf_dir):
-    return runlog.failed_hosts(runlog.host_attempts(parsed_lines(spark, sf_dir)))
+    return runlog.failed_hosts(landed_attempts(spark, sf_dir))
 
 
 OUTCOMES = """, outcomes AS (SELECT run, count(*) AS total, count(*) FILTER (status = 'FAILED') AS failed,
@@ -148,7 +158,7 @@ OUTCOME = """outcomes.run AS run, outcomes.total AS total, failed, succeeded, ou
     + f"SELECT {OUTCOME}, ends.total AS logged_k, ends.total AS logged_total FROM outcomes JOIN ends ON ends.run = outcomes.run",
 )
 def run_outcomes(spark, sf_dir):
-    parsed = parsed_lines(spark, sf_dir)
+    parsed = stored(parsed_lines(spark, sf_dir), "run-lines")
     return runlog.run_outcomes(runlog.host_attempts(parsed), parsed)
 
 
@@ -165,7 +175,7 @@ def run_outcomes_of_selected(spark, sf_dir):
     days = samples.event_lines(spark, sf_dir).select("run").distinct()
     hosts = table(spark, sf_dir, "supplier").select(F.lit(1).alias("all"), F.concat(F.lit("h"), "s_suppkey").alias("hostname"))
     selected = days.withColumn("all", F.lit(1)).join(hosts, "all").drop("all")
-    return runlog.run_outcomes(runlog.host_attempts(parsed_lines(spark, sf_dir)), selected=selected)
+    return runlog.run_outcomes(runlog.host_attempts(landed_hosts(spark, sf_dir)), selected=selected)
 
 
 @query(
@@ -182,7 +192,7 @@ def run_outcomes_of_selected(spark, sf_dir):
       FROM outcomes LEFT JOIN pieces ON pieces.run = outcomes.run""",
 )
 def run_summary(spark, sf_dir):
-    attempts = runlog.host_attempts(parsed_lines(spark, sf_dir))
+    attempts = landed_attempts(spark, sf_dir)
     return runlog.run_summary(runlog.run_outcomes(attempts), attempts, piece_hosts=50)
 
 

@@ -36,17 +36,22 @@ def _normalise(documents: DataFrame) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
-    """One row per document: ``inventory`` (file path), ``_notes``, ``servers``, ``_corrupt_record``.
+    """One row per document: ``inventory``, ``_notes``, ``servers``, ``_corrupt_record``.
 
-    ``multiline`` reads one document per file (one task per file). JSON Lines input
-    (``multiline=False``) is splittable; there a file holds many documents.
+    ``multiline`` reads one document per file (one task per file), named by its path. JSON
+    Lines input (``multiline=False``) is splittable; a document is then named by path and
+    place in the scan. That name holds for one scan: land such documents before any job
+    that reads them twice.
     """
     raw = (
         spark.read.schema(DOCUMENT_SCHEMA)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path, multiLine=multiline)
     )
-    return _normalise(raw.select(F.col("_metadata.file_path").alias("inventory"), "*"))
+    name = F.col("_metadata.file_path")
+    if not multiline:
+        name = F.concat(name, F.lit("#"), F.monotonically_increasing_id())
+    return _normalise(raw.select(name.alias("inventory"), "*"))
 
 
 def parse_inventory(texts: DataFrame, text: str = "text", inventory: str = "inventory") -> DataFrame:
@@ -61,6 +66,19 @@ def write_inventory(documents: DataFrame, path: str) -> None:
     documents.where("servers IS NOT NULL").select("_notes", "servers").write.mode("errorifexists").json(path)
 
 
-def land_config_entries(entries: DataFrame, path: str) -> None:
+def land_inventory(documents: DataFrame, path: str) -> DataFrame:
+    """Parquet copy of the documents, parsed once, with fixed names."""
+    documents.write.mode("errorifexists").parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
+def land_services(services: DataFrame, path: str) -> DataFrame:
+    """Parquet copy of the service rows by service. ``resolve`` then reads its own folder only."""
+    services.write.mode("errorifexists").partitionBy("service").parquet(path)
+    return services.sparkSession.read.schema(services.schema).parquet(path)
+
+
+def land_config_entries(entries: DataFrame, path: str) -> DataFrame:
     """Parquet copy of the flat entries. Lookups by service read that folder only."""
     entries.write.mode("errorifexists").partitionBy("service").parquet(path)
+    return entries.sparkSession.read.schema(entries.schema).parquet(path)

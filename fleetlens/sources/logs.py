@@ -3,6 +3,9 @@
 A run log may be of any size: it is never held as one value. ``part`` names the piece of a
 file that one task reads (bounded by ``spark.sql.files.maxPartitionBytes``) and ``n`` orders
 the lines inside it, so (``part``, ``n``) orders the lines of a run without any shuffle.
+
+Where a file is cut can change from scan to scan, when executors come or go. The ordered
+operators read their input twice, so run them over landed lines, where the place is data.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions.text import present, run_time
+from fleetlens.operators.runlog import parse_run_lines
 
 
 def with_run(lines: DataFrame, run_pattern: str = C.RUN_FILE_PATTERN) -> DataFrame:
@@ -49,6 +53,16 @@ def read_run_logs(
     return number_in_file(with_run(text_lines(reader, path), run_pattern), keep_blank)
 
 
+def land_run_logs(
+    spark: SparkSession, path, out: str, run_pattern: str = C.RUN_FILE_PATTERN, mode: str = "errorifexists"
+) -> DataFrame:
+    """Read and parse run logs once, into a table by run date. Later jobs read it, not the texts."""
+    parsed = parse_run_lines(read_run_logs(spark, path, run_pattern))
+    dated = parsed.withColumn("run_date", F.col("run_ts").cast("date"))
+    dated.write.mode(mode).partitionBy("run_date").parquet(out)
+    return spark.read.schema(dated.schema).parquet(out)
+
+
 def read_service_logs(spark: SparkSession, path) -> DataFrame:
     """Lines of service logs: ``file, line``. Each line stands for itself."""
     reader = spark.read.option("recursiveFileLookup", "true")

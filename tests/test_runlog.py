@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import runlog as R
 from fleetlens.operators.ordered import number_lines
-from fleetlens.sources.logs import read_run_logs, read_service_logs
+from fleetlens.sources.logs import land_run_logs, read_run_logs, read_service_logs
 
 MIXED = """\
 [2026-01-02 10:00:00] === 10.0.0.1 (control server itself) === running locally
@@ -49,20 +49,27 @@ RUNS = {"02012026100000": MIXED, "02022026090000": ALL_OK, "15012026080000": TWI
 
 
 @pytest.fixture(scope="module", params=["whole files", "many pieces"])
-def lines(request, spark, tmp_path_factory):
+def files(request, spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("runs")
     for run, text in RUNS.items():
         (folder / f"deploy.{run}.log").write_text(text)
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     if request.param == "many pieces":
         spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
-    yield read_run_logs(spark, str(folder))
+    yield read_run_logs(spark, str(folder)), str(folder)
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 @pytest.fixture(scope="module")
-def parsed(lines):
-    return R.parse_run_lines(lines)
+def parsed(spark, files, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("landed") / "runs")
+    table = land_run_logs(spark, files[1], out)
+    return table.drop("run_date").coalesce(4)
+
+
+@pytest.fixture(scope="module")
+def lines(files):
+    return files[0]
 
 
 def rows(df, *order):
