@@ -37,10 +37,14 @@ def service_rows(servers: DataFrame) -> DataFrame:
 
 
 def config_entries(services: DataFrame) -> DataFrame:
-    """One row per (host, service, key)."""
+    """One row per (host, service, key).
+
+    The outer explode, with its empty rows dropped, computes ``cfg`` once; a plain explode
+    would compute it a second time to test that it is not empty.
+    """
     return services.select(
-        "inventory", "server_pos", "hostname", "service_pos", "service", F.explode("cfg").alias("key", "value")
-    )
+        "inventory", "server_pos", "hostname", "service_pos", "service", F.explode_outer("cfg").alias("key", "value")
+    ).where("key IS NOT NULL")
 
 
 def has_key(key: str, cfg: str = "cfg") -> Column:

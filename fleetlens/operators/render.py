@@ -107,7 +107,8 @@ def _script(service: str, java_home: Column | None) -> Column:
 
 def render_units(resolved: DataFrame, service: str, java_home: Column | None = None) -> DataFrame:
     """One unit document per row. ``java_home`` is a machine fact, used by Spark units only."""
-    return resolved.select(*DOCUMENT_KEYS, F.inline(_unit_documents(service, java_home)))
+    documents = _unit_documents(service, java_home)
+    return resolved.select(*DOCUMENT_KEYS, F.inline_outer(documents)).where("unit IS NOT NULL")
 
 
 def render_profile(resolved: DataFrame) -> DataFrame:
@@ -123,4 +124,4 @@ def render_spark_env(resolved: DataFrame, java_home: Column) -> DataFrame:
 def render_all(resolved: DataFrame, service: str, java_home: Column | None = None) -> DataFrame:
     """Every document of a resolved row, in one pass: its units and its script."""
     documents = F.concat(_unit_documents(service, java_home), F.array(_script(service, java_home)))
-    return resolved.select(*DOCUMENT_KEYS, F.inline(documents))
+    return resolved.select(*DOCUMENT_KEYS, F.inline_outer(documents)).where("unit IS NOT NULL")

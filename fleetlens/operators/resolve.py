@@ -61,7 +61,8 @@ def resolved_entries(services: DataFrame, rules=C.RULES) -> DataFrame:
             F.when(own.isNotNull(), "set").when(fallback.isNotNull(), "default").otherwise("missing").alias("origin"),
         )
 
-    return services.select(*ROW_KEYS, F.inline(F.transform(rule_array(rules), effective)))
+    found = F.transform(rule_array(rules), effective)
+    return services.select(*ROW_KEYS, F.inline_outer(found)).where("key IS NOT NULL")
 
 
 def _airflow_columns(log_name: str) -> list[dict[str, Column]]:

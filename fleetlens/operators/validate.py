@@ -38,13 +38,13 @@ def _failing(rules) -> Column:
 
 def violations(services: DataFrame, rules=C.RULES) -> DataFrame:
     """Every failing rule of every service block."""
-    return services.select(*ROW_KEYS, F.inline(_failing(rules)))
+    return services.select(*ROW_KEYS, F.inline_outer(_failing(rules))).where("key IS NOT NULL")
 
 
 def first_violation(services: DataFrame, rules=C.RULES) -> DataFrame:
     """The failing rule a service stops at."""
-    first = F.try_element_at(_failing(rules), F.lit(1))
-    return services.select(*ROW_KEYS, first.alias("v")).where("v IS NOT NULL").select(*ROW_KEYS, "v.*")
+    first = F.slice(_failing(rules), 1, 1)
+    return services.select(*ROW_KEYS, F.inline_outer(first)).where("key IS NOT NULL")
 
 
 def _shared_values(services: DataFrame, keys, among) -> DataFrame:

@@ -165,16 +165,16 @@ def run_outcomes(spark, sf_dir):
 @query(
     "run_outcomes_of_selected",
     EVENTS
-    + """, selected AS (SELECT run, count(*) AS total FROM (SELECT DISTINCT run FROM ev) AS r CROSS JOIN
-        (SELECT DISTINCT s_suppkey FROM supplier) AS s GROUP BY 1), """
-    + OUTCOMES.lstrip(", ")
+    + """, selected AS (SELECT run, count(*) FILTER (event_type <> 'click') AS total FROM ev GROUP BY 1) """
+    + OUTCOMES
     + f"SELECT {OUTCOME.replace('outcomes.total', 'selected.total')} FROM outcomes JOIN selected ON selected.run = outcomes.run",
 )
 def run_outcomes_of_selected(spark, sf_dir):
-    """Totals from a selected host list: each run was to cover one host per supplier."""
-    days = samples.event_lines(spark, sf_dir).select("run").distinct()
-    hosts = table(spark, sf_dir, "supplier").select(F.lit(1).alias("all"), F.concat(F.lit("h"), "s_suppkey").alias("hostname"))
-    selected = days.withColumn("all", F.lit(1)).join(hosts, "all").drop("all")
+    """Totals from a selected host list: one host per event of the day, a blank one per click."""
+    events = table(spark, sf_dir, "events")
+    day = X.run_id(F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    host = F.when(F.col("event_type") == "click", "").otherwise(F.expr(samples.HOST))
+    selected = events.select(day.alias("run"), host.alias("hostname"))
     return runlog.run_outcomes(runlog.host_attempts(landed_hosts(spark, sf_dir)), selected=selected)
 
 
@@ -236,12 +236,12 @@ def level_counts(spark, sf_dir):
 
 @query(
     "stream_attempts",
-    EVENTS + f"SELECT {ATTEMPT} FROM attempts",
+    EVENTS.replace("strftime(ts, '%d%m%Y') || '000000'", samples.SHORT_RUN) + f"SELECT {ATTEMPT} FROM attempts",
 )
 def stream_attempts(spark, sf_dir):
     """Attempts of arriving run-log files, one file per run, written batch by batch."""
     files = scratch_path(spark, "arriving")
-    lines = samples.event_lines(spark, sf_dir)
+    lines = samples.event_lines(spark, sf_dir, samples.SHORT_RUN)
     lines.repartition("run").sortWithinPartitions("run", "n").select("run", "line").write.partitionBy("run").text(files)
     out = scratch_path(spark, "attempts")
     stream = streaming.stream_lines(spark, files, max_files=8)

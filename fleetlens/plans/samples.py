@@ -159,10 +159,18 @@ def blocks_sql() -> str:
 HOST = "'10.0.' || CAST(floor(user_id / 256.0) AS BIGINT) || '.' || (user_id % 256)"
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``run, part, n, line`` with one line per event, and one summary line per run."""
-    events = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-    events = events.withColumn("run", X.run_id("day"))
+SHORT_RUN = f"lpad(CAST(CAST(floor(event_id / {FILE_EVENTS}.0) AS BIGINT) AS STRING), 14, '0')"
+
+
+def event_lines(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
+    """``run, part, n, line`` with one line per event, and one summary line per run.
+
+    A run is a day, of any size, unless ``run`` says otherwise (``SHORT_RUN``: a fixed
+    number of events).
+    """
+    events = table(spark, sf_dir, "events")
+    day = X.run_id(F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    events = events.withColumn("run", F.expr(run) if run else day)
     log = F.concat(F.lit("./deploy."), F.col("run"), F.lit(".log"))
     host = F.expr(HOST)
     reason = F.expr("element_at(array('local', 'SSH connect / mkdir', 'scp', 'remote install'), int(user_id % 4 + 1))")

@@ -111,7 +111,7 @@ def test_worker_unit_document(spark):
 
 def test_spark_unit_documents(spark):
     services = services_of(spark, ("10.0.0.4", C.SPARK, {"DiskPath": "/d", "WORKER_MEMORY": "4g"}))
-    rows = render.render_units(resolve.resolve(services, C.SPARK), C.SPARK, F.lit("/jvm")).orderBy("unit_pos").collect()
+    rows = render.render_units(resolve.resolve(services, C.SPARK), C.SPARK, F.lit("/jvm")).orderBy("unit").collect()
     tail = "Restart=always\nRestartSec=5s\n[Install]\nWantedBy=multi-user.target\n"
     env = 'Environment="JAVA_HOME=/jvm"\nEnvironment="SPARK_HOME=/d/apps/spark"\n'
     assert [r.unit for r in rows] == ["spark-master", "spark-worker"]
@@ -250,7 +250,7 @@ def test_select_hosts_by_table(spark, tmp_path):
     [
         ("172.31.0.85", True, True), ("31.0.85", False, True), ("172.31.0.8", False, False), ("10.0.0.2", True, True),
         ("10x0.0.2", False, False), ("172.31.0", False, True), ("172+31.0.85", False, False), ("1.0.0.2", False, False),
-        ("10.0.0.", False, True), ("17.31", False, False), ("31.0", False, True),
+        ("10.0.0.", False, False), ("10.0.0.2.", False, True), ("17.31", False, False), ("31.0", False, True),
     ],
 )
 def test_match_local(spark, host, exact, loose):
