@@ -23,20 +23,22 @@ def with_part(df: DataFrame, n: str = "n", rows: int = PART_ROWS) -> DataFrame:
     return df.withColumn("part", F.expr(f"{n} div {rows}"))
 
 
-def _carried(df: DataFrame, keys: list[str], ends: Column, across, part: str) -> DataFrame:
-    """``df`` with CARRY: ``across`` applied over the per-piece aggregate ``ends``."""
-    pieces = df.groupBy(*keys, part).agg(ends.alias(CARRY))
-    carry = pieces.withColumn(CARRY, across(CARRY, Window.partitionBy(*keys).orderBy(part)))
-    return carry
+def _over_pieces(pieces: DataFrame, keys: list[str], across, part: str) -> DataFrame:
+    """One row per (group, piece), its CARRY replaced by ``across`` over the group's pieces."""
+    return pieces.withColumn(CARRY, across(CARRY, Window.partitionBy(*keys).orderBy(part)))
 
 
 def fill_forward(df: DataFrame, column: str, keys: list[str], out: str, part="part", order="n") -> DataFrame:
-    """Last non-NULL value of ``column`` at or above the row."""
+    """Last non-NULL value of ``column`` at or above the row.
+
+    The last value of each piece is looked up among the rows that have one; the list of
+    pieces itself needs no more than a hash aggregate of the keys.
+    """
     here = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    carry = _carried(
-        df,
+    ends = df.where(F.col(column).isNotNull()).groupBy(*keys, part).agg(F.max_by(column, order).alias(CARRY))
+    carry = _over_pieces(
+        df.select(*keys, part).distinct().join(ends, [*keys, part], "left"),
         keys,
-        F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))),
         lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         part,
     )
@@ -51,10 +53,9 @@ def fill_forward(df: DataFrame, column: str, keys: list[str], out: str, part="pa
 def earlier_count(df: DataFrame, condition: Column, keys: list[str], out: str, part="part", order="n") -> DataFrame:
     """Number of earlier rows of the group that meet ``condition``."""
     here = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = _carried(
-        df,
+    carry = _over_pieces(
+        df.groupBy(*keys, part).agg(F.count_if(condition).alias(CARRY)),
         keys,
-        F.count_if(condition),
         lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         part,
     )
@@ -69,7 +70,8 @@ def earlier_count(df: DataFrame, condition: Column, keys: list[str], out: str, p
 def next_value(df: DataFrame, column: str, keys: list[str], out: str, part="part", order="n") -> DataFrame:
     """``column`` of the row that follows in the group."""
     here = Window.partitionBy(*keys, part).orderBy(order)
-    carry = _carried(df, keys, F.min_by(column, order), lambda c, w: F.lead(c).over(w), part)
+    firsts = df.groupBy(*keys, part).agg(F.min_by(column, order).alias(CARRY))
+    carry = _over_pieces(firsts, keys, lambda c, w: F.lead(c).over(w), part)
     last_here = "__last"
     return (
         df.withColumn(out, F.lead(column).over(here))

@@ -26,6 +26,12 @@ def _stage(phase: Column) -> Column:
     return out
 
 
+def _with_groups(df: DataFrame, line: Column, pattern: str, n: int, candidate: Column) -> DataFrame:
+    """Add ``__g``: the groups of one match of ``pattern``, or the whole line if it does not match."""
+    joined = F.regexp_replace(line, pattern, SEP.join(f"${i}" for i in range(1, n + 1)))
+    return df.select("*", F.explode(F.array(F.when(candidate, F.split(joined, SEP, n)))).alias("__g"))
+
+
 def parse_run_lines(lines: DataFrame, ts_type: str = "timestamp_ntz") -> DataFrame:
     """Classify each line and pull out its parts; unknown lines stay, as OTHER.
 
@@ -34,16 +40,14 @@ def parse_run_lines(lines: DataFrame, ts_type: str = "timestamp_ntz") -> DataFra
     then reads the groups instead of being rewritten into more pattern matches.
     """
     line = F.col("line")
-    stamp = X.present(F.regexp_extract(line, C.STAMP_PATTERN, 1))
+    stamp = F.regexp_extract(line, C.STAMP_PATTERN, 1)
     staged = lines.withColumn("__stamp", F.when(line.startswith("["), stamp))
-    message = F.when(F.col("__stamp").isNotNull(), F.substr(line, F.lit(23)))
+    message = F.when(F.col("__stamp") != "", F.substr(line, F.lit(23)))
     staged = staged.withColumn("__msg", message)
     msg = F.col("__msg")
-    groups = F.split(
-        F.regexp_replace(line, C.HOST_PATTERN, SEP.join(f"${i}" for i in (1, 2, 3, 4, 5, 6))), SEP, 6
-    )
-    staged = staged.select("*", F.explode(F.array(F.when(msg.startswith("=== "), groups))).alias("__g"))
-    is_host = F.size("__g") == 6
+    staged = _with_groups(staged, line, C.HOST_PATTERN, 6, msg.startswith("=== "))
+    # An unmatched line comes back whole, so its first piece holds the blanks of the stamp.
+    is_host = (F.size("__g") == 6) & ~F.contains(F.col("__g")[0], F.lit(" "))
 
     def group(i: int) -> Column:
         return F.when(is_host, X.present(F.col("__g")[i]))
@@ -133,8 +137,12 @@ def phase_durations(parsed: DataFrame) -> DataFrame:
 
 
 def step_results(parsed: DataFrame) -> DataFrame:
-    """Finished steps with their host: ``run, host, part, n, command, failed``."""
-    owned = attribute_lines(parsed).where("kind IN ('STEP_OK', 'STEP_ERR') AND owner IS NOT NULL")
+    """Finished steps with their host: ``run, host, part, n, command, failed``.
+
+    Only host lines and step lines are moved; the tool output between them stays behind.
+    """
+    needed = parsed.where("host IS NOT NULL OR kind IN ('STEP_OK', 'STEP_ERR')")
+    owned = attribute_lines(needed).where("kind IN ('STEP_OK', 'STEP_ERR') AND owner IS NOT NULL")
     return owned.select(
         "run", F.col("owner").alias("host"), "part", "n", "command", (F.col("kind") == "STEP_ERR").alias("failed")
     )
@@ -226,18 +234,16 @@ def run_summary(outcomes: DataFrame, attempts: DataFrame, piece_hosts: int = PIE
 def parse_service_lines(lines: DataFrame, ts_type: str = "timestamp_ntz") -> DataFrame:
     """``ts, level, message`` of service-log lines; tool output keeps a NULL level."""
     line = F.col("line")
-
-    def group(i: int) -> Column:
-        return F.when(line.startswith("["), F.regexp_extract(line, C.SERVICE_LINE_PATTERN, i))
-
-    level = X.present(group(2))
-    return lines.withColumns(
+    staged = _with_groups(lines, line, C.SERVICE_LINE_PATTERN, 3, line.startswith("["))
+    group = F.col("__g")
+    matched = (F.size(group) == 3) & ~group[0].startswith("[")
+    return staged.withColumns(
         {
-            "ts": X.present(group(1)).try_cast(ts_type),
-            "level": level,
-            "message": F.when(level.isNotNull(), group(3)).otherwise(line),
+            "ts": F.when(matched, group[0]).try_cast(ts_type),
+            "level": F.when(matched, group[1]),
+            "message": F.when(matched, group[2]).otherwise(line),
         }
-    )
+    ).drop("__g")
 
 
 def level_counts(parsed: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def run_outcomes(spark, sf_dir):
 def run_outcomes_of_selected(spark, sf_dir):
     """Totals from a selected host list: one host per event of the day, a blank one per click."""
     events = table(spark, sf_dir, "events")
-    day = X.run_id(F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    day = X.run_id(F.to_date("ts").cast("timestamp_ntz"))
     host = F.when(F.col("event_type") == "click", "").otherwise(F.expr(samples.HOST))
     selected = events.select(day.alias("run"), host.alias("hostname"))
     return runlog.run_outcomes(runlog.host_attempts(landed_hosts(spark, sf_dir)), selected=selected)

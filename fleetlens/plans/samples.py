@@ -169,7 +169,7 @@ def event_lines(spark: SparkSession, sf_dir: str, run: str | None = None) -> Dat
     number of events).
     """
     events = table(spark, sf_dir, "events")
-    day = X.run_id(F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    day = X.run_id(F.to_date("ts").cast("timestamp_ntz"))
     events = events.withColumn("run", F.expr(run) if run else day)
     log = F.concat(F.lit("./deploy."), F.col("run"), F.lit(".log"))
     host = F.expr(HOST)

@@ -135,6 +135,46 @@ def test_seconds_do_not_depend_on_the_session_zone(spark, parsed):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+# Stamps of two whole runs: per host, its first line, its phase lines, and its result line.
+KNOWN = {
+    "25092026162429": [
+        ["16:24:29", "16:27:31"],
+        ["16:27:31", "16:27:32", "16:27:32", "16:30:06"],
+        ["16:30:06", "16:30:06", "16:30:06", "16:32:34"],
+        ["16:32:34", "16:32:35", "16:32:35", "16:33:21"],
+    ],
+    "26092026105339": [
+        ["10:53:39", "10:55:11"],
+        ["10:55:11", "10:55:12", "10:55:12", "10:58:11"],
+        ["10:58:11", "10:58:11", "10:58:12", "11:00:48"],
+        ["11:00:48", "11:00:49", "11:00:49", "11:01:36"],
+    ],
+}
+
+
+def test_known_durations(spark):
+    phases = ["ensuring remote directory exists", "copying settings files", "running installer remotely"]
+    lines = []
+    for run, hosts in KNOWN.items():
+        day = f"{run[4:8]}-{run[2:4]}-{run[0:2]}"
+        for i, stamps in enumerate(hosts):
+            names = phases if i else ["running locally"]
+            marker = "" if i else " (control server itself)"
+            texts = [f"=== h{i}{marker} === {p}" for p in names] + [f"=== h{i}: SUCCESS ==="]
+            lines += [(run, f"[{day} {s}] {t}") for s, t in zip(stamps, texts, strict=True)]
+        lines.append((run, f"[{day} {hosts[-1][-1]}] Deployment complete: 4/4 hosts succeeded."))
+    rows_in = [(run, i // 5, i, line) for i, (run, line) in enumerate(lines)]
+    parsed = R.parse_run_lines(spark.createDataFrame(rows_in, "run string, part long, n long, line string"))
+    attempts = R.host_attempts(parsed)
+    seconds = [r.seconds for r in attempts.orderBy("started").collect()]
+    assert seconds == [182, 155, 148, 47, 92, 180, 157, 48]
+    assert (sum(seconds[:4]), sum(seconds[4:])) == (532, 477)
+    remote = R.phase_durations(parsed).where("phase LIKE '%remotely'").orderBy("n")
+    assert [r.seconds for r in remote.collect()] == [154, 148, 46, 179, 156, 47]
+    outcome = R.run_outcomes(attempts, parsed).select("total", "succeeded", "logged_k", "logged_total").collect()
+    assert [tuple(r) for r in outcome] == [(4, 4, 4, 4)] * 2
+
+
 def test_bare_lines_belong_to_the_host_above(parsed):
     owned = number_lines(R.attribute_lines(parsed)).where("host IS NULL")
     got = rows(owned.select("run", "line_no", "kind", "owner"), "run", "line_no")
