@@ -12,17 +12,17 @@ from fleetlens import constants as C
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _col(c) -> Column:
+def column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def present(c) -> Column:
     """NULL for a missing or empty text, else the text."""
-    return F.nullif(_col(c), F.lit(""))
+    return F.nullif(column(c), F.lit(""))
 
 
 def or_empty(c) -> Column:
-    return F.coalesce(_col(c), F.lit(""))
+    return F.coalesce(column(c), F.lit(""))
 
 
 def or_default(c, default) -> Column:
@@ -43,12 +43,12 @@ def fill(template: str, **cols) -> Column:
 
 def first_token(c) -> Column:
     """First word of a whitespace-separated list ('' when there is none)."""
-    return F.regexp_extract(_col(c), r"^\s*(\S*)", 1)
+    return F.regexp_extract(column(c), r"^\s*(\S*)", 1)
 
 
 def url_encode(c) -> Column:
     """Percent-encode the UTF-8 bytes of everything but letters, digits and ``.~_-``."""
-    out = F.url_encode(_col(c))
+    out = F.url_encode(column(c))
     for form, escape in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
         out = F.replace(out, F.lit(form), F.lit(escape))
     return out
@@ -56,16 +56,16 @@ def url_encode(c) -> Column:
 
 def base_dir(c) -> Column:
     """Strip one trailing slash."""
-    return F.regexp_replace(_col(c), r"/\z", "")
+    return F.regexp_replace(column(c), r"/\z", "")
 
 
 def major_minor(c) -> Column:
     """Drop the last dotted part; a text without a dot stays."""
-    return F.regexp_replace(_col(c), r"\.[^.]*\z", "")
+    return F.regexp_replace(column(c), r"\.[^.]*\z", "")
 
 
 def drop_blank(items) -> Column:
-    return F.filter(_col(items), lambda x: x != "")
+    return F.filter(column(items), lambda x: x != "")
 
 
 def merge_csv(c, base: str = C.BASE_EXTRAS) -> Column:
@@ -84,21 +84,21 @@ def csv_items(c) -> Column:
 
 def split_kv(c) -> Column:
     """``K=a=b`` -> (K, a=b); a text without ``=`` is both key and value."""
-    parts = F.split(_col(c), "=", 2)
+    parts = F.split(column(c), "=", 2)
     return F.struct(
         parts[0].alias("key"),
-        F.coalesce(F.try_element_at(parts, F.lit(2)), _col(c)).alias("value"),
+        F.coalesce(F.try_element_at(parts, F.lit(2)), column(c)).alias("value"),
     )
 
 
 def env_entries(c) -> Column:
     """Newline-separated ``KEY=value`` text as an ordered array, blank lines dropped."""
-    return F.transform(drop_blank(F.split(_col(c), "\n")), split_kv)
+    return F.transform(drop_blank(F.split(column(c), "\n")), split_kv)
 
 
 def slug(c, prefix: str = C.WORKER_UNIT_PREFIX) -> Column:
     """Lower-case ASCII letters, digits and ``-`` only, behind the prefix."""
-    lowered = F.translate(_col(c), UPPER, UPPER.lower())
+    lowered = F.translate(column(c), UPPER, UPPER.lower())
     return F.concat(F.lit(prefix), F.regexp_replace(lowered, "[^a-z0-9-]", ""))
 
 
@@ -129,20 +129,20 @@ def package_urls(version, variant) -> dict[str, Column]:
 def optional_args(cores, memory) -> Column:
     """`` -c N`` and `` -m M``; the text 0 means leave the option out."""
     def option(flag, c):
-        return F.when(_col(c) == "0", "").otherwise(F.concat(F.lit(f" {flag} "), or_empty(c)))
+        return F.when(column(c) == "0", "").otherwise(F.concat(F.lit(f" {flag} "), or_empty(c)))
 
     return F.concat(option("-c", cores), option("-m", memory))
 
 
 def stamp(ts) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` of a wall-clock time, free of any session time zone."""
-    return F.substring(_col(ts).cast("string"), 1, 19)
+    return F.substring(column(ts).cast("string"), 1, 19)
 
 
 def log_line(ts, message, level=None) -> Column:
     """``[time] message`` or ``[time] [LEVEL] message``."""
-    tag = F.concat(F.lit("["), _col(level), F.lit("] ")) if level is not None else F.lit("")
-    return F.concat(F.lit("["), stamp(ts), F.lit("] "), tag, _col(message))
+    tag = F.concat(F.lit("["), column(level), F.lit("] ")) if level is not None else F.lit("")
+    return F.concat(F.lit("["), stamp(ts), F.lit("] "), tag, column(message))
 
 
 def run_id(ts) -> Column:
@@ -152,12 +152,12 @@ def run_id(ts) -> Column:
 
 def run_time(c) -> Column:
     """Time of a run id. Day comes first in the text, so order by this, not by the id."""
-    dashed = F.regexp_replace(_col(c), r"^(\d\d)(\d\d)(\d{4})(\d\d)(\d\d)(\d\d)$", "$3-$2-$1 $4:$5:$6")
+    dashed = F.regexp_replace(column(c), r"^(\d\d)(\d\d)(\d{4})(\d\d)(\d\d)(\d\d)$", "$3-$2-$1 $4:$5:$6")
     return dashed.try_cast("timestamp_ntz")
 
 
 def seconds_between(start, end) -> Column:
-    return (_col(end) - _col(start)).cast("interval second").cast("bigint")
+    return (column(end) - column(start)).cast("interval second").cast("bigint")
 
 
 def minute_of(ts: str) -> Column:
@@ -172,4 +172,4 @@ def variant_text(v: Column) -> Column:
 
 
 def secret_hash(c) -> Column:
-    return F.sha2(_col(c), 256)
+    return F.sha2(column(c), 256)

@@ -148,11 +148,16 @@ def step_results(parsed: DataFrame) -> DataFrame:
     )
 
 
-def steps_reached(steps: DataFrame, keys=("run", "host")) -> DataFrame:
-    """Planned steps with ``failed`` -> OK, FAILED, or NOT_RUN behind the first failure of the host."""
-    counted = earlier_count(steps, F.col("failed"), list(keys), "__failed_before")
+def steps_reached(steps: DataFrame, keys=("run", "host"), part: str = "part", order="n") -> DataFrame:
+    """Planned steps with ``failed`` -> OK, FAILED, or NOT_RUN.
+
+    A step has not run when an earlier step of its host failed, or when ``failed`` is NULL.
+    """
+    counted = earlier_count(steps, F.coalesce("failed", F.lit(False)), list(keys), "__failed_before", part, order)
     state = (
-        F.when(F.col("__failed_before") > 0, "NOT_RUN").when(F.col("failed"), "FAILED").otherwise("OK")
+        F.when((F.col("__failed_before") > 0) | F.col("failed").isNull(), "NOT_RUN")
+        .when(F.col("failed"), "FAILED")
+        .otherwise("OK")
     )
     return counted.withColumn("state", state).drop("__failed_before")
 

@@ -13,7 +13,7 @@ from fleetlens.operators.skew import salted_join
 
 def violation_reason(value, kind) -> Column:
     """Why a value fails a ``req`` or ``match`` rule; NULL when it passes or the rule checks nothing."""
-    value, kind = X._col(value), X._col(kind)
+    value, kind = X.column(value), X.column(kind)
     reason = (
         F.when(value.isNull(), "missing")
         .when(value == "", "empty")

@@ -5,17 +5,44 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.operators import render, runlog
 from fleetlens.operators.inventory import server_rows, service_rows
 from fleetlens.operators.resolve import resolve
+from fleetlens.operators.select import drop_blank_rows, select_hosts
 
 
 def services_of(documents: DataFrame) -> DataFrame:
     return service_rows(server_rows(documents))
 
 
+def rollout_hosts(documents: DataFrame, only: str | DataFrame | None = None) -> DataFrame:
+    """The hosts a run works on, in document order: ``inventory, server_pos, hostname``."""
+    hosts = server_rows(documents).select("inventory", "server_pos", "hostname")
+    return select_hosts(drop_blank_rows(hosts), only)
+
+
+def step_report(steps: DataFrame, parsed: DataFrame) -> DataFrame:
+    """State of every planned step in every run that worked on its host.
+
+    ``steps`` are install steps; a command is found in the log by its text. Failed, or
+    finished, or not run: because a step before it failed or because the log ends first.
+    """
+    hosts = runlog.host_lines(parsed).select("run", F.col("host").alias("hostname")).distinct()
+    seen = (
+        runlog.step_results(parsed)
+        .groupBy("run", F.col("host").alias("hostname"), F.col("command").alias("install_cmd"))
+        .agg(F.bool_or("failed").alias("failed"))
+    )
+    planned = steps.where("install_cmd IS NOT NULL").join(hosts, "hostname")
+    tried = planned.join(seen, ["run", "hostname", "install_cmd"], "left")
+    placed = tried.withColumn("place", F.struct("seq", "cmd_pos"))
+    states = runlog.steps_reached(placed, ("inventory", "run", "hostname"), "server_pos", "place")
+    return states.select("inventory", "run", "hostname", "server_pos", "seq", "cmd_pos", "install_cmd", "state")
+
+
 def fleet_documents(services: DataFrame, java_home: Column) -> DataFrame:
     """Every rendered document of every service: units, profiles, environment scripts.
 

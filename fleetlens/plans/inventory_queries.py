@@ -9,7 +9,7 @@ from fleetlens.functions import text as X
 from fleetlens.operators import inventory as I
 from fleetlens.operators import render, resolve, select, validate
 from fleetlens.plans import samples
-from fleetlens.plans.fleet import fleet_documents, services_of
+from fleetlens.plans.fleet import fleet_documents, rollout_hosts, services_of
 from fleetlens.plans.registry import query
 from fleetlens.plans.samples import table
 from fleetlens.sources import inventory as source
@@ -47,7 +47,7 @@ def read_inventory(spark, sf_dir):
     return documents.select(
         F.regexp_extract(note, r"inventory (\d+)", 1).cast("bigint").alias("id"),
         F.col("_corrupt_record").isNotNull().alias("broken"),
-        F.size("servers").cast("bigint").alias("n_servers"),
+        F.array_size("servers").cast("bigint").alias("n_servers"),
     )
 
 
@@ -563,6 +563,18 @@ def select_hosts(spark, sf_dir):
     return select.select_hosts(hosts, ONLY)
 
 
+@query(
+    "rollout_hosts",
+    f"""SELECT {samples.INVENTORY} AS inventory, {samples.SERVER_POS} AS server_pos, c_name AS hostname FROM customer
+    WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+)
+def hosts_of_rollout(spark, sf_dir):
+    """Hosts of all inventories that a table asks for."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    only = urgent.select(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("hostname"))
+    return rollout_hosts(samples.inventories(spark, sf_dir), only)
+
+
 @query(
     "select_hosts_by_table",
     """SELECT o_orderkey AS pos, o_custkey AS hostname FROM orders

@@ -8,7 +8,7 @@ from fleetlens.functions import text as X
 from fleetlens.operators import runlog
 from fleetlens.operators.ordered import number_lines, with_part
 from fleetlens.plans import samples
-from fleetlens.plans.fleet import failure_report
+from fleetlens.plans.fleet import failure_report, step_report
 from fleetlens.plans.registry import query
 from fleetlens.plans.samples import table
 from fleetlens.sources import logs, sinks
@@ -137,6 +137,40 @@ def steps_reached(spark, sf_dir):
     return runlog.steps_reached(with_part(steps)).drop("part")
 
 
+# Two lines per event: the host line of its user, then the result of one of five steps.
+STEP_LINES = """SELECT strftime(ts, '%d%m%Y') || '000000' AS run, user_id, 'step_' || (event_id % 5) AS cmd, value > 45 AS failed
+    FROM events"""
+
+
+@query(
+    "step_report",
+    f"""WITH seen AS (SELECT run, user_id, cmd, bool_or(failed) AS failed FROM ({STEP_LINES}) AS l GROUP BY 1, 2, 3),
+      steps AS (SELECT c_custkey, CAST(floor(c_custkey / 40.0) AS BIGINT) AS inventory, unnest([0, 1, 2, 3, 4]) AS seq FROM customer),
+      tried AS (SELECT inventory, runs.run, c_custkey, seq, failed FROM steps
+        JOIN (SELECT DISTINCT run, user_id FROM seen) AS runs ON runs.user_id = c_custkey
+        LEFT JOIN seen ON seen.run = runs.run AND seen.user_id = c_custkey AND seen.cmd = 'step_' || seq)
+    SELECT inventory, run, 'n' || c_custkey AS hostname, c_custkey AS server_pos, seq, 0 AS cmd_pos, 'step_' || seq AS install_cmd,
+      CASE WHEN failed IS NULL OR count(*) FILTER (failed) OVER (PARTITION BY run, c_custkey ORDER BY seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'NOT_RUN' WHEN failed THEN 'FAILED' ELSE 'OK' END AS state FROM tried""",
+)
+def planned_steps(spark, sf_dir):
+    """Five planned steps per customer against the logged steps of the user with its number."""
+    events = table(spark, sf_dir, "events").withColumn("run", X.run_id(F.to_date("ts").cast("timestamp_ntz")))
+    opening = X.log_line("ts", F.concat(F.lit("=== n"), "user_id", F.lit(" === running installer remotely")))
+    result = F.expr("concat(if(value > 45, 'Error', 'Successfully'), if(value > 45, ' executing', ' executed'), ': step_', event_id % 5)")
+    lines = events.select("run", "event_id", F.posexplode(F.array(opening, result)).alias("pos", "line"))
+    placed = with_part(lines.select("run", F.expr("event_id * 2 + pos").alias("n"), "line"))
+    parsed = stored(runlog.parse_run_lines(placed), "run-lines")
+    steps = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey div 40 AS inventory",
+        "c_custkey AS server_pos",
+        "concat('n', c_custkey) AS hostname",
+        "explode(sequence(0, 4)) AS seq",
+        "0 AS cmd_pos",
+    )
+    return step_report(steps.withColumn("install_cmd", F.concat(F.lit("step_"), "seq")), parsed)
+
+
 @query(
     "failed_hosts",
     EVENTS + "SELECT run, row_number() OVER (PARTITION BY run ORDER BY n) AS idx, host FROM attempts WHERE status = 'FAILED'",
@@ -158,7 +192,8 @@ OUTCOME = """outcomes.run AS run, outcomes.total AS total, failed, succeeded, ou
     + f"SELECT {OUTCOME}, ends.total AS logged_k, ends.total AS logged_total FROM outcomes JOIN ends ON ends.run = outcomes.run",
 )
 def run_outcomes(spark, sf_dir):
-    parsed = stored(parsed_lines(spark, sf_dir), "run-lines")
+    needed = parsed_lines(spark, sf_dir).where("host IS NOT NULL OR kind = 'SUMMARY'")
+    parsed = stored(needed, "run-lines")
     return runlog.run_outcomes(runlog.host_attempts(parsed), parsed)
 
 

@@ -12,13 +12,13 @@ from fleetlens.sources import inventory as S
 
 DOCUMENT = """{"_notes": "synthetic", "servers": [
   {"hostname": "10.0.0.1", "server_type": "CONTROL", "services": [
-    {"name": "Airflow-Scheduler", "install_cmd": "airflow_scheduler_install", "DiskPath": "/data/",
+    {"name": "Airflow-Scheduler", "install_cmd": "install_a", "DiskPath": "/data/",
      "DB_HOST": "10.0.0.1", "DB_PORT": 5432, "DB_USER": "u s", "DB_PASSWORD": "p@ss/1",
      "FERNET_KEY": "CHANGE_ME_FERNET_KEY", "AIRFLOW_EXTRAS": "aws, redis,,celery",
      "JWT_ISSUER": false, "DB_NAME": "false", "API_PORT": 1, "API_PORT": 9090, "REDIS_PASSWORD": null}]},
   {"hostname": "10.0.0.2", "server_type": "APP", "services": [
-    {"name": "Airflow-Worker", "install_cmd": "airflow_worker_install\\n\\nsecond --x", "FERNET_KEY": ""},
-    {"name": "Spark-Standalone", "install_cmd": "spark_standalone_install", "WORKER_CORES": 0},
+    {"name": "Airflow-Worker", "install_cmd": "install_b\\n\\nsecond --x", "FERNET_KEY": ""},
+    {"name": "Spark-Standalone", "install_cmd": "install_c", "WORKER_CORES": 0},
     {"name": "Spark-Standalone"}]},
   {"hostname": "10.0.0.2", "server_type": "APP", "services": [
     {"name": "Airflow-Worker", "install_cmd": "", "FERNET_KEY": null, "WEBSERVER_SECRET_KEY": "good"}]},
@@ -87,10 +87,10 @@ def test_has_key_counts_null_values(services):
 def test_install_steps(services):
     got = I.install_steps(services).select("server_pos", "seq", "cmd_pos", "install_cmd", "missing")
     assert rows(got, "server_pos", "seq", "cmd_pos") == [
-        (0, 0, 0, "airflow_scheduler_install", False),
-        (1, 0, 0, "airflow_worker_install", False),
+        (0, 0, 0, "install_a", False),
+        (1, 0, 0, "install_b", False),
         (1, 0, 2, "second --x", False),
-        (1, 1, 0, "spark_standalone_install", False),
+        (1, 1, 0, "install_c", False),
         (1, 2, 0, None, True),
     ]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import runlog as R
 from fleetlens.operators.ordered import number_lines
+from fleetlens.plans.fleet import step_report
 from fleetlens.sources.logs import land_run_logs, read_run_logs, read_service_logs
 
 MIXED = """\
@@ -245,6 +246,19 @@ def test_step_results_and_steps_behind_a_failure(spark, parsed):
     ]
 
 
+def test_step_report(spark, parsed):
+    steps = spark.createDataFrame(
+        [("i", 0, "10.0.0.1", 0, 0, "a_install"), ("i", 1, "10.0.0.2", 0, 0, "b_install"), ("i", 1, "10.0.0.2", 1, 0, "c"),
+         ("i", 2, "10.0.0.3", 0, 0, "d"), ("i", 2, "10.0.0.3", 1, 0, None), ("i", 3, "10.0.0.9", 0, 0, "e")],
+        "inventory string, server_pos int, hostname string, seq int, cmd_pos int, install_cmd string",
+    )
+    got = step_report(steps, parsed.where("run = '02012026100000'")).select("hostname", "install_cmd", "state")
+    assert rows(got, "hostname", "install_cmd") == [
+        ("10.0.0.1", "a_install", "OK"), ("10.0.0.2", "b_install", "FAILED"), ("10.0.0.2", "c", "NOT_RUN"),
+        ("10.0.0.3", "d", "NOT_RUN"),
+    ]
+
+
 def test_service_logs_keep_tool_output(spark, tmp_path):
     (tmp_path / "x.access.log").write_text(
         "[2026-01-02 10:00:01] [INFO] one\nraw output\n\n[2026-01-02 10:00:59] [INFO] two\n"
