@@ -55,9 +55,11 @@ def expand_units(resolved: DataFrame, service: str) -> DataFrame:
 
 
 def _airflow_body(service: str, unit: Column) -> Column:
+    # The block is read line by line: a value that holds a line break gives further lines.
+    text = F.array_join(F.transform(env_block(service), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
     env_lines = F.array_join(
         F.transform(
-            env_block(service),
+            X.env_entries(text),
             lambda e: F.concat(F.lit('Environment="'), e["key"], F.lit("="), e["value"], F.lit('"\n')),
         ),
         "",

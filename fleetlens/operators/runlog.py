@@ -93,7 +93,8 @@ def attribute_lines(parsed: DataFrame) -> DataFrame:
     Stamped lines without a host (summary, notices) belong to no host.
     """
     filled = fill_forward(parsed, "host", ["run"], "owner")
-    return filled.withColumn("owner", F.when(F.col("host").isNotNull() | F.col("ts").isNull(), F.col("owner")))
+    is_bare = F.col("ts").isNull() & ~F.col("kind").isin("SUMMARY", "DETAILS")
+    return filled.withColumn("owner", F.when(F.col("host").isNotNull() | is_bare, F.col("owner")))
 
 
 def number_attempts(parsed: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ def attempts(stream: DataFrame, run_pattern: str = C.RUN_FILE_PATTERN, delay: st
     Without ``delay`` the state grows with the runs; use complete output. With ``delay``
     hosts are grouped per window of ``width`` and leave the state once the watermark has
     passed it; use append output, in which a host without a result appears as NO_RESULT.
+    Of two results in the same second the greater one in text order counts.
     """
     lines = with_run(stream, run_pattern).select("run", "line")
     hosts = runlog.host_lines(runlog.parse_run_lines(lines, "timestamp"))
@@ -62,11 +63,16 @@ def attempts(stream: DataFrame, run_pattern: str = C.RUN_FILE_PATTERN, delay: st
         hosts.groupBy(*keys)
         .agg(
             F.min("ts").alias("started"),
-            F.max(F.when(done, F.col("ts"))).alias("ended"),
-            F.coalesce(F.max_by("status", F.when(done, F.col("ts"))), F.lit("NO_RESULT")).alias("status"),
-            F.max_by("reason", F.when(done, F.col("ts"))).alias("reason"),
+            F.max(F.when(done, F.struct("ts", "status", "reason"))).alias("last"),
+        )
+        .select(
+            *[k if isinstance(k, str) else "window" for k in keys],
+            "started",
+            F.col("last.ts").alias("ended"),
+            F.coalesce("last.status", F.lit("NO_RESULT")).alias("status"),
+            "last.reason",
+            X.seconds_between("started", "last.ts").alias("seconds"),
         )
-        .withColumn("seconds", X.seconds_between("started", "ended"))
     )
 
 

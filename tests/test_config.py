@@ -109,6 +109,12 @@ def test_worker_unit_document(spark):
     )
 
 
+def test_line_break_in_a_value_gives_a_further_line(spark):
+    services = services_of(spark, ("h", C.WORKER, {**GOOD, "DAGS_FOLDER": "/dags\nX=1\n\nplain"}))
+    body = one(render.render_units(resolve.resolve(services, C.WORKER), C.WORKER))["body"]
+    assert 'DAGS_FOLDER=/dags"\nEnvironment="X=1"\nEnvironment="plain=plain"\nEnvironment="AIRFLOW__CORE__FERNET' in body
+
+
 def test_spark_unit_documents(spark):
     services = services_of(spark, ("10.0.0.4", C.SPARK, {"DiskPath": "/d", "WORKER_MEMORY": "4g"}))
     rows = render.render_units(resolve.resolve(services, C.SPARK), C.SPARK, F.lit("/jvm")).orderBy("unit").collect()
