@@ -17,25 +17,37 @@ def rules_of(service: str, rules=C.RULES) -> list[tuple]:
     return [(order, key, kind, default) for order, (_, key, kind, default) in enumerate(mine, 1)]
 
 
+def rule_literal(service: str, rules=C.RULES) -> Column:
+    """The rules of one service as a constant array."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(order).alias("rule_order"),
+                F.lit(key).alias("key"),
+                F.lit(kind).alias("kind"),
+                F.lit(default).cast("string").alias("default"),
+            )
+            for order, key, kind, default in rules_of(service, rules)
+        ]
+    )
+
+
 def rule_array(rules=C.RULES) -> Column:
     """The rules of the row's service as an array; NULL for an unknown service."""
     out = F.lit(None)
     for service in dict.fromkeys(r[0] for r in rules):
-        literal = F.array(
-            *[
-                F.struct(
-                    F.lit(order).alias("rule_order"),
-                    F.lit(key).alias("key"),
-                    F.lit(kind).alias("kind"),
-                    F.lit(default).cast("string").alias("default"),
-                )
-                for order, key, kind, default in rules_of(service, rules)
-            ]
-        )
-        out = F.when(F.col("service") == service, literal).otherwise(out)
+        out = F.when(F.col("service") == service, rule_literal(service, rules)).otherwise(out)
     return out
 
 
+def _own(rule: Column) -> Column:
+    return X.present(F.col("cfg")[rule["key"]])
+
+
+def _fallback(rule: Column) -> Column:
+    return F.when(rule["kind"] == "host", F.col("hostname")).otherwise(rule["default"])
+
+
 def config_lookup(requests: DataFrame, entries: DataFrame, keys=("hostname", "service", "key")) -> DataFrame:
     """Each request with its value; NULL when host, service or key is absent or the value is null.
 
@@ -52,8 +64,7 @@ def apply_defaults(df: DataFrame, value: str = "value", default: str = "default"
 def resolved_entries(services: DataFrame, rules=C.RULES) -> DataFrame:
     """One row per (service block, rule): the effective value and where it came from."""
     def effective(r: Column) -> Column:
-        own = X.present(F.col("cfg")[r["key"]])
-        fallback = F.when(r["kind"] == "host", F.col("hostname")).otherwise(r["default"])
+        own, fallback = _own(r), _fallback(r)
         return F.struct(
             r["rule_order"].alias("rule_order"),
             r["key"].alias("key"),
@@ -105,16 +116,17 @@ def resolve(services: DataFrame, service: str, short_name: str = "hostname", rul
     """One wide row per block of ``service``: every rule key, then the derived columns.
 
     ``short_name`` is the column with the machine's own short name, used for worker units.
+    The values are looked up in one transform over the rules, not one expression per key:
+    so many map lookups in one generated method would be too long for the JVM to compile.
     """
-    def effective(key: str, kind: str, default: str | None) -> Column:
-        own = X.present(F.col("cfg")[key])
-        fallback = F.col("hostname") if kind == "host" else F.lit(default).cast("string")
-        return F.coalesce(own, fallback).alias(key)
-
-    picked = services.where(F.col("service") == service).select(
+    values = F.transform(rule_literal(service, rules), lambda r: F.coalesce(_own(r), _fallback(r)))
+    found = services.where(F.col("service") == service).select(
+        *ROW_KEYS, F.col(short_name).alias("short_name"), values.alias("__values")
+    )
+    picked = found.select(
         *ROW_KEYS,
-        F.col(short_name).alias("short_name"),
-        *[effective(key, kind, default) for _, key, kind, default in rules_of(service, rules)],
+        "short_name",
+        *[F.col("__values")[order - 1].alias(key) for order, key, _, _ in rules_of(service, rules)],
     )
     if service == C.SPARK:
         steps = _spark_columns()

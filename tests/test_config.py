@@ -38,21 +38,21 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("service", [C.SCHEDULER, C.WORKER, C.SPARK])
-@pytest.mark.parametrize("blank", [None, "", False])
-def test_every_rule_line(spark, service, blank):
+def test_every_rule_line(spark, service):
     rules = [r for r in C.RULES if r[0] == service]
     assert len(rules) == {C.SCHEDULER: 23, C.WORKER: 19, C.SPARK: 10}[service]
-    empty = services_of(spark, ("10.0.0.7", service, {r[1]: blank for r in rules}))
-    got = one(resolve.resolve(empty, service))
+    blanks = {"absent": {}, "null": dict.fromkeys([r[1] for r in rules])}
+    blanks |= {f"is {v}": dict.fromkeys([r[1] for r in rules], v) for v in ("", False)}
+    texts = {"text": dict.fromkeys([r[1] for r in rules], "null")}
+    services = services_of(spark, *[(host, service, keys) for host, keys in (blanks | texts).items()])
+    wide = {r.hostname: r for r in resolve.resolve(services, service).collect()}
+    long = {(r.hostname, r.key): (r.value, r.origin) for r in resolve.resolved_entries(services).collect()}
     for _, key, kind, default in rules:
-        assert got[key] == ("10.0.0.7" if kind == "host" else default), key
-    texts = services_of(spark, ("10.0.0.7", service, {r[1]: "null" for r in rules}))
-    got = one(resolve.resolve(texts, service))
-    assert {got[r[1]] for r in rules} == {"null"}
-    long = {r.key: (r.value, r.origin) for r in resolve.resolved_entries(empty).collect()}
-    for _, key, kind, default in rules:
-        value = "10.0.0.7" if kind == "host" else default
-        assert long[key] == (value, "default" if value else "missing")
+        for host in blanks:
+            value = host if kind == "host" else default
+            assert wide[host][key] == value, (host, key)
+            assert long[host, key] == (value, "default" if value else "missing")
+        assert wide["text"][key] == "null" and long["text", key] == ("null", "set")
 
 
 def test_scheduler_columns(spark):
@@ -163,19 +163,17 @@ def test_documents_are_written_once_per_host_and_unit(spark, tmp_path):
         assert back.select("hostname", "unit").distinct().count() == back.count() == 10
 
 
-@pytest.mark.parametrize(
-    "value, req, match",
-    [
+def test_violation_reasons(spark):
+    expected = [
         (None, "missing", "missing"), ("", "empty", "empty"), ("null", "null_text", "null_text"),
         ("CHANGE_ME", "placeholder", "placeholder"), ("CHANGE_ME_X", "placeholder", "placeholder"),
         ("xCHANGE_ME", None, None), ("COPY_FROM_scheduler", None, "copy_from"), ("COPY_FROM", None, None),
         ("ok", None, None), (" ", None, None),
-    ],
-)
-def test_violation_reasons(spark, value, req, match):
-    df = spark.createDataFrame([(value,)], "v string")
-    kinds = [validate.violation_reason("v", F.lit(k)) for k in ("req", "match", "default", "optional", "host")]
-    assert tuple(df.select(*kinds).collect()[0]) == (req, match, None, None, None)
+    ]
+    df = spark.createDataFrame([(v,) for v, _, _ in expected], "v string")
+    reasons = [validate.violation_reason("v", F.lit(k)) for k in ("req", "match", "default", "optional", "host")]
+    got = df.select("v", *[r.alias(f"r{i}") for i, r in enumerate(reasons)]).collect()
+    assert {tuple(r) for r in got} == {(*e, None, None, None) for e in expected}
 
 
 def test_all_and_first_violations(spark):
@@ -251,21 +249,21 @@ def test_select_hosts_by_table(spark, tmp_path):
     assert "PushedFilters: [In(hostname, [a,b])]" in plan_of(select.select_hosts(table, "a,b"))
 
 
-@pytest.mark.parametrize(
-    "host, exact, loose",
-    [
+def test_match_local(spark):
+    expected = [
         ("172.31.0.85", True, True), ("31.0.85", False, True), ("172.31.0.8", False, False), ("10.0.0.2", True, True),
         ("10x0.0.2", False, False), ("172.31.0", False, True), ("172+31.0.85", False, False), ("1.0.0.2", False, False),
         ("10.0.0.", False, False), ("10.0.0.2.", False, True), ("17.31", False, False), ("31.0", False, True),
-    ],
-)
-def test_match_local(spark, host, exact, loose):
+        ("(", False, False), ("[a", False, False),
+    ]
     addresses = "172.31.0.85 10.0.0.2 "
-    table = spark.createDataFrame([("i", addresses), ("j", host)], "inventory string, addresses string")
+    wanted = hosts(spark, *[h for h, _, _ in expected])
+    lists = [("i", addresses), ("j", " ".join(h for h, _, _ in expected))]
+    table = spark.createDataFrame(lists, "inventory string, addresses string")
     for given_as in (addresses, table):
-        for mode, expected in (("exact", exact), ("loose", loose)):
-            got = select.match_local(hosts(spark, host), given_as, mode).count()
-            assert got == int(expected), (mode, given_as)
+        for mode, place in (("exact", 1), ("loose", 2)):
+            got = {r.hostname for r in select.match_local(wanted, given_as, mode).collect()}
+            assert got == {e[0] for e in expected if e[place]}, (mode, given_as)
 
 
 def test_local_match_by_table_is_an_equi_join(spark):
