@@ -1 +0,0 @@
-from fleetlens.functions.text import *  # noqa: F401,F403

@@ -263,10 +263,9 @@ def _resolved_sql(service):
 
 
 def _resolve_query(name, service):
-    hidden = ", ".join(f"sha256({c}) AS {c}" for c in C.SECRET_COLUMNS)
+    admin = [] if service == C.SCHEDULER else ["ADMIN_PASSWORD"]
+    hidden = ", ".join(f"sha256({c}) AS {c}" for c in C.SECRET_COLUMNS if c not in admin)
     present = "" if service == C.SPARK else f" REPLACE ({hidden})"
-    if service == C.WORKER:
-        present = present.replace("sha256(ADMIN_PASSWORD) AS ADMIN_PASSWORD, ", "").replace(", sha256(ADMIN_PASSWORD) AS ADMIN_PASSWORD", "")
 
     @query(name, WITH + f", {_resolved_sql(service)} SELECT *{present} FROM res")
     def run(spark, sf_dir):

@@ -88,3 +88,31 @@ def test_salted_join_equals_a_plain_join(spark):
         assert sorted(map(tuple, salted.collect()), key=str) == sorted(
             map(tuple, big.join(per_key, "k", how).select(*salted.columns).collect()), key=str
         )
+
+
+def test_adaptive_skew_join_acts_on_a_salted_join(spark, tmp_path):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    spark.range(400_000).selectExpr("if(id % 3 = 0, -1, id % 5000) AS k", "id", "uuid() AS v").write.parquet(
+        str(tmp_path / "big")
+    )
+    big = spark.read.parquet(str(tmp_path / "big"))
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        per_key = big.groupBy("k").agg(F.count("*").alias("times"))
+        total = salted_join(big, per_key, ["k"], ["id"]).agg(F.sum("times"), F.max("v"))
+        assert total.collect()[0][0] == sum(
+            r.times**2 for r in per_key.collect()
+        )
+        final = total._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "skew=true" in final
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
