@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, packing, simhash, url_rules
+from fleetlens.llm import embed_dedup, mixing, packing, simhash, topk, url_rules
 from fleetlens.llm.common import read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query(
+    "op1_kd_topk",
+    """
+WITH ok AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM ok q JOIN ok c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+""",
+)
+def op1_kd_topk(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    parts = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256))
+    whole = vectors.filter(topk.finite(F.col("embedding"))).select("vec_id", parts.alias("v"))
+    return topk.top_k(whole, F.col("vec_id") % 50 == 0)
+
+
 @query(
     "op2_url_rules",
     r"""
@@ -106,6 +126,32 @@ def op7_poisson_mix(spark, sf_dir):
     return mixing.mix_sources(docs, weights)
 
 
+@query(
+    "op8_embedding_dedup",
+    """
+WITH RECURSIVE marked AS (
+    SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v,
+        vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+    FROM embeddings),
+links AS (
+    SELECT a.r AS x, b.r AS y, b.vec_id FROM marked a JOIN marked b
+    ON a.ok AND b.ok AND a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+    AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+reach(x, y, vec_id) AS (
+    SELECT x, y, vec_id FROM links UNION SELECT reach.x, links.y, links.vec_id FROM reach JOIN links ON reach.y = links.x),
+least_id AS (SELECT x, min(vec_id) AS low FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+    vec_id IS NOT DISTINCT FROM least(vec_id, coalesce(low, vec_id)) AS kept
+FROM marked LEFT JOIN counts ON marked.r = counts.x LEFT JOIN least_id ON marked.r = least_id.x
+""",
+)
+def op8_embedding_dedup(spark, sf_dir):
+    return embed_dedup.embedding_groups(read(spark, sf_dir, "embeddings"))
+
+
 @query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     groups = simhash.simhash_groups(read(spark, sf_dir, "documents"))
