@@ -1 +1,8 @@
 """Training-data operators: search, filters, classifiers, deduplication, mixing, packing, scoring."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with the tasks: executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import embed_dedup, mixing, packing, simhash, topk, url_rules
-from fleetlens.llm.common import read
+from fleetlens.llm import embed_dedup, mixing, packing, quality, simhash, substring, topk, toxicity, url_rules
+from fleetlens.llm.common import crc_mod, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -86,6 +86,12 @@ def op2_url_rules(spark, sf_dir):
     return url_rules.judge_urls(read(spark, sf_dir, "pages"), rules)
 
 
+@query("op3_fourier_quality")
+def op3_fourier_quality(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality.score_quality(docs, labels, crc_mod(F.col("doc_id"), 4) == 2)
+
+
 @query("op4_best_two_fit")
 def op4_best_two_fit(spark, sf_dir):
     pieces = packing.encode_pieces(
@@ -94,6 +100,36 @@ def op4_best_two_fit(spark, sf_dir):
     return packing.pack(pieces).withColumnRenamed("value", "ids_crc32")
 
 
+@query(
+    "op5_recompression",
+    r"""
+WITH cut AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT r, doc_id, i, list_slice(w, i, i + 49) AS words
+    FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM cut WHERE doc_id IS NOT NULL)),
+named AS (SELECT r, doc_id, i, md5(array_to_string(words, ' ')) AS h FROM windows),
+lost AS (SELECT r, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM named) WHERE low < doc_id),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS k FROM lost),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM cut),
+kept AS (
+    SELECT words.r, count(gone.k) AS n_removed, coalesce(string_agg(CASE WHEN gone.k IS NULL THEN word END, ' ' ORDER BY words.k), '') AS text
+    FROM words LEFT JOIN gone USING (r, k) GROUP BY words.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (r)
+""",
+)
+def op5_recompression(spark, sf_dir):
+    done = substring.deduplicate_passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_toxic_lexicon")
+def op6_toxic_lexicon(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, labels, crc_mod(F.col("doc_id"), 3) == 1)
+
+
 @query(
     "op7_poisson_mix",
     f"""
