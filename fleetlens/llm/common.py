@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,3 +150,56 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
+# ---------------------------------------------------------------- whole documents in batches
+
+
+def squeeze(rows: DataFrame, batch: Column) -> DataFrame:
+    """``batch, data``: the rows of each batch in compressed Arrow streams, several a batch.
+
+    What is shuffled is compressed text, and tasks get whole batches without a Python object a row.
+    """
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(1)
+        for b in batches:
+            part_rows = pa.RecordBatch.from_struct_array(b.column("row"))
+            where = np.asarray(b.column("batch"))
+            by = np.argsort(where, kind="stable")
+            edges = np.flatnonzero(np.diff(where[by])) + 1
+            numbers, blobs = [], []
+            for part in np.split(by, edges) if len(by) else []:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part_rows.schema) as out:
+                    out.write_batch(part_rows.take(pa.array(part)))
+                numbers.append(int(where[part[0]]))
+                blobs.append(press.compress(sink.getvalue()))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["batch", "data"])
+
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), batch.alias("batch"))
+    return whole.mapInArrow(run, "batch int, data binary")
+
+
+def unsqueeze(blobs: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(b)).read_all() for b in blobs])
+
+
+def name_ranges(names: np.ndarray, count: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, slice) for sorted 64-bit names: a bucket is a range of names."""
+    cuts = np.array([(k << 64) // count for k in range(1, count)], np.uint64)
+    edges = np.concatenate([[0], np.searchsorted(names, cuts), [len(names)]]).tolist()
+    for k in range(count):
+        if edges[k] < edges[k + 1]:
+            yield k, slice(edges[k], edges[k + 1])
+
+
+def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Names of all words, words in each text, and the words' bytes with their starts and stops."""
+    split = [(t or b"").split() for t in texts]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    flat = [w for words in split for w in words]
+    size = np.fromiter(map(len, flat), np.int64, len(flat))
+    stops = np.cumsum(size)
+    data = b"".join(flat)
+    return span_hashes(data, stops - size, stops), lengths, data, stops - size, stops

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import embed_dedup, mixing, packing, quality, simhash, substring, topk, toxicity, url_rules
+from fleetlens.llm import class_lm, embed_dedup, mixing, packing, quality, simhash, substring, topk, toxicity, url_rules
 from fleetlens.llm.common import crc_mod, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,6 +188,11 @@ def op8_embedding_dedup(spark, sf_dir):
     return embed_dedup.embedding_groups(read(spark, sf_dir, "embeddings"))
 
 
+@query("op9_brown_classes")
+def op9_brown_classes(spark, sf_dir):
+    return class_lm.score_texts(read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 @query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     groups = simhash.simhash_groups(read(spark, sf_dir, "documents"))
