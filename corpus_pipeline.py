@@ -1,4 +1,8 @@
-"""Documents to packed training sequences in five stages."""
+"""Documents to packed training sequences in five stages, each on all that the one before it kept.
+
+Rows that repeat a ``doc_id`` are one document: they go or stay together. Rows with a null id
+are scored, cut, mixed and packed like any other and are nobody's duplicate.
+"""
 
 from __future__ import annotations
 
@@ -7,37 +11,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, packing, simhash
+from fleetlens.llm import mixing, packing, simhash, substring, toxicity
 from fleetlens.llm.common import read
 from fleetlens.llm.queries import tokenizer_path
 from fleetlens.sources.scratch import stored
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from all labels, rejects go."""
+    scored = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"), F.lit(False))
+    rejected = scored.filter("predicted = 1").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: that with the smallest doc_id."""
     groups = simhash.simhash_groups(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    others = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go; texts without such stay as they are."""
+    cut = substring.deduplicate_passages(docs, keep_text=True)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated to equal shares."""
+    """Sources repeated to equal shares, in a random order."""
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens: each piece with its place."""
+    """Sequences of 2048 tokens: each piece of a document with its place."""
     pieces = packing.encode_pieces(docs, tokenizer_path(), value=packing.crc32_of_ids, value_type="long")
     return packing.pack(pieces).withColumnRenamed("value", "ids_crc32")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("simhash_near_dedup", near_duplicates),
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
     ("mixing", mix),
     ("best_fit_packing", pack),
 ]
 
-#: Fingerprints, learned weights and tokenizer ids are beyond SQL; tests compare with brute force.
+#: Learned weights, fingerprints and tokenizer ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
