@@ -78,6 +78,8 @@ BACKFILL_PLACEHOLDERS = {
 # Columns whose content is secret, raw and derived.
 SECRET_KEYS = ["DB_PASSWORD", "REDIS_PASSWORD", "FERNET_KEY", "WEBSERVER_SECRET_KEY", "ADMIN_PASSWORD"]
 SECRET_COLUMNS = [*SECRET_KEYS, "sql_alchemy_conn", "result_backend", "broker_url"]
+# Columns that hold whole blocks, documents or lists of them.
+SECRET_NESTED = ["body", "cfg", "servers", "services", "env", "_corrupt_record", "_document"]
 
 # Extras every installation gets, before the configured ones.
 BASE_EXTRAS = "celery,postgres,redis"
@@ -96,6 +98,14 @@ ENV_KEYS = [
 ]
 EXECUTOR = "CeleryExecutor"
 
+# What is installed, and where the language's source comes from.
+REQUIREMENT_FORMAT = "apache-airflow=={version}"
+EXTRA_REQUIREMENT_FORMAT = "apache-airflow[{extra}]=={version}"
+PYTHON_SOURCE_FORMAT = "https://www.python.org/ftp/python/{version}/Python-{version}.tgz"
+
+# Environment keys whose value is a secret or is made of one.
+SECRET_ENV_KEYS = [key for key, column in ENV_KEYS if column in SECRET_COLUMNS]
+
 # Connection string formats.
 SQL_CONN_FORMAT = "postgresql+psycopg2://{user}:{password}@{host}:{port}/{db}"
 RESULT_BACKEND_FORMAT = "db+postgresql://{user}:{password}@{host}:{port}/{db}"

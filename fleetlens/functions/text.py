@@ -171,5 +171,7 @@ def variant_text(v: Column) -> Column:
     return F.when(~F.coalesce(is_false, F.lit(False)), text)
 
 
-def secret_hash(c) -> Column:
-    return F.sha2(column(c), 256)
+def secret_hash(c, secret: str) -> Column:
+    """A hash under a key of the caller: without it short values can't be guessed from their hashes."""
+    inner = F.sha2(F.concat(F.lit(secret + "\u0001"), column(c)), 256)
+    return F.sha2(F.concat(F.lit(secret + "\u0002"), inner), 256)

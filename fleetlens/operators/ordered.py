@@ -31,23 +31,19 @@ def _over_pieces(pieces: DataFrame, keys: list[str], across, part: str) -> DataF
 def fill_forward(df: DataFrame, column: str, keys: list[str], out: str, part="part", order="n") -> DataFrame:
     """Last non-NULL value of ``column`` at or above the row.
 
-    The last value of each piece is looked up among the rows that have one; the list of
-    pieces itself needs no more than a hash aggregate of the keys.
+    What a piece hands on is the value at its last row, which the window has found already.
     """
-    here = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ends = df.where(F.col(column).isNotNull()).groupBy(*keys, part).agg(F.max_by(column, order).alias(CARRY))
+    piece = Window.partitionBy(*keys, part).orderBy(order)
+    here = piece.rowsBetween(Window.unboundedPreceding, 0)
+    filled = df.withColumn(out, F.last(column, ignorenulls=True).over(here))
+    ends = filled.select(*keys, part, F.col(out).alias(CARRY), F.lead(F.lit(1)).over(piece).isNull().alias("__end"))
     carry = _over_pieces(
-        df.select(*keys, part).distinct().join(ends, [*keys, part], "left"),
+        ends.where("__end").drop("__end"),
         keys,
         lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         part,
     )
-    return (
-        df.withColumn(out, F.last(column, ignorenulls=True).over(here))
-        .join(carry, [*keys, part], "left")
-        .withColumn(out, F.coalesce(out, CARRY))
-        .drop(CARRY)
-    )
+    return filled.join(carry, [*keys, part], "left").withColumn(out, F.coalesce(out, CARRY)).drop(CARRY)
 
 
 def earlier_count(df: DataFrame, condition: Column, keys: list[str], out: str, part="part", order="n") -> DataFrame:
@@ -70,7 +66,8 @@ def earlier_count(df: DataFrame, condition: Column, keys: list[str], out: str, p
 def next_value(df: DataFrame, column: str, keys: list[str], out: str, part="part", order="n") -> DataFrame:
     """``column`` of the row that follows in the group."""
     here = Window.partitionBy(*keys, part).orderBy(order)
-    firsts = df.groupBy(*keys, part).agg(F.min_by(column, order).alias(CARRY))
+    firsts = df.select(*keys, part, F.col(column).alias(CARRY), F.lag(F.lit(1)).over(here).isNull().alias("__top"))
+    firsts = firsts.where("__top").drop("__top")
     carry = _over_pieces(firsts, keys, lambda c, w: F.lead(c).over(w), part)
     last_here = "__last"
     return (

@@ -48,7 +48,7 @@ def _fallback(rule: Column) -> Column:
     return F.when(rule["kind"] == "host", F.col("hostname")).otherwise(rule["default"])
 
 
-def config_lookup(requests: DataFrame, entries: DataFrame, keys=("hostname", "service", "key")) -> DataFrame:
+def config_lookup(requests: DataFrame, entries: DataFrame, keys=("inventory", "hostname", "service", "key")) -> DataFrame:
     """Each request with its value; NULL when host, service or key is absent or the value is null.
 
     Both sides come straight from their shuffle, so the adaptive skew join can split a
@@ -139,9 +139,34 @@ def resolve(services: DataFrame, service: str, short_name: str = "hostname", rul
     return picked
 
 
-def mask_secrets(df: DataFrame) -> DataFrame:
-    """Secret columns, and values of secret keys, replaced by their hash. Use before any report."""
-    hidden = {c: X.secret_hash(c) for c in df.columns if c in C.SECRET_COLUMNS or c == "body"}
+def package_rows(resolved: DataFrame) -> DataFrame:
+    """One row per package a resolved scheduler or worker installs, in order, and the address of its Python source.
+
+    First the package alone, then once with each extra. Extras are compared before they are
+    trimmed, so one that differs in blanks only comes twice.
+    """
+    version = F.col("AIRFLOW_VERSION")
+    plain = X.fill(C.REQUIREMENT_FORMAT, version=version)
+    extras = F.transform(X.csv_items("extras"), lambda e: X.fill(C.EXTRA_REQUIREMENT_FORMAT, extra=e, version=version))
+    return resolved.select(
+        *ROW_KEYS,
+        X.fill(C.PYTHON_SOURCE_FORMAT, version=F.col("PYTHON_VERSION")).alias("python_source_url"),
+        F.posexplode(F.concat(F.array(plain), extras)).alias("pos", "requirement"),
+    )
+
+
+def mask_secrets(df: DataFrame, secret: str) -> DataFrame:
+    """``df`` for reports: whatever may hold a secret is a hash under the key ``secret``.
+
+    Secret columns, rendered bodies, whole blocks and documents are hashed; so are the values
+    of secret keys, and of environment lines that are made of them, in (key, value) rows.
+    """
+    hidden = {c: X.secret_hash(c, secret) for c in df.columns if c in C.SECRET_COLUMNS}
+    for c in df.columns:
+        if c in C.SECRET_NESTED:
+            text = F.col(c) if dict(df.dtypes)[c] == "string" else F.to_json(c)
+            hidden[c] = X.secret_hash(text, secret)
     if {"key", "value"} <= set(df.columns):
-        hidden["value"] = F.when(F.col("key").isin(C.SECRET_KEYS), X.secret_hash("value")).otherwise(F.col("value"))
+        is_secret = F.col("key").isin(*C.SECRET_KEYS, *C.SECRET_ENV_KEYS)
+        hidden["value"] = F.when(is_secret, X.secret_hash("value", secret)).otherwise(F.col("value"))
     return df.withColumns(hidden) if hidden else df

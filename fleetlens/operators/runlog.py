@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import earlier_count, fill_forward, next_value
-from fleetlens.operators.skew import salted_join
 
-PIECE_HOSTS = 1000
 SEP = "\u0001"
 
 
@@ -107,23 +105,53 @@ def number_attempts(parsed: DataFrame) -> DataFrame:
 def host_attempts(parsed: DataFrame) -> DataFrame:
     """One row per (run, host, attempt); NO_RESULT when the log has no result line for it.
 
-    ``part`` and ``n`` are the place of the result line.
+    ``part`` and ``n`` are the place of the result line. The lines of a host are moved once,
+    by piece. An attempt is its last line in a piece, with the time of its first; an attempt
+    that goes on into later pieces hands that time over, one row a piece.
     """
+    keys = ["run", "host"]
+    lines = host_lines(parsed).select(*keys, "part", "n", "ts", "status", "reason")
+    piece = Window.partitionBy(*keys, "part").orderBy("n")
     done = F.col("status").isNotNull()
+    local = lines.withColumns(
+        {
+            "__a": F.count("status").over(piece.rowsBetween(Window.unboundedPreceding, -1)),
+            "__last": F.lead(F.lit(1)).over(piece).isNull(),
+        }
+    )
+    first = F.min("ts").over(Window.partitionBy(*keys, "part", "__a"))
+    ends = local.withColumn("__first", first).where(done | F.col("__last"))
+    pieces = ends.groupBy(*keys, "part").agg(
+        F.count("status").alias("__done"), F.min(F.when(~done, F.col("__first"))).alias("__open")
+    )
+    order = Window.partitionBy(*keys).orderBy("part")
+    upto, above = (order.rowsBetween(Window.unboundedPreceding, k) for k in (Window.currentRow, -1))
+    # Pieces since the last one with a result share an attempt that is open at their end.
+    pieces = pieces.withColumn("__group", F.count_if(F.col("__done") > 0).over(upto))
+    since = Window.partitionBy(*keys, "__group").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.withColumn("__open", F.min("__open").over(since))
+    carry = pieces.select(
+        *keys,
+        "part",
+        F.coalesce(F.sum("__done").over(above), F.lit(0)).alias("__before"),
+        F.lag("__open").over(order).alias("__from"),
+        F.lead(F.lit(1)).over(order).isNull().alias("__tail"),
+    )
+    found = ends.join(carry, [*keys, "part"]).where(done | F.col("__tail"))
+    started = F.least("__first", F.when(F.col("__a") == 0, F.col("__from")))
     return (
-        number_attempts(parsed)
-        .groupBy("run", "host", "attempt")
-        .agg(
-            F.min("ts").alias("started"),
-            F.max(F.when(done, F.col("ts"))).alias("ended"),
-            F.coalesce(F.max("status"), F.lit("NO_RESULT")).alias("status"),
-            F.max("reason").alias("reason"),
-            F.max(F.when(done, F.struct("part", "n"))).alias("place"),
+        found.select(
+            *keys,
+            (F.col("__a") + F.col("__before") + 1).alias("attempt"),
+            started.alias("started"),
+            F.when(done, F.col("ts")).alias("ended"),
+            F.coalesce("status", F.lit("NO_RESULT")).alias("status"),
+            "reason",
+            F.when(done, F.col("part")).alias("part"),
+            F.when(done, F.col("n")).alias("n"),
         )
         .withColumn("seconds", X.seconds_between("started", "ended"))
-        .select(
-            "run", "host", "attempt", "started", "ended", "status", "reason", "seconds", "place.part", "place.n"
-        )
+        .select(*keys, "attempt", "started", "ended", "status", "reason", "seconds", "part", "n")
     )
 
 
@@ -138,14 +166,21 @@ def phase_durations(parsed: DataFrame) -> DataFrame:
 
 
 def step_results(parsed: DataFrame) -> DataFrame:
-    """Finished steps with their host: ``run, host, part, n, command, failed``.
+    """Finished steps with their host and its attempt: ``run, host, attempt, part, n, command, failed``.
 
     Only host lines and step lines are moved; the tool output between them stays behind.
     """
     needed = parsed.where("host IS NOT NULL OR kind IN ('STEP_OK', 'STEP_ERR')")
-    owned = attribute_lines(needed).where("kind IN ('STEP_OK', 'STEP_ERR') AND owner IS NOT NULL")
-    return owned.select(
-        "run", F.col("owner").alias("host"), "part", "n", "command", (F.col("kind") == "STEP_ERR").alias("failed")
+    owned = attribute_lines(needed).where("owner IS NOT NULL")
+    counted = earlier_count(owned, F.col("status").isNotNull(), ["run", "owner"], "attempt")
+    return counted.where("kind IN ('STEP_OK', 'STEP_ERR')").select(
+        "run",
+        F.col("owner").alias("host"),
+        (F.col("attempt") + 1).alias("attempt"),
+        "part",
+        "n",
+        "command",
+        (F.col("kind") == "STEP_ERR").alias("failed"),
     )
 
 
@@ -164,38 +199,48 @@ def steps_reached(steps: DataFrame, keys=("run", "host"), part: str = "part", or
 
 
 def run_outcomes(attempts: DataFrame, parsed: DataFrame | None = None, selected: DataFrame | None = None) -> DataFrame:
-    """One row per run.
+    """One row for every run that ``attempts``, ``parsed`` or ``selected`` knows.
 
-    ``total`` counts the selected hosts (``run, hostname``) when they are known, else the
+    ``total`` counts the selected hosts (``run, hostname``) of runs that have such, else the
     attempts seen. ``claimed`` is total - failed, the number a run prints; it counts a host
-    that was never reached as a success. ``succeeded`` counts real results. With ``parsed``
-    the numbers printed in the log stand beside them.
+    that was never reached as a success. ``succeeded`` counts real results. ``verdict``:
+    ``failed`` with a failed host, ``incomplete`` if a host has no result or no host was
+    worked on, else ``ok``. With ``parsed`` the numbers printed in the log stand beside them.
+
+    All three come as small facts about runs and meet in one aggregate.
     """
-    out = attempts.groupBy("run").agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("status") == "FAILED").alias("failed"),
-        F.count_if(F.col("status") == "SUCCESS").alias("succeeded"),
-    )
+    none = F.lit(None).cast("bigint")
+    columns = ["attempted", "failed", "succeeded", "chosen", "logged_k", "logged_total"]
+
+    def facts(df: DataFrame, **values) -> DataFrame:
+        return df.select("run", *[values.get(c, none).cast("bigint").alias(c) for c in columns])
+
+    status = F.col("status")
+    known = facts(attempts, attempted=F.lit(1), failed=status == "FAILED", succeeded=status == "SUCCESS")
     if selected is not None:
-        totals = selected.groupBy("run").agg(F.count_if(F.col("hostname") != "").alias("total"))
-        out = totals.join(out.drop("total"), "run", "left").na.fill(0, ["failed", "succeeded"])
-    out = out.select(
+        known = known.unionByName(facts(selected, chosen=F.col("hostname") != ""))
+    if parsed is not None:
+        summary = F.col("kind") == "SUMMARY"
+        known = known.unionByName(
+            facts(parsed, logged_k=F.when(summary, F.col("k")), logged_total=F.when(summary, F.col("total")))
+        )
+    sums = known.groupBy("run").agg(
+        F.coalesce(F.sum("chosen"), F.sum("attempted"), F.lit(0)).alias("total"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("failed", "succeeded")],
+        *[F.max(c).alias(c) for c in ("logged_k", "logged_total")],
+    )
+    reached = F.col("failed") + F.col("succeeded")
+    verdict = F.when(F.col("failed") > 0, "failed").when((F.col("total") > reached) | (F.col("total") == 0), "incomplete")
+    return sums.select(
         "run",
         "total",
         "failed",
         "succeeded",
-        (F.col("total") - F.col("failed") - F.col("succeeded")).alias("no_result"),
+        (F.col("total") - reached).alias("no_result"),
         (F.col("total") - F.col("failed")).alias("claimed"),
-        F.when(F.col("failed") == 0, "ok").otherwise("failed").alias("verdict"),
+        verdict.otherwise("ok").alias("verdict"),
+        *(["logged_k", "logged_total"] if parsed is not None else []),
     )
-    if parsed is not None:
-        printed = (
-            parsed.where("kind = 'SUMMARY'")
-            .groupBy("run")
-            .agg(F.max("k").alias("logged_k"), F.max("total").alias("logged_total"))
-        )
-        out = out.join(printed, "run", "left")
-    return out
 
 
 def failed_hosts(attempts: DataFrame) -> DataFrame:
@@ -205,36 +250,21 @@ def failed_hosts(attempts: DataFrame) -> DataFrame:
     return counted.select("run", (F.col("idx") + 1).alias("idx"), "host")
 
 
-def failed_host_text(attempts: DataFrame, piece_hosts: int = PIECE_HOSTS) -> DataFrame:
-    """The failed hosts as space-joined text: ``run, piece, hosts``.
+def run_summary(outcomes: DataFrame) -> DataFrame:
+    """Outcome rows, one a run, with the fixed texts of the message a run prints.
 
-    A piece holds at most ``piece_hosts`` hosts, so no value grows with the run. Pieces in
-    order, joined by a space, are the whole list; almost every run has just piece 0.
+    ``head``, then the hosts of ``failed_hosts`` in their order, then ``tail``. Without a
+    failure ``head`` is the whole message and ``tail`` is null. The hosts stay rows: no
+    value grows with the run.
     """
-    pieces = failed_hosts(attempts).withColumn("piece", F.expr(f"(idx - 1) div {piece_hosts}"))
-    listed = F.array_sort(F.collect_list(F.struct("idx", "host")))
-    return pieces.groupBy("run", "piece").agg(
-        F.array_join(F.transform(listed, lambda x: x["host"]), " ").alias("hosts")
-    )
-
-
-def run_summary(outcomes: DataFrame, attempts: DataFrame, piece_hosts: int = PIECE_HOSTS) -> DataFrame:
-    """Outcome rows with the message a run prints, cut into the pieces of ``failed_host_text``."""
-    total = F.col("total").cast("string")
-    clean = outcomes.where("failed = 0").withColumns(
+    total, claimed = (F.col(c).cast("string") for c in ("total", "claimed"))
+    clean = F.col("failed") == 0
+    return outcomes.withColumns(
         {
-            "piece": F.lit(0).cast("bigint"),
-            "hosts": F.lit(None).cast("string"),
-            "message": X.fill(C.SUMMARY_OK_FORMAT, total=total),
+            "head": F.when(clean, X.fill(C.SUMMARY_OK_FORMAT, total=total)).otherwise(C.SUMMARY_FAILED_START),
+            "tail": F.when(~clean, X.fill(C.SUMMARY_FAILED_END, succeeded=claimed, total=total)),
         }
     )
-    head = F.when(F.col("piece") == 0, C.SUMMARY_FAILED_START).otherwise("")
-    tail = X.fill(C.SUMMARY_FAILED_END, succeeded=F.col("claimed").cast("string"), total=total)
-    is_last = F.col("piece") == F.expr(f"(failed - 1) div {piece_hosts}")
-    pieces = salted_join(
-        failed_host_text(attempts, piece_hosts), outcomes.where("failed > 0"), ["run"], ["piece"]
-    ).withColumn("message", F.concat(head, F.col("hosts"), F.when(is_last, tail).otherwise("")))
-    return clean.unionByName(pieces)
 
 
 def parse_service_lines(lines: DataFrame, ts_type: str = "timestamp_ntz") -> DataFrame:

@@ -18,11 +18,12 @@ def select_hosts(hosts: DataFrame, only: str | DataFrame | None = None) -> DataF
     """Hosts named in a comma list, or in the ``hostname`` column of a table; empty means all.
 
     Whole, case-sensitive names, untrimmed. Order and repeats of the hosts stay; repeats
-    in the list add nothing. A list becomes a filter the scan can use; a table becomes a
-    left semi join, broadcast only if Spark measures it as small.
+    in the list add nothing. A list becomes a filter the scan can use; a table is tested in
+    one join, broadcast only if Spark measures it as small. A table without rows means all, too.
     """
     if isinstance(only, DataFrame):
-        return hosts.join(only.select("hostname"), "hostname", "left_semi")
+        named = only.select("hostname")
+        return hosts.where(F.col("hostname").isin(named) | ~named.exists())
     if not only:
         return hosts
     return hosts.where(F.col("hostname").isin(re.split("[,\n]", only)))
@@ -37,7 +38,7 @@ def match_local(
     list per control machine and the key columns that tie it to its hosts.
 
     ``exact`` compares whole addresses. ``loose`` looks for the host as a word anywhere in
-    the list, a dot in it standing for any character, so ``31.0.85`` matches ``172.31.0.85``.
+    the list, a dot in it standing for any character, so ``0.2.85`` matches ``192.0.2.85``.
     """
     pattern = F.concat(F.lit(r"(?<!\w)"), F.regexp_replace("hostname", r"([^\w.])", r"\\$1"), F.lit(r"(?!\w)"))
     if isinstance(addresses, str):
@@ -45,6 +46,8 @@ def match_local(
             return hosts.where(F.col("hostname").isin(addresses.split()))
         return hosts.where(F.regexp_like(F.lit(addresses), pattern))
     keys = list(keys)
+    if not keys:
+        raise ValueError("a table of addresses needs keys that tie it to its hosts")
     if mode == "exact":
         tokens = X.drop_blank(F.split("addresses", r"\s+"))
         single = addresses.select(*keys, F.explode(tokens).alias("hostname"))

@@ -61,6 +61,8 @@ def consistent_across(
 ) -> DataFrame:
     """Per inventory and key: blocks, blocks without a value, different values.
 
+    ``consistent``: every block has the same value, and none is without.
+
     Counted by value first, so a large inventory is reduced before its rows meet.
     """
     by_value = (
@@ -73,7 +75,7 @@ def consistent_across(
         F.sum("n").alias("n_blocks"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
         F.count("value").alias("n_values"),
-        (F.count("value") <= 1).alias("consistent"),
+        ((F.count("value") == 1) & (F.count("*") == 1)).alias("consistent"),
     )
 
 
@@ -81,10 +83,12 @@ def inconsistent_blocks(
     services: DataFrame,
     keys=tuple(C.BACKFILL_PLACEHOLDERS),
     among=(C.SCHEDULER, C.WORKER),
+    *,
+    secret: str,
 ) -> DataFrame:
-    """The blocks behind each inconsistent (inventory, key), with a hash in place of the value."""
+    """The blocks behind each inconsistent (inventory, key), with a keyed hash in place of the value."""
     broken = consistent_across(services, keys, among).where("NOT consistent").select("inventory", "key")
-    blocks = _shared_values(services, keys, among).withColumn("value_hash", X.secret_hash("value")).drop("value")
+    blocks = _shared_values(services, keys, among).withColumn("value_hash", X.secret_hash("value", secret)).drop("value")
     return salted_join(blocks, broken, ["inventory", "key"], ["hostname", "service_pos", "server_pos"])
 
 

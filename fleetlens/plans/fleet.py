@@ -12,6 +12,7 @@ from fleetlens.operators import render, runlog
 from fleetlens.operators.inventory import server_rows, service_rows
 from fleetlens.operators.resolve import resolve
 from fleetlens.operators.select import drop_blank_rows, select_hosts
+from fleetlens.operators.skew import salted_join
 
 
 def services_of(documents: DataFrame) -> DataFrame:
@@ -24,23 +25,29 @@ def rollout_hosts(documents: DataFrame, only: str | DataFrame | None = None) ->
     return select_hosts(drop_blank_rows(hosts), only)
 
 
-def step_report(steps: DataFrame, parsed: DataFrame) -> DataFrame:
-    """State of every planned step in every run that worked on its host.
+def step_report(steps: DataFrame, parsed: DataFrame, runs: DataFrame) -> DataFrame:
+    """State of every planned step in every attempt at its host.
 
-    ``steps`` are install steps; a command is found in the log by its text. Failed, or
-    finished, or not run: because a step before it failed or because the log ends first.
+    ``steps`` are install steps. ``runs`` ties a run to the one inventory it works on:
+    ``run, inventory``; a run that is not in it has no planned steps. A command is found in
+    the log by its text. Failed, or finished, or not run: because a step before it failed or
+    because the log ends first.
     """
-    hosts = runlog.host_lines(parsed).select("run", F.col("host").alias("hostname")).distinct()
+    worked = runlog.number_attempts(parsed).select("run", F.col("host").alias("hostname"), "attempt").distinct()
     seen = (
         runlog.step_results(parsed)
-        .groupBy("run", F.col("host").alias("hostname"), F.col("command").alias("install_cmd"))
-        .agg(F.bool_or("failed").alias("failed"))
+        .groupBy("run", F.col("host").alias("hostname"), "attempt", F.col("command").alias("install_cmd"))
+        .agg(F.max(F.col("failed").cast("int")).alias("failed"))
+    )
+    planned = steps.where("install_cmd IS NOT NULL").join(runs.select("run", "inventory"), "inventory")
+    tried = salted_join(planned, worked, ["run", "hostname"], ["server_pos", "seq", "cmd_pos"])
+    keys = ["run", "hostname", "attempt", "install_cmd"]
+    states = salted_join(tried, seen, keys, ["server_pos", "seq", "cmd_pos"], "left")
+    placed = states.withColumns({"place": F.struct("seq", "cmd_pos"), "failed": F.col("failed").cast("boolean")})
+    states = runlog.steps_reached(placed, ("inventory", "run", "hostname", "attempt"), "server_pos", "place")
+    return states.select(
+        "inventory", "run", "hostname", "attempt", "server_pos", "seq", "cmd_pos", "install_cmd", "state"
     )
-    planned = steps.where("install_cmd IS NOT NULL").join(hosts, "hostname")
-    tried = planned.join(seen, ["run", "hostname", "install_cmd"], "left")
-    placed = tried.withColumn("place", F.struct("seq", "cmd_pos"))
-    states = runlog.steps_reached(placed, ("inventory", "run", "hostname"), "server_pos", "place")
-    return states.select("inventory", "run", "hostname", "server_pos", "seq", "cmd_pos", "install_cmd", "state")
 
 
 def fleet_documents(services: DataFrame, java_home: Column) -> DataFrame:

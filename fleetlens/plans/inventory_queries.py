@@ -19,6 +19,13 @@ from fleetlens.sources.scratch import scratch_path
 WITH = f"WITH {samples.blocks_sql()} "
 PLACE = "inventory, server_pos, hostname, service_pos"
 JAVA_HOME = "/usr/lib/jvm/java-17"
+# The key of the hashes that stand for secrets in these queries.
+HASH_KEY = "sample-key"
+
+
+def _hidden(value):
+    """SQL side of the keyed hash."""
+    return f"sha256('{HASH_KEY}' || chr(2) || sha256('{HASH_KEY}' || chr(1) || {value}))"
 
 
 def services(spark, sf_dir):
@@ -51,20 +58,38 @@ def read_inventory(spark, sf_dir):
     )
 
 
+# Per block: keys in the order of their names, each with the value found and its raw kind.
+BLOCK_TEXT = "array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN raw_{k} IS NOT NULL THEN '{k}=' || coalesce({k}, '-') END" for k in sorted(samples.VALUES)
+) + "], lambda x: x IS NOT NULL), chr(10))"
+
+
 @query(
     "write_inventory",
     WITH
-    + "SELECT hostname, service, DB_PORT AS db_port, 1 + "
-    + " + ".join(f"CASE WHEN raw_{k} IS NULL THEN 0 ELSE 1 END" for k in samples.VALUES)
-    + " AS n_keys FROM blocks",
+    + f"""SELECT {PLACE}, service, 'rack ' || (c_custkey % 10) AS rack, 'v' || (CAST(inventory AS BIGINT) % 3) AS version,
+      md5({BLOCK_TEXT}) AS block FROM blocks""",
 )
 def write_inventory(spark, sf_dir):
-    """Documents written and read back: nothing is lost, nulls included."""
+    """Documents with fields of their own, updated by nothing, written and read back whole."""
     path = scratch_path(spark, "documents")
-    source.write_inventory(samples.inventories(spark, sf_dir), path)
-    back = services_of(source.read_inventory(spark, path, multiline=False))
-    return back.select(
-        "hostname", "service", F.col("cfg")["DB_PORT"].alias("db_port"), F.size("cfg").cast("bigint").alias("n_keys")
+    texts = samples.inventory_texts(spark, sf_dir)
+    version = F.concat(F.lit('{"version":"v'), F.expr("int(inventory) % 3"), F.lit('","_notes"'))
+    text = F.replace("text", F.lit('{"_notes"'), version)
+    # A server field of its own, from the last digit of the host name.
+    text = F.regexp_replace(text, r'(\d)","server_type"', r'$1","rack":"rack $1","server_type"')
+    source.write_inventory(source.parse_inventory(texts.select("inventory", text.alias("text"))), path)
+    back = source.read_inventory(spark, path, multiline=False)
+    rows = services_of(back).join(back.select("inventory", "_document"), "inventory")
+    rack = F.get(F.from_json("_document", "servers array<struct<rack: string>>")["servers"], F.col("server_pos").cast("int"))
+    pairs = F.filter(F.map_entries("cfg"), lambda e: e["key"] != "name")
+    lines = F.transform(F.array_sort(pairs), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-"))))
+    return rows.select(
+        *PLACE.split(", "),
+        "service",
+        rack["rack"].alias("rack"),
+        F.get_json_object("_document", "$.version").alias("version"),
+        F.md5(F.array_join(lines, "\n")).alias("block"),
     )
 
 
@@ -88,7 +113,7 @@ def flatten_inventory(spark, sf_dir):
 
 
 def _entry(key):
-    hidden = f"sha256({key})" if key in C.SECRET_KEYS else key
+    hidden = _hidden(key) if key in C.SECRET_KEYS else key
     return f"{{'key': '{key}', 'value': {hidden}, 'there': raw_{key} IS NOT NULL}}"
 
 
@@ -100,14 +125,14 @@ ENTRIES_SQL = (
 
 @query("config_entries", WITH + ENTRIES_SQL)
 def config_entries(spark, sf_dir):
-    return resolve.mask_secrets(I.config_entries(services(spark, sf_dir)))
+    return resolve.mask_secrets(I.config_entries(services(spark, sf_dir)), HASH_KEY)
 
 
 @query("land_config_entries", WITH + ENTRIES_SQL)
 def land_config_entries(spark, sf_dir):
     """Entries written as a table by service, and read back."""
     landed = source.land_config_entries(I.config_entries(services(spark, sf_dir)), scratch_path(spark, "entries"))
-    return resolve.mask_secrets(landed)
+    return resolve.mask_secrets(landed, HASH_KEY)
 
 
 @query(
@@ -264,12 +289,12 @@ def _resolved_sql(service):
 
 def _resolve_query(name, service):
     admin = [] if service == C.SCHEDULER else ["ADMIN_PASSWORD"]
-    hidden = ", ".join(f"sha256({c}) AS {c}" for c in C.SECRET_COLUMNS if c not in admin)
+    hidden = ", ".join(f"{_hidden(c)} AS {c}" for c in C.SECRET_COLUMNS if c not in admin)
     present = "" if service == C.SPARK else f" REPLACE ({hidden})"
 
     @query(name, WITH + f", {_resolved_sql(service)} SELECT *{present} FROM res")
     def run(spark, sf_dir):
-        return resolve.mask_secrets(resolve.resolve(services(spark, sf_dir), service))
+        return resolve.mask_secrets(resolve.resolve(services(spark, sf_dir), service), HASH_KEY)
 
     return run
 
@@ -279,9 +304,22 @@ _resolve_query("resolve_worker", C.WORKER)
 _resolve_query("resolve_spark", C.SPARK)
 
 
+@query(
+    "package_rows",
+    WITH
+    + f""", {_resolved_sql(C.WORKER)}, named AS (SELECT *, list_concat(['apache-airflow==' || AIRFLOW_VERSION],
+        list_transform(list_filter(list_transform(string_split(extras, ','), lambda e: trim(e)), lambda e: e <> ''),
+          lambda e: 'apache-airflow[' || e || ']==' || AIRFLOW_VERSION)) AS l FROM res)
+      SELECT {PLACE}, service, 'https://www.python.org/ftp/python/' || PYTHON_VERSION || '/Python-' || PYTHON_VERSION || '.tgz' AS python_source_url,
+        generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS requirement FROM named""",
+)
+def package_rows(spark, sf_dir):
+    return resolve.package_rows(resolve.resolve(services(spark, sf_dir), C.WORKER))
+
+
 def _rule_entry(order, key, kind, default, service):
     value = _effective(service, key, kind, default)
-    hidden = f"sha256({value})" if key in C.SECRET_KEYS else value
+    hidden = _hidden(value) if key in C.SECRET_KEYS else value
     origin = f"CASE WHEN coalesce({key}, '') <> '' THEN 'set' WHEN {value} IS NOT NULL THEN 'default' ELSE 'missing' END"
     return f"{{'o': {order}, 'k': '{key}', 'v': {hidden}, 'g': {origin}}}"
 
@@ -299,7 +337,7 @@ def _rule_rows(service):
     + ") AS t",
 )
 def resolved_entries(spark, sf_dir):
-    return resolve.mask_secrets(resolve.resolved_entries(services(spark, sf_dir)))
+    return resolve.mask_secrets(resolve.resolved_entries(services(spark, sf_dir)), HASH_KEY)
 
 
 # Units and documents
@@ -350,15 +388,17 @@ def _env_pairs(service):
 def _env_query(name, service):
     pairs = ", ".join(f"{{'pos': {i}, 'key': '{k}', 'value': {v}}}" for i, (k, v) in enumerate(_env_pairs(service)))
 
+    secret = "'AIRFLOW__CORE__FERNET_KEY', 'AIRFLOW__DATABASE__SQL_ALCHEMY_CONN', 'AIRFLOW__CELERY__BROKER_URL', 'AIRFLOW__CELERY__RESULT_BACKEND', 'AIRFLOW__WEBSERVER__SECRET_KEY'"
+
     @query(
         name,
         WITH
-        + f", {_resolved_sql(service)} SELECT {PLACE}, u.pos AS pos, u.key AS key, sha256(u.value) AS value_hash"
+        + f", {_resolved_sql(service)} SELECT {PLACE}, u.pos AS pos, u.key AS key, CASE WHEN u.key IN ({secret}) THEN {_hidden('u.value')} ELSE u.value END AS value"
         + f" FROM (SELECT {PLACE}, unnest([{pairs}]) AS u FROM res) AS t",
     )
     def run(spark, sf_dir):
         rows = render.env_rows(resolve.resolve(services(spark, sf_dir), service), service)
-        return rows.withColumn("value_hash", X.secret_hash("value")).drop("value")
+        return resolve.mask_secrets(rows, HASH_KEY)
 
     return run
 
@@ -394,12 +434,12 @@ def _document_sql(service):
 def _render_query(name, service):
     @query(
         name,
-        WITH + f", {_resolved_sql(service)} SELECT {PLACE}, unit, sha256(body) AS body FROM ({_document_sql(service)}) AS d",
+        WITH + f", {_resolved_sql(service)} SELECT {PLACE}, unit, {_hidden('body')} AS body FROM ({_document_sql(service)}) AS d",
     )
     def run(spark, sf_dir):
         rows = resolve.resolve(services(spark, sf_dir), service)
         units = render.render_units(rows, service, F.lit(JAVA_HOME))
-        return resolve.mask_secrets(units)
+        return resolve.mask_secrets(units, HASH_KEY)
 
     return run
 
@@ -434,7 +474,7 @@ def _all_documents(service):
 @query(
     "write_documents",
     WITH
-    + f"SELECT {PLACE}, unit, sha256(body) AS body FROM ("
+    + f"SELECT {PLACE}, unit, {_hidden('body')} AS body FROM ("
     + " UNION ALL ".join(f"SELECT * FROM {_all_documents(s)} AS d" for s in samples.BLOCKS)
     + ") AS t",
 )
@@ -443,7 +483,7 @@ def write_documents(spark, sf_dir):
     path = scratch_path(spark, "rendered")
     landed = source.land_services(services(spark, sf_dir), scratch_path(spark, "services"))
     sinks.write_documents(fleet_documents(landed, F.lit(JAVA_HOME)), path)
-    return resolve.mask_secrets(spark.read.parquet(path))
+    return resolve.mask_secrets(spark.read.parquet(path), HASH_KEY)
 
 
 # Validation
@@ -514,7 +554,7 @@ SHARED = f""", shared AS (SELECT {PLACE}, service, u.key AS key, u.value AS valu
     unnest([{{'key': 'FERNET_KEY', 'value': FERNET_KEY}}, {{'key': 'WEBSERVER_SECRET_KEY', 'value': WEBSERVER_SECRET_KEY}}]) AS u
     FROM blocks WHERE service IN ('{C.SCHEDULER}', '{C.WORKER}')) AS t),
   report AS (SELECT inventory, key, count(*) AS n_blocks, count(*) - count(nullif(value, '')) AS n_missing,
-    count(DISTINCT nullif(value, '')) AS n_values, count(DISTINCT nullif(value, '')) <= 1 AS consistent
+    count(DISTINCT nullif(value, '')) AS n_values, count(DISTINCT nullif(value, '')) = 1 AND count(*) = count(nullif(value, '')) AS consistent
     FROM shared GROUP BY 1, 2) """
 
 
@@ -527,11 +567,11 @@ def consistency_check(spark, sf_dir):
     "inconsistent_blocks",
     WITH
     + SHARED
-    + f"SELECT {PLACE}, service, key, sha256(value) AS value_hash FROM shared JOIN report USING (inventory, key) WHERE NOT consistent",
+    + f"SELECT {PLACE}, service, key, {_hidden('value')} AS value_hash FROM shared JOIN report USING (inventory, key) WHERE NOT consistent",
 )
 def inconsistent_blocks(spark, sf_dir):
     documents = source.land_inventory(samples.inventories(spark, sf_dir), scratch_path(spark, "documents"))
-    return validate.inconsistent_blocks(services_of(documents))
+    return validate.inconsistent_blocks(services_of(documents), secret=HASH_KEY)
 
 
 @query(
@@ -640,15 +680,20 @@ def total_hosts(spark, sf_dir):
 
 @query(
     "config_lookup_default",
-    """SELECT CAST(event_id AS VARCHAR) AS hostname, event_type AS service, r.key AS key,
+    """SELECT user_id % 3 AS inventory, CAST(event_id AS VARCHAR) AS hostname, event_type AS service, r.key AS key,
       CASE r.key WHEN 'k' THEN json_extract_string(props, '$.k') END AS value,
       coalesce(CASE r.key WHEN 'k' THEN nullif(json_extract_string(props, '$.k'), '') END, 'unset') AS resolved
     FROM events CROSS JOIN (SELECT unnest(['k', 'absent']) AS key) AS r""",
 )
 def config_lookup_default(spark, sf_dir):
     """Two requests per event against the entries of its own settings text."""
-    events = table(spark, sf_dir, "events").selectExpr("string(event_id) AS hostname", "event_type AS service", "props")
-    entries = events.select("hostname", "service", F.explode(F.from_json("props", "map<string, string>")))
-    requests = events.select("hostname", "service", F.explode(F.array(F.lit("k"), F.lit("absent"))).alias("key"))
+    events = table(spark, sf_dir, "events").selectExpr(
+        "user_id % 3 AS inventory", "string(event_id) AS hostname", "event_type AS service", "props"
+    )
+    place = ["inventory", "hostname", "service"]
+    entries = events.select(*place, F.explode(F.from_json("props", "map<string, string>")))
+    # The same host in another inventory has other entries.
+    entries = entries.unionByName(entries.withColumns({"inventory": F.col("inventory") + 3, "value": F.lit("elsewhere")}))
+    requests = events.select(*place, F.explode(F.array(F.lit("k"), F.lit("absent"))).alias("key"))
     found = resolve.config_lookup(requests, entries)
     return resolve.apply_defaults(found.withColumn("default", F.lit("unset"))).drop("default")

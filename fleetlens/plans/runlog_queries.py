@@ -95,9 +95,10 @@ def attribute_lines(spark, sf_dir):
 @query(
     "step_results",
     EVENTS
-    + """SELECT run, owner AS host, n, command, kind = 'STEP_ERR' AS failed FROM (SELECT run, n, kind, command,
+    + """SELECT run, owner AS host, 1 + done AS attempt, n, command, kind = 'STEP_ERR' AS failed FROM (SELECT *, count(status) OVER
+        (PARTITION BY run, owner ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM (SELECT run, n, kind, command, status,
         last_value(host IGNORE NULLS) OVER (PARTITION BY run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner
-      FROM lines) AS b WHERE kind IN ('STEP_OK', 'STEP_ERR') AND owner IS NOT NULL""",
+      FROM lines) AS b) AS c WHERE kind IN ('STEP_OK', 'STEP_ERR') AND owner IS NOT NULL""",
 )
 def step_results(spark, sf_dir):
     return runlog.step_results(stored(parsed_lines(spark, sf_dir), "run-lines")).drop("part")
@@ -137,38 +138,51 @@ def steps_reached(spark, sf_dir):
     return runlog.steps_reached(with_part(steps)).drop("part")
 
 
-# Two lines per event: the host line of its user, then the result of one of five steps.
-STEP_LINES = """SELECT strftime(ts, '%d%m%Y') || '000000' AS run, user_id, 'step_' || (event_id % 5) AS cmd, value > 45 AS failed
-    FROM events"""
+# Per event the host line of its user, the result of one of five steps, and for a third of the
+# events the host's own result, after which the host's next lines are another attempt. A run is
+# a day of one inventory. On odd days that is a second inventory with the same hosts and fewer steps.
+STEP_EVENTS = """SELECT strftime(ts, '%d%m%Y') || lpad(CAST(CAST(floor(user_id / 40.0) AS BIGINT) AS VARCHAR), 6, '0') AS run, user_id,
+    CAST(floor(user_id / 40.0) AS BIGINT) + 1000000 * (day(ts) % 2) AS inventory, 'step_' || (event_id % 5) AS cmd, value > 45 AS failed,
+    1 + count(*) FILTER (event_id % 3 = 0) OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attempt FROM events"""
 
 
 @query(
     "step_report",
-    f"""WITH seen AS (SELECT run, user_id, cmd, bool_or(failed) AS failed FROM ({STEP_LINES}) AS l GROUP BY 1, 2, 3),
-      steps AS (SELECT c_custkey, CAST(floor(c_custkey / 40.0) AS BIGINT) AS inventory, unnest([0, 1, 2, 3, 4]) AS seq FROM customer),
-      tried AS (SELECT inventory, runs.run, c_custkey, seq, failed FROM steps
-        JOIN (SELECT DISTINCT run, user_id FROM seen) AS runs ON runs.user_id = c_custkey
-        LEFT JOIN seen ON seen.run = runs.run AND seen.user_id = c_custkey AND seen.cmd = 'step_' || seq)
-    SELECT inventory, run, 'n' || c_custkey AS hostname, c_custkey AS server_pos, seq, 0 AS cmd_pos, 'step_' || seq AS install_cmd,
-      CASE WHEN failed IS NULL OR count(*) FILTER (failed) OVER (PARTITION BY run, c_custkey ORDER BY seq
+    f"""WITH ev AS ({STEP_EVENTS}), seen AS (SELECT run, user_id, attempt, cmd, bool_or(failed) AS failed FROM ev GROUP BY 1, 2, 3, 4),
+      steps AS (SELECT c_custkey, CAST(floor(c_custkey / 40.0) AS BIGINT) AS inventory, unnest([0, 1, 2, 3, 4]) AS seq FROM customer
+        UNION ALL SELECT c_custkey, CAST(floor(c_custkey / 40.0) AS BIGINT) + 1000000, unnest([0, 1, 2]) FROM customer),
+      tried AS (SELECT steps.inventory, runs.run, c_custkey, worked.attempt, seq, failed FROM steps
+        JOIN (SELECT DISTINCT run, inventory FROM ev) AS runs ON runs.inventory = steps.inventory
+        JOIN (SELECT DISTINCT run, user_id, attempt FROM ev) AS worked ON worked.run = runs.run AND worked.user_id = c_custkey
+        LEFT JOIN seen ON seen.run = runs.run AND seen.user_id = c_custkey AND seen.attempt = worked.attempt AND seen.cmd = 'step_' || seq)
+    SELECT inventory, run, 'n' || c_custkey AS hostname, attempt, c_custkey AS server_pos, seq, 0 AS cmd_pos, 'step_' || seq AS install_cmd,
+      CASE WHEN failed IS NULL OR count(*) FILTER (failed) OVER (PARTITION BY run, c_custkey, attempt ORDER BY seq
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'NOT_RUN' WHEN failed THEN 'FAILED' ELSE 'OK' END AS state FROM tried""",
 )
 def planned_steps(spark, sf_dir):
-    """Five planned steps per customer against the logged steps of the user with its number."""
-    events = table(spark, sf_dir, "events").withColumn("run", X.run_id(F.to_date("ts").cast("timestamp_ntz")))
+    """Planned steps of customers' hosts against the logged steps of the users with their numbers."""
+    events = table(spark, sf_dir, "events").selectExpr(
+        "*",
+        "concat(date_format(ts, 'ddMMyyyy'), lpad(string(user_id div 40), 6, '0')) AS run",
+        "user_id div 40 + 1000000 * (day(ts) % 2) AS inventory",
+    )
     opening = X.log_line("ts", F.concat(F.lit("=== n"), "user_id", F.lit(" === running installer remotely")))
     result = F.expr("concat(if(value > 45, 'Error', 'Successfully'), if(value > 45, ' executing', ' executed'), ': step_', event_id % 5)")
-    lines = events.select("run", "event_id", F.posexplode(F.array(opening, result)).alias("pos", "line"))
-    placed = with_part(lines.select("run", F.expr("event_id * 2 + pos").alias("n"), "line"))
+    ended = F.when(F.expr("event_id % 3 = 0"), X.log_line("ts", F.concat(F.lit("=== n"), "user_id", F.lit(": SUCCESS ==="))))
+    lines = events.select("run", "event_id", F.posexplode(F.array(opening, result, ended)).alias("pos", "line"))
+    placed = with_part(lines.where("line IS NOT NULL").select("run", F.expr("event_id * 3 + pos").alias("n"), "line"))
     parsed = stored(runlog.parse_run_lines(placed), "run-lines")
-    steps = table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey div 40 AS inventory",
+    hosts = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS server_pos",
         "concat('n', c_custkey) AS hostname",
-        "explode(sequence(0, 4)) AS seq",
+        "explode(array(0, 1000000)) AS twin",
+        "c_custkey div 40 + twin AS inventory",
         "0 AS cmd_pos",
     )
-    return step_report(steps.withColumn("install_cmd", F.concat(F.lit("step_"), "seq")), parsed)
+    steps = hosts.withColumn("seq", F.explode(F.expr("sequence(0, if(twin = 0, 4, 2))"))).drop("twin")
+    runs = events.select("run", "inventory").distinct()
+    return step_report(steps.withColumn("install_cmd", F.concat(F.lit("step_"), "seq")), parsed, runs)
 
 
 @query(
@@ -182,18 +196,25 @@ def failed_hosts(spark, sf_dir):
 OUTCOMES = """, outcomes AS (SELECT run, count(*) AS total, count(*) FILTER (status = 'FAILED') AS failed,
     count(*) FILTER (status = 'SUCCESS') AS succeeded FROM attempts GROUP BY 1) """
 OUTCOME = """outcomes.run AS run, outcomes.total AS total, failed, succeeded, outcomes.total - failed - succeeded AS no_result,
-  outcomes.total - failed AS claimed, CASE WHEN failed = 0 THEN 'ok' ELSE 'failed' END AS verdict"""
+  outcomes.total - failed AS claimed, CASE WHEN failed > 0 THEN 'failed' WHEN outcomes.total > failed + succeeded OR outcomes.total = 0
+    THEN 'incomplete' ELSE 'ok' END AS verdict"""
+# Beside each day's run one that found no servers.
+STOPPED = "left(run, 13) || '1'"
 
 
 @query(
     "run_outcomes",
     EVENTS
     + OUTCOMES
-    + f"SELECT {OUTCOME}, ends.total AS logged_k, ends.total AS logged_total FROM outcomes JOIN ends ON ends.run = outcomes.run",
+    + f"""SELECT {OUTCOME}, ends.total AS logged_k, ends.total AS logged_total FROM ends LEFT JOIN outcomes ON ends.run = outcomes.run
+      UNION ALL SELECT {STOPPED}, 0, 0, 0, 0, 0, 'incomplete', NULL, NULL FROM ends""",
 )
 def run_outcomes(spark, sf_dir):
     needed = parsed_lines(spark, sf_dir).where("host IS NOT NULL OR kind = 'SUMMARY'")
-    parsed = stored(needed, "run-lines")
+    stopped = table(spark, sf_dir, "events").groupBy(X.run_id(F.to_date("ts").cast("timestamp_ntz")).alias("run")).agg(F.min("ts").alias("ts"))
+    notice = X.log_line("ts", F.lit("No servers found in env.json (or none matched ONLY=)"))
+    lines = stopped.select(F.expr(STOPPED).alias("run"), F.lit(0).cast("bigint").alias("n"), notice.alias("line"))
+    parsed = stored(needed.unionByName(runlog.parse_run_lines(with_part(lines))), "run-lines")
     return runlog.run_outcomes(runlog.host_attempts(parsed), parsed)
 
 
@@ -217,18 +238,12 @@ def run_outcomes_of_selected(spark, sf_dir):
     "run_summary",
     EVENTS
     + OUTCOMES
-    + f""", pieces AS (SELECT run, CAST(floor((idx - 1) / 50.0) AS BIGINT) AS piece, string_agg(host, ' ' ORDER BY idx) AS hosts FROM (
-        SELECT run, host, row_number() OVER (PARTITION BY run ORDER BY n) AS idx FROM attempts WHERE status = 'FAILED') AS f GROUP BY 1, 2)
-      SELECT {OUTCOME}, coalesce(piece, 0) AS piece, hosts,
-        CASE WHEN failed = 0 THEN 'Deployment complete: ' || outcomes.total || '/' || outcomes.total || ' hosts succeeded.'
-        ELSE (CASE WHEN piece = 0 THEN 'Deployment finished with failures on: ' ELSE '' END) || hosts
-          || (CASE WHEN piece = CAST(floor((failed - 1) / 50.0) AS BIGINT) THEN ' (' || (outcomes.total - failed) || '/' || outcomes.total
-            || ' succeeded)' ELSE '' END) END AS message
-      FROM outcomes LEFT JOIN pieces ON pieces.run = outcomes.run""",
+    + f"""SELECT {OUTCOME}, CASE WHEN failed = 0 THEN 'Deployment complete: ' || outcomes.total || '/' || outcomes.total || ' hosts succeeded.'
+        ELSE 'Deployment finished with failures on: ' END AS head,
+        CASE WHEN failed > 0 THEN ' (' || (outcomes.total - failed) || '/' || outcomes.total || ' succeeded)' END AS tail FROM outcomes""",
 )
 def run_summary(spark, sf_dir):
-    attempts = landed_attempts(spark, sf_dir)
-    return runlog.run_summary(runlog.run_outcomes(attempts), attempts, piece_hosts=50)
+    return runlog.run_summary(runlog.run_outcomes(landed_attempts(spark, sf_dir)))
 
 
 # Service logs
@@ -281,42 +296,30 @@ def stream_attempts(spark, sf_dir):
     out = scratch_path(spark, "attempts")
     stream = streaming.stream_lines(spark, files, max_files=8)
     streaming.write_attempts(stream, out, scratch_path(spark, "progress"), samples.RUN_FOLDER_PATTERN).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    return streaming.read_attempts(spark, out)
 
 
-@query(
-    "stream_attempts_stateful",
-    EVENTS
-    + """SELECT run, host, min(ts) AS started, max(CASE WHEN status IS NOT NULL THEN ts END) AS ended,
-      coalesce(arg_max(status, (ts, status, reason)) FILTER (status IS NOT NULL), 'NO_RESULT') AS status, date_diff('second', min(ts),
-      max(CASE WHEN status IS NOT NULL THEN ts END)) AS seconds FROM lines WHERE host IS NOT NULL GROUP BY 1, 2""",
-)
+@query("stream_attempts_stateful", EVENTS + f"SELECT {ATTEMPT} FROM attempts")
 def stream_attempts_stateful(spark, sf_dir):
-    """First line and last result of each host of a run, kept as state over all files."""
+    """Attempts of runs that arrive in several files, in batches that cut them."""
     out = scratch_path(spark, "attempts")
     stream = streaming.stream_lines(spark, samples.run_files(spark, sf_dir), max_files=8)
-    result = streaming.attempts(stream, samples.RUN_FOLDER_PATTERN).drop("reason")
-    streaming.write_table(result, out, scratch_path(spark, "progress"), "complete").awaitTermination()
-    return _wall_clock(spark.read.parquet(out), "started", "ended")
-
-
-def _wall_clock(df, *columns):
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+    streaming.write_attempts(stream, out, scratch_path(spark, "progress"), samples.RUN_FOLDER_PATTERN).awaitTermination()
+    return streaming.read_attempts(spark, out)
 
 
 @query(
     "stream_levels",
-    """SELECT CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, date_trunc('minute', ts) AS minute, count(*) AS lines
-      FROM events WHERE event_type <> 'click' GROUP BY 1, 2""",
+    """SELECT user_id % 7 AS file, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN NULL ELSE 'INFO' END AS level,
+      CASE WHEN event_type <> 'click' THEN date_trunc('minute', ts) END AS minute, count(*) AS lines FROM events GROUP BY 1, 2, 3""",
 )
 def stream_levels(spark, sf_dir):
-    """Level counts in append mode. A last line far ahead lets the newest windows out."""
+    """Counts per log, level and minute of lines that arrive in any order, unstamped ones included."""
     files = scratch_path(spark, "service-logs")
-    lines = samples.service_lines(spark, sf_dir).select("line")
-    last = table(spark, sf_dir, "events").agg(F.max("ts").alias("ts")).selectExpr("ts + INTERVAL 10 DAYS AS ts")
-    ahead = last.select(X.log_line("ts", F.lit("end"), F.lit("INFO")).alias("line"))
-    lines.unionByName(ahead).write.text(files)
+    samples.service_lines(spark, sf_dir).select("line", "log").repartition("log").write.partitionBy("log").text(files)
     out = scratch_path(spark, "levels")
-    result = streaming.levels(streaming.stream_lines(spark, files), delay="1 hour")
-    streaming.write_table(result, out, scratch_path(spark, "progress")).awaitTermination()
-    return _wall_clock(spark.read.parquet(out), "minute")
+    stream = streaming.stream_lines(spark, files, max_files=3)
+    streaming.write_level_counts(stream, out, scratch_path(spark, "progress")).awaitTermination()
+    log = F.regexp_extract("file", r"log=(\d+)", 1).cast("bigint")
+    counts = streaming.read_level_counts(spark, out).groupBy(log.alias("file"), "level", "minute")
+    return counts.agg(F.sum("lines").alias("lines"))

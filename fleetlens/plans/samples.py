@@ -228,4 +228,5 @@ def service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         F.coalesce(X.log_line("ts", message, level), F.concat(F.lit("output "), "event_id")).alias("line"),
         level.alias("level"),
+        F.expr("user_id % 7").alias("log"),
     )

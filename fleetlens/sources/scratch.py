@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings that may name the folder, the first that is set counts.
+FOLDER_SETTINGS = ("spark.checkpoint.dir", "spark.fleetlens.scratch.dir")
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that the session names, which all executors must share."""
+    base = next(filter(None, (spark.conf.get(s, None) for s in FOLDER_SETTINGS)), None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="fleetlens-")
+        raise ValueError(f"set {FOLDER_SETTINGS[0]} to a folder all executors share")
     return f"{base.rstrip('/')}/fleetlens/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,11 +1,14 @@
-"""Run logs and service logs as they arrive.
+"""Run logs and service logs as they arrive, with the rows the batch operators give.
 
-A finished run-log file is the unit: the file source reads a file once, whole, in one
-micro-batch. So a run that is one file never spans batches, and its attempts need no
-state at all (``write_attempts``). Runs that arrive in several files need the stateful
-forms, which do not number the attempts of a host listed twice.
+Each micro-batch writes folders of its own and replaces them when it is repeated, so a
+restart adds nothing twice and no state is held between batches but the tables themselves.
 
-Event time must be TIMESTAMP; set the session zone to UTC to read the stamps as they are.
+* Run logs are landed first: their lines have a fixed place before an ordered operator
+  reads them. A batch then works out the attempts of the runs it has lines of, from all
+  lines landed so far. A run may come in any number of files, across any time, and
+  ``read_attempts`` gives the rows of the last batch that had the run.
+* Service lines are counted batch by batch; counts of batches add up. Late lines and lines
+  without a stamp count like any other.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
-from fleetlens.functions import text as X
 from fleetlens.operators import runlog
 from fleetlens.sources.logs import number_in_file, text_lines, with_run
 
@@ -27,74 +29,54 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     return text_lines(reader, path)
 
 
+def _start(stream: DataFrame, write, checkpoint: str, drain: bool):
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if drain else writer).start()
+
+
 def write_attempts(
     stream: DataFrame, out: str, checkpoint: str, run_pattern: str = C.RUN_FILE_PATTERN, drain: bool = True
 ):
-    """Attempts of the files of each batch, as ``out/batch=<id>``.
+    """Attempts of the runs of each batch, as ``out/attempts/batch=<id>``; read them with ``read_attempts``.
 
-    A repeated batch overwrites its own folder, so a restart adds nothing twice. ``drain``
-    reads what is there and stops.
+    Parsed host lines are kept under ``out/lines``, by the date of the run, and only the dates
+    and runs of a batch are read again. ``drain`` reads what is there and stops.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = runlog.parse_run_lines(number_in_file(with_run(batch, run_pattern)))
-        runlog.host_attempts(parsed).drop("part", "n").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        parsed = runlog.host_lines(runlog.parse_run_lines(number_in_file(with_run(batch, run_pattern))))
+        # A run without a host line has no attempts. A run whose name is no time has no date.
+        dated = parsed.withColumn("run_date", F.coalesce(F.col("run_ts").cast("date").cast("string"), F.lit("none")))
+        folder = f"{out}/lines/batch={batch_id}"
+        dated.write.mode("overwrite").partitionBy("run_date").parquet(folder)
+        schema = dated.schema.add("batch", "long")
+        lines = spark.read.schema(schema).option("basePath", f"{out}/lines").parquet(f"{out}/lines")
+        touched = lines.where(F.col("batch") == batch_id).select("run_date", "run").distinct()
+        whole = lines.where(F.col("batch") <= batch_id).join(touched, ["run_date", "run"], "left_semi")
+        found = runlog.host_attempts(whole).drop("part", "n")
+        found.write.mode("overwrite").parquet(f"{out}/attempts/batch={batch_id}")
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if drain else writer).start()
+    return _start(stream, write, checkpoint, drain)
 
 
-def attempts(stream: DataFrame, run_pattern: str = C.RUN_FILE_PATTERN, delay: str | None = None, width: str = "1 day") -> DataFrame:
-    """One row per (run, host) over arriving lines.
+def read_attempts(spark: SparkSession, out: str) -> DataFrame:
+    """The attempts of all runs that have arrived: for each run those of its last batch."""
+    found = spark.read.option("basePath", f"{out}/attempts").parquet(f"{out}/attempts")
+    last = found.groupBy("run").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["run", "batch"]).drop("batch")
 
-    Without ``delay`` the state grows with the runs; use complete output. With ``delay``
-    hosts are grouped per window of ``width`` and leave the state once the watermark has
-    passed it; use append output, in which a host without a result appears as NO_RESULT.
-    Of two results in the same second the greater one in text order counts.
-    """
-    lines = with_run(stream, run_pattern).select("run", "line")
-    hosts = runlog.host_lines(runlog.parse_run_lines(lines, "timestamp"))
-    done = F.col("status").isNotNull()
-    keys = ["run", "host"]
-    if delay:
-        hosts = hosts.withWatermark("ts", delay)
-        keys = [F.window("ts", width).alias("window"), *keys]
-    return (
-        hosts.groupBy(*keys)
-        .agg(
-            F.min("ts").alias("started"),
-            F.max(F.when(done, F.struct("ts", "status", "reason"))).alias("last"),
-        )
-        .select(
-            *[k if isinstance(k, str) else "window" for k in keys],
-            "started",
-            F.col("last.ts").alias("ended"),
-            F.coalesce("last.status", F.lit("NO_RESULT")).alias("status"),
-            "last.reason",
-            X.seconds_between("started", "last.ts").alias("seconds"),
-        )
-    )
-
-
-def levels(stream: DataFrame, delay: str | None = None, width: str = "1 minute") -> DataFrame:
-    """Lines per level and window. With ``delay``, append output drops lines behind the watermark."""
-    parsed = runlog.parse_service_lines(stream, "timestamp").where("ts IS NOT NULL")
-    if delay:
-        parsed = parsed.withWatermark("ts", delay)
-    return (
-        parsed.groupBy(F.window("ts", width).alias("window"), "level")
-        .agg(F.count("*").alias("lines"))
-        .select(F.col("window.start").alias("minute"), "level", "lines")
-    )
-
-
-def write_table(result: DataFrame, out: str, checkpoint: str, mode: str = "append"):
-    """Drain a stateful stream into Parquet. In complete mode each batch replaces ``out``."""
-    writer = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        return writer.format("parquet").start(out)
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    return writer.foreachBatch(replace).start()
+
+def write_level_counts(stream: DataFrame, out: str, checkpoint: str, drain: bool = True):
+    """Lines of each batch per file, level and minute, as ``out/batch=<id>``; read them with ``read_level_counts``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = runlog.parse_service_lines(batch.where("line != ''"))
+        runlog.level_counts(parsed).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(stream, write, checkpoint, drain)
+
+
+def read_level_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Lines per file, level and minute over all batches; unstamped lines have a null level and minute."""
+    return spark.read.parquet(out).groupBy("file", "level", "minute").agg(F.sum("lines").alias("lines"))

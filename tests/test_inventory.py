@@ -105,11 +105,14 @@ def test_host_services_say_how_often_a_host_is_listed(documents, services):
 
 def test_lookup(spark, services):
     requests = spark.createDataFrame(
-        [("10.0.0.1", C.SCHEDULER, k) for k in ("DB_PORT", "JWT_ISSUER", "NOPE")]
-        + [("10.0.0.9", C.SCHEDULER, "DB_PORT"), ("10.0.0.2", C.WORKER, "FERNET_KEY")],
-        "hostname string, service string, key string",
+        [("i", "10.0.0.1", C.SCHEDULER, k) for k in ("DB_PORT", "JWT_ISSUER", "NOPE")]
+        + [("i", "10.0.0.9", C.SCHEDULER, "DB_PORT"), ("i", "10.0.0.2", C.WORKER, "FERNET_KEY")],
+        "inventory string, hostname string, service string, key string",
     )
-    got = R.config_lookup(requests, I.config_entries(services)).select("hostname", "key", "value")
+    here = I.config_entries(services.withColumn("inventory", F.lit("i")))
+    # The same hosts in another inventory.
+    there = here.withColumns({"inventory": F.lit("k"), "value": F.lit("other")})
+    got = R.config_lookup(requests, here.unionByName(there)).select("hostname", "key", "value")
     assert rows(got, "hostname", "key", "value") == [
         ("10.0.0.1", "DB_PORT", "5432"), ("10.0.0.1", "JWT_ISSUER", None), ("10.0.0.1", "NOPE", None),
         ("10.0.0.2", "FERNET_KEY", None), ("10.0.0.2", "FERNET_KEY", ""), ("10.0.0.9", "DB_PORT", None),
@@ -171,10 +174,57 @@ def test_no_services_needs_no_backfill(spark):
 
 def test_written_documents_read_back_the_same(spark, documents, tmp_path):
     path = str(tmp_path / "out")
-    S.write_inventory(documents, path)
+    readable = documents.where("_corrupt_record IS NULL")
+    S.write_inventory(readable, path)
     back = S.read_inventory(spark, path, multiline=False)
     assert back.count() == 1
     assert body(back) == body(documents)
+    assert back.select("inventory").collect() == readable.select("inventory").collect()
+
+
+FIELDS = {
+    "version": 7, "text": "7", "nested": {"servers": [1, {"a": 1.5}], "quote": "\\E\\Q\"]}"},
+    "servers": [
+        {"rack": 12, "hostname": "h1", "services": [{"name": "Airflow-Worker", "FERNET_KEY": "", "n": 1, "b": None}], "tags": ["x", True]},
+        {"hostname": "h2"}, {"hostname": "h3", "services": [{"name": "z", "FERNET_KEY": "old"}]},
+    ],
+}
+
+
+def test_fields_of_no_schema_survive_an_update(spark, tmp_path):
+    texts = spark.createDataFrame([("a", json.dumps(FIELDS)), ("b", '{"x": 1}'), ("c", "{}")], "inventory string, text string")
+    path = str(tmp_path / "out")
+    S.write_inventory(I.backfill_keys(S.parse_inventory(texts), NEW), path)
+    back = {r.inventory: json.loads(r._document) for r in S.read_inventory(spark, path, multiline=False).collect()}
+    expected = json.loads(json.dumps(FIELDS))
+    for server in (0, 2):
+        expected["servers"][server]["services"][0]["FERNET_KEY"] = "new-f"
+    assert back == {
+        "a": {"_inventory": "a", **expected}, "b": {"_inventory": "b", "x": 1}, "c": {"_inventory": "c"},
+    }
+    again = str(tmp_path / "again")
+    S.write_inventory(S.read_inventory(spark, path, multiline=False), again)
+    assert {r.inventory for r in S.read_inventory(spark, again, multiline=False).collect()} == {"a", "b", "c"}
+
+
+def test_what_cannot_be_written_whole_fails(spark, documents, tmp_path):
+    with pytest.raises(Exception, match="unreadable document"):
+        S.write_inventory(documents, str(tmp_path / "broken"))
+    fewer = documents.where("_corrupt_record IS NULL").withColumn("servers", F.slice("servers", 1, 1))
+    with pytest.raises(Exception, match="added or taken away"):
+        S.write_inventory(fewer, str(tmp_path / "fewer"))
+
+
+def test_names_do_not_depend_on_the_scan(spark, tmp_path):
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({"servers": [], "n": i}) for i in range(50)))
+    names = [r.inventory for r in S.read_inventory(spark, str(tmp_path), multiline=False).collect()]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        again = [r.inventory for r in S.read_inventory(spark, str(tmp_path), multiline=False).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(set(names)) == 50 and sorted(names) == sorted(again)
 
 
 def test_landed_entries_are_pruned_by_service(spark, services, tmp_path):

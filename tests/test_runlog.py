@@ -1,6 +1,8 @@
 """Run logs: hand-written golden files."""
 
-from datetime import datetime
+import random
+import re
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,44 +138,76 @@ def test_seconds_do_not_depend_on_the_session_zone(spark, parsed):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-# Stamps of two whole runs: per host, its first line, its phase lines, and its result line.
-KNOWN = {
-    "25092026162429": [
-        ["16:24:29", "16:27:31"],
-        ["16:27:31", "16:27:32", "16:27:32", "16:30:06"],
-        ["16:30:06", "16:30:06", "16:30:06", "16:32:34"],
-        ["16:32:34", "16:32:35", "16:32:35", "16:33:21"],
-    ],
-    "26092026105339": [
-        ["10:53:39", "10:55:11"],
-        ["10:55:11", "10:55:12", "10:55:12", "10:58:11"],
-        ["10:58:11", "10:58:11", "10:58:12", "11:00:48"],
-        ["11:00:48", "11:00:49", "11:00:49", "11:01:36"],
-    ],
+# Seconds that each host's lines take after one another: the wording of a real run, invented times.
+REMOTE_PHASES = ["ensuring remote directory exists", "copying settings files", "running installer remotely"]
+INVENTED = {
+    "03032026070000": [[75], [2, 1, 90], [0, 0, 61], [5, 0, 33]],
+    "04032026235900": [[20], [1, 1, 200], [3, 2, 40], [0, 4, 8]],
 }
 
 
-def test_known_durations(spark):
-    phases = ["ensuring remote directory exists", "copying settings files", "running installer remotely"]
+def test_invented_durations(spark):
     lines = []
-    for run, hosts in KNOWN.items():
-        day = f"{run[4:8]}-{run[2:4]}-{run[0:2]}"
-        for i, stamps in enumerate(hosts):
-            names = phases if i else ["running locally"]
+    for run, hosts in INVENTED.items():
+        now = datetime.strptime(run, "%d%m%Y%H%M%S")
+        for i, steps in enumerate(hosts):
             marker = "" if i else " (control server itself)"
-            texts = [f"=== h{i}{marker} === {p}" for p in names] + [f"=== h{i}: SUCCESS ==="]
-            lines += [(run, f"[{day} {s}] {t}") for s, t in zip(stamps, texts, strict=True)]
-        lines.append((run, f"[{day} {hosts[-1][-1]}] Deployment complete: 4/4 hosts succeeded."))
+            for phase, seconds in zip(REMOTE_PHASES if i else ["running locally"], steps, strict=True):
+                lines.append((run, f"[{now}] === h{i}{marker} === {phase}"))
+                now += timedelta(seconds=seconds)
+            lines.append((run, f"[{now}] === h{i}: SUCCESS{'' if i else ' (local)'} ==="))
+        lines.append((run, f"[{now}] Deployment complete: 4/4 hosts succeeded."))
+    # Pieces of five lines, so attempts run on from piece to piece.
     rows_in = [(run, i // 5, i, line) for i, (run, line) in enumerate(lines)]
     parsed = R.parse_run_lines(spark.createDataFrame(rows_in, "run string, part long, n long, line string"))
     attempts = R.host_attempts(parsed)
-    seconds = [r.seconds for r in attempts.orderBy("started").collect()]
-    assert seconds == [182, 155, 148, 47, 92, 180, 157, 48]
-    assert (sum(seconds[:4]), sum(seconds[4:])) == (532, 477)
-    remote = R.phase_durations(parsed).where("phase LIKE '%remotely'").orderBy("n")
-    assert [r.seconds for r in remote.collect()] == [154, 148, 46, 179, 156, 47]
-    outcome = R.run_outcomes(attempts, parsed).select("total", "succeeded", "logged_k", "logged_total").collect()
-    assert [tuple(r) for r in outcome] == [(4, 4, 4, 4)] * 2
+    seconds = [r.seconds for r in attempts.orderBy("run", "host").collect()]
+    assert seconds == [sum(steps) for hosts in INVENTED.values() for steps in hosts]
+    stages = R.phase_durations(parsed).where("host = 'h1'").orderBy("run", "n").collect()
+    assert [(r.stage, r.seconds) for r in stages] == [
+        ("ensure_dir", 2), ("copy", 1), ("run", 90), ("ensure_dir", 1), ("copy", 1), ("run", 200),
+    ]
+    outcome = R.run_outcomes(attempts, parsed).select("total", "succeeded", "logged_k", "logged_total", "verdict").collect()
+    assert [tuple(r) for r in outcome] == [(4, 4, 4, 4, "ok")] * 2
+
+
+def test_attempts_over_many_pieces_match_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows_in, expected, n = [], [], 0
+    for run in ("a", "b"):
+        state = {}
+        for _ in range(400):
+            host = rng.choice(["h", "h", "h", "g", "k"])
+            n += 1
+            ts = datetime(2026, 1, 1) + timedelta(seconds=n // 2)
+            status = rng.choice([None] * 5 + ["SUCCESS", "FAILED"])
+            reason = rng.choice([None, "scp"]) if status else None
+            rows_in.append((run, n // 7, n, host, ts, status, reason))
+            number, first = state.get(host, (1, None))
+            first = first or ts
+            if status:
+                expected.append((run, host, number, first, ts, status, reason, int((ts - first).total_seconds()), n))
+                state[host] = (number + 1, None)
+            else:
+                state[host] = (number, first)
+        expected += [(run, h, k, t, None, "NO_RESULT", None, None, None) for h, (k, t) in state.items() if t]
+    parsed = spark.createDataFrame(
+        rows_in, "run string, part long, n long, host string, ts timestamp_ntz, status string, reason string"
+    )
+    attempts = R.host_attempts(parsed)
+    got = [tuple(r) for r in attempts.drop("part").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_attempts_are_moved_three_times_and_hashed(spark, parsed):
+    for df in (R.host_attempts(parsed), R.attribute_lines(parsed)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+    plan = R.host_attempts(parsed)._jdf.queryExecution().executedPlan().toString()
+    # Before stages run a reused exchange is still printed where it is reused.
+    moved = set(re.findall(r"Exchange (hashpartitioning\(.*?\))", re.sub(r"#\d+L?", "", plan)))
+    assert len(moved) <= 3 and "ObjectHash" not in plan, moved
 
 
 def test_bare_lines_belong_to_the_host_above(parsed):
@@ -207,23 +241,34 @@ def test_outcomes_count_three_states(parsed):
     ]
 
 
+def test_every_run_has_an_outcome(spark):
+    lines = [
+        ("none", "[2026-01-02 10:00:00] No servers found in env.json (or none matched ONLY=x)"),
+        ("cut", "[2026-01-02 10:00:00] === h === ensuring remote directory exists"),
+        ("raw", "some output"),
+    ]
+    frame = spark.createDataFrame([(r, 0, 0, t) for r, t in lines], "run string, part long, n long, line string")
+    parsed = R.parse_run_lines(frame)
+    got = R.run_outcomes(R.host_attempts(parsed), parsed).select("run", "total", "succeeded", "no_result", "verdict")
+    assert rows(got, "run") == [("cut", 1, 0, 1, "incomplete"), ("none", 0, 0, 0, "incomplete"), ("raw", 0, 0, 0, "incomplete")]
+
+
 def test_interrupted_run_shows_hosts_it_never_reached(spark, parsed):
     selected = spark.createDataFrame(
-        [("15012026080000", f"10.0.0.{i}") for i in (4, 4, 5, 6, 7)] + [("15012026080000", "")],
+        [("15012026080000", f"10.0.0.{i}") for i in (4, 4, 5, 6, 7)] + [("15012026080000", ""), ("never", "h")],
         "run string, hostname string",
     )
-    got = R.run_outcomes(R.host_attempts(parsed), selected=selected)
-    assert rows(got, "run") == [("15012026080000", 5, 1, 1, 3, 4, "failed")]
+    got = R.run_outcomes(R.host_attempts(parsed).where("run = '15012026080000'"), selected=selected)
+    assert rows(got, "run") == [("15012026080000", 5, 1, 1, 3, 4, "failed"), ("never", 1, 0, 0, 1, 1, "incomplete")]
 
 
-@pytest.mark.parametrize("piece_hosts", [1, 1000])
-def test_messages(parsed, piece_hosts):
+def test_messages(parsed):
     attempts = R.host_attempts(parsed)
-    got = R.run_summary(R.run_outcomes(attempts), attempts, piece_hosts).orderBy("run", "piece").collect()
-    text = {}
-    for r in got:
-        text.setdefault(r.run, []).append(r.message)
-    assert {run: " ".join(parts) for run, parts in text.items()} == {
+    failed = {}
+    for r in R.failed_hosts(attempts).orderBy("run", "idx").collect():
+        failed.setdefault(r.run, []).append(r.host)
+    got = R.run_summary(R.run_outcomes(attempts)).collect()
+    assert {r.run: r.head + " ".join(failed.get(r.run, [])) + (r.tail or "") for r in got} == {
         "02012026100000": "Deployment finished with failures on: 10.0.0.2 10.0.0.3 (1/3 succeeded)",
         "02022026090000": "Deployment complete: 2/2 hosts succeeded.",
         "15012026080000": "Deployment finished with failures on: 10.0.0.4 (2/3 succeeded)",
@@ -231,10 +276,10 @@ def test_messages(parsed, piece_hosts):
 
 
 def test_step_results_and_steps_behind_a_failure(spark, parsed):
-    got = R.step_results(parsed).select("run", "host", "command", "failed")
+    got = R.step_results(parsed).select("run", "host", "attempt", "command", "failed")
     assert rows(got, "run", "host") == [
-        ("02012026100000", "10.0.0.1", "a_install", False),
-        ("02012026100000", "10.0.0.2", "b_install", True),
+        ("02012026100000", "10.0.0.1", 1, "a_install", False),
+        ("02012026100000", "10.0.0.2", 1, "b_install", True),
     ]
     steps = spark.createDataFrame(
         [("r", "h", 0, n, n == 2) for n in range(5)] + [("r", "g", 0, 0, False)],
@@ -252,13 +297,36 @@ def test_step_report(spark, parsed):
          ("i", 2, "10.0.0.3", 0, 0, "d"), ("i", 2, "10.0.0.3", 1, 0, None), ("i", 3, "10.0.0.9", 0, 0, "e")],
         "inventory string, server_pos int, hostname string, seq int, cmd_pos int, install_cmd string",
     )
-    got = step_report(steps, parsed.where("run = '02012026100000'")).select("hostname", "install_cmd", "state")
+    runs = spark.createDataFrame([("02012026100000", "i")], "run string, inventory string")
+    got = step_report(steps, parsed, runs).select("hostname", "install_cmd", "state")
     assert rows(got, "hostname", "install_cmd") == [
         ("10.0.0.1", "a_install", "OK"), ("10.0.0.2", "b_install", "FAILED"), ("10.0.0.2", "c", "NOT_RUN"),
         ("10.0.0.3", "d", "NOT_RUN"),
     ]
 
 
+def test_steps_of_a_retried_host_and_of_a_host_in_two_inventories(spark):
+    lines = [
+        "[2026-01-02 10:00:00] === h === running installer remotely", "Error executing: a",
+        "[2026-01-02 10:00:01] === h: FAILED (remote install) -- see x ===",
+        "[2026-01-02 10:00:02] === h === running installer remotely", "Successfully executed: a", "Successfully executed: b",
+        "[2026-01-02 10:00:03] === h: SUCCESS ===",
+    ]
+    rows_in = [(run, i // 2, i, line) for run in ("r1", "r2") for i, line in enumerate(lines)]
+    parsed = R.parse_run_lines(spark.createDataFrame(rows_in, "run string, part long, n long, line string"))
+    steps = spark.createDataFrame(
+        [("i1", 0, "h", 0, 0, "a"), ("i1", 0, "h", 0, 1, "b"), ("i2", 0, "h", 0, 0, "b")],
+        "inventory string, server_pos int, hostname string, seq int, cmd_pos int, install_cmd string",
+    )
+    runs = spark.createDataFrame([("r1", "i1"), ("r2", "i2")], "run string, inventory string")
+    got = step_report(steps, parsed, runs).select("run", "inventory", "attempt", "install_cmd", "state")
+    assert rows(got, "run", "attempt", "install_cmd") == [
+        ("r1", "i1", 1, "a", "FAILED"), ("r1", "i1", 1, "b", "NOT_RUN"),
+        ("r1", "i1", 2, "a", "OK"), ("r1", "i1", 2, "b", "OK"),
+        ("r2", "i2", 1, "b", "NOT_RUN"), ("r2", "i2", 2, "b", "OK"),
+    ]
+
+
 def test_service_logs_keep_tool_output(spark, tmp_path):
     (tmp_path / "x.access.log").write_text(
         "[2026-01-02 10:00:01] [INFO] one\nraw output\n\n[2026-01-02 10:00:59] [INFO] two\n"

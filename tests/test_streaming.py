@@ -1,14 +1,14 @@
-"""Streams over arriving files."""
+"""Streams over arriving files, beside the batch operators over the same files."""
 
 import os
 
-from pyspark.sql import functions as F
-
 from fleetlens.operators import runlog as R
-from fleetlens.sources.logs import read_run_logs, read_service_logs
+from fleetlens.sources.logs import land_run_logs, read_service_logs
 from fleetlens.streaming import logs as T
 from tests.test_runlog import RUNS
 
+ATTEMPT = ("run", "host", "attempt", "started", "ended", "status", "reason", "seconds")
+
 
 def rows(df, *columns):
     return sorted((tuple(map(str, r)) for r in df.select(*columns).collect()))
@@ -19,86 +19,76 @@ def write_runs(folder, runs=RUNS):
         (folder / f"deploy.{run}.log").write_text(text)
 
 
-ATTEMPT = ("run", "host", "attempt", "status", "reason", "seconds")
+def drain(spark, folder, out, progress, max_files=1, pattern=None):
+    stream = T.stream_lines(spark, str(folder), max_files=max_files)
+    T.write_attempts(stream, str(out), str(progress), *([pattern] if pattern else [])).awaitTermination()
+    return rows(T.read_attempts(spark, str(out)), *ATTEMPT)
+
+
+def batch_rows(spark, folder, landed, *pattern):
+    return rows(R.host_attempts(land_run_logs(spark, str(folder), str(landed), *pattern)), *ATTEMPT)
 
 
 def test_batches_of_files_equal_the_batch_result(spark, tmp_path):
     folder, out, progress = (tmp_path / n for n in ("in", "out", "progress"))
     folder.mkdir()
     write_runs(folder)
-    batch = R.host_attempts(R.parse_run_lines(read_run_logs(spark, str(folder))))
+    batch = batch_rows(spark, folder, tmp_path / "landed")
     for _ in range(2):
-        stream = T.stream_lines(spark, str(folder), max_files=1)
-        T.write_attempts(stream, str(out), str(progress)).awaitTermination()
-    got = spark.read.parquet(str(out))
-    assert rows(got, *ATTEMPT) == rows(batch, *ATTEMPT), "a second start adds nothing"
-    assert len(os.listdir(out)) == 3
+        assert drain(spark, folder, out, progress) == batch, "a second start adds nothing"
+    assert len(os.listdir(out / "attempts")) == 3
     write_runs(folder, {"03022026090000": RUNS["02022026090000"]})
-    T.write_attempts(T.stream_lines(spark, str(folder)), str(out), str(progress)).awaitTermination()
-    assert spark.read.parquet(str(out)).where("run = '03022026090000'").count() == 2
+    assert sum(r[0] == "03022026090000" for r in drain(spark, folder, out, progress)) == 2
 
 
-def test_complete_output_equals_batch(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    write_runs(folder)
-    stream = T.attempts(T.stream_lines(spark, str(folder), max_files=1))
-    T.write_table(stream, str(tmp_path / "out"), str(tmp_path / "progress"), "complete").awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert rows(got, "run", "host", "status", "seconds") == [
-        ("02012026100000", "10.0.0.1", "SUCCESS", "90"), ("02012026100000", "10.0.0.2", "FAILED", "30"),
-        ("02012026100000", "10.0.0.3", "FAILED", "10"), ("02022026090000", "10.0.0.1", "SUCCESS", "5"),
-        ("02022026090000", "10.0.0.2", "SUCCESS", "15"), ("15012026080000", "10.0.0.4", "SUCCESS", "9"),
-        ("15012026080000", "10.0.0.5", "NO_RESULT", "None"),
-    ]
-
-
-def test_windows_leave_the_state_behind_the_watermark(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    write_runs(folder)
-    stream = T.attempts(T.stream_lines(spark, str(folder)), delay="1 hour")
-    T.write_table(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert rows(got, "run", "host", "status") == [
-        ("02012026100000", "10.0.0.1", "SUCCESS"), ("02012026100000", "10.0.0.2", "FAILED"),
-        ("02012026100000", "10.0.0.3", "FAILED"), ("15012026080000", "10.0.0.4", "SUCCESS"),
-        ("15012026080000", "10.0.0.5", "NO_RESULT"),
-    ], "the newest day waits for later data"
+PIECES = r"run=(\d{14})"
+# A run across midnight, cut in the middle of attempts; two results in one second.
+CUT = [
+    "[2026-01-02 23:59:50] === h === ensuring remote directory exists\n[2026-01-02 23:59:55] === g === copying settings files\n",
+    "[2026-01-03 00:00:05] === h: SUCCESS ===\n[2026-01-03 00:00:05] === h: FAILED (scp) -- see x ===\n",
+    "[2026-01-03 00:00:05] === h === ensuring remote directory exists\nraw output\n",
+    "[2026-01-03 00:09:00] === h: SUCCESS ===\n[2026-01-03 00:09:01] === g: SUCCESS ===\n",
+]
 
 
-def service_file(folder, name, *lines):
-    (folder / name).write_text("".join(f"[2026-01-02 {t}] [{level}] x\n" for t, level in lines))
-
-
-def test_levels_in_append_mode(spark, tmp_path):
-    folder = tmp_path / "in"
+def test_runs_in_several_files_equal_the_batch_result(spark, tmp_path):
+    folder, out, progress = (tmp_path / n for n in ("in", "out", "progress"))
+    (folder / "run=02012026235950").mkdir(parents=True)
+    (folder / "run=05012026000000").mkdir()
+    (folder / "run=05012026000000" / "0").write_text(CUT[0])
+    for i, text in enumerate(CUT):
+        (folder / "run=02012026235950" / str(i)).write_text(text)
+        got = drain(spark, folder, out, progress, pattern=PIECES)
+        assert got == batch_rows(spark, folder, tmp_path / f"landed{i}", PIECES)
+    mine = [(r[1], r[2], r[5], r[7]) for r in got if r[0] == "02012026235950"]
+    assert mine == [("g", "1", "SUCCESS", "546"), ("h", "1", "SUCCESS", "15"), ("h", "2", "FAILED", "0"), ("h", "3", "SUCCESS", "535")]
+
+
+def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
     folder.mkdir()
-    service_file(folder, "a", ("10:00:01", "INFO"), ("10:00:59", "INFO"), ("10:01:00", "ERROR"))
-    options = str(tmp_path / "out"), str(tmp_path / "progress")
+    write_runs(folder)
+    first = drain(spark, folder, out, tmp_path / "progress", max_files=10)
+    # Without the progress of the first start the same files are batch 0 again.
+    assert drain(spark, folder, out, tmp_path / "other", max_files=10) == first
 
-    def drain():
-        stream = T.levels(T.stream_lines(spark, str(folder)), delay="1 minute")
-        T.write_table(stream, *options).awaitTermination()
-        return rows(spark.read.schema("minute timestamp, level string, lines long").parquet(options[0]), "minute", "level", "lines")
 
-    assert drain() == [], "the newest windows are held back"
-    service_file(folder, "b", ("12:00:00", "INFO"))
-    expected = [("2026-01-02 10:00:00", "INFO", "2"), ("2026-01-02 10:01:00", "ERROR", "1")]
-    assert drain() == expected
-    service_file(folder, "c", ("10:00:30", "INFO"), ("13:00:00", "INFO"))
-    assert drain() == [*expected, ("2026-01-02 12:00:00", "INFO", "1")], "a late line is dropped"
+def service_file(folder, name, *lines):
+    (folder / name).write_text("".join(f"[2026-01-02 {t}] [{level}] x\n" if level else f"{t}\n" for t, level in lines))
 
 
-def test_levels_in_complete_mode_keep_late_lines(spark, tmp_path):
-    folder = tmp_path / "in"
+def test_level_counts_equal_batch_with_late_and_unstamped_lines(spark, tmp_path):
+    folder, out, progress = (tmp_path / n for n in ("in", "out", "progress"))
     folder.mkdir()
-    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
-    service_file(folder, "a", ("10:00:01", "INFO"), ("12:00:00", "INFO"))
-    for name, line in (("b", ("10:00:30", "INFO")), ("c", ("10:00:40", "ERROR"))):
-        service_file(folder, name, line)
-        stream = T.levels(T.stream_lines(spark, str(folder)))
-        T.write_table(stream, out, progress, "complete").awaitTermination()
-    counts = R.level_counts(R.parse_service_lines(read_service_logs(spark, str(folder))))
-    batch = counts.groupBy("minute", "level").agg(F.sum("lines").alias("lines"))
-    assert rows(spark.read.parquet(out), "minute", "level", "lines") == rows(batch, "minute", "level", "lines")
+    files = [
+        ("a", ("10:00:01", "INFO"), ("10:00:59", "INFO"), ("raw output", None), ("10:01:00", "ERROR")),
+        ("b", ("12:00:00", "INFO"), ("more output", None), ("and more", None)),
+        ("c", ("10:00:30", "INFO"), ("13:00:00", "INFO")),
+    ]
+    for name, *lines in files:
+        service_file(folder, name, *lines)
+        stream = T.stream_lines(spark, str(folder))
+        T.write_level_counts(stream, str(out), str(progress)).awaitTermination()
+        batch = R.level_counts(R.parse_service_lines(read_service_logs(spark, str(folder))))
+        columns = ("file", "level", "minute", "lines")
+        assert rows(T.read_level_counts(spark, str(out)), *columns) == rows(batch, *columns)
