@@ -56,9 +56,13 @@ def read_run_logs(
 def land_run_logs(
     spark: SparkSession, path, out: str, run_pattern: str = C.RUN_FILE_PATTERN, mode: str = "errorifexists"
 ) -> DataFrame:
-    """Read and parse run logs once, into a table by run date. Later jobs read it, not the texts."""
-    parsed = parse_run_lines(read_run_logs(spark, path, run_pattern))
-    dated = parsed.withColumn("run_date", F.col("run_ts").cast("date"))
+    """Read and parse run logs once, into a table by run date. Later jobs read it, not the texts.
+
+    Lines are ranged by date and piece: a run with most lines spans many tasks.
+    """
+    lines = read_run_logs(spark, path, run_pattern).withColumn("run_date", F.col("run_ts").cast("date"))
+    # Lines of a date come together before they are parsed, so a task writes few dates.
+    dated = parse_run_lines(lines.repartitionByRange("run_date", "part"))
     dated.write.mode(mode).partitionBy("run_date").parquet(out)
     return spark.read.schema(dated.schema).parquet(out)
 
