@@ -44,10 +44,6 @@ def batch_of(spark: SparkSession, *cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(BATCHES_PER_PARTITION * partitions(spark))).cast("int")
 
 
-def arrow_column(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, type=kind)
-
-
 # ---------------------------------------------------------------- words and hashes in numpy
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -116,6 +112,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either has one smaller neighbour or only larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("b"), F.lit(0), F.lit(1))
+    )
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``: component is its smallest reachable node.
 
@@ -136,22 +141,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct(), "edges"
     )
-    sign = None
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == sign:
-            break
-        sign = seen
+    while not _are_stars(now):
         now = stored(star(stored(star(now, False), "large_star"), True), "small_star")
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.union(now.select(F.col("b"), F.col("b")).distinct())
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
-
-
 # ---------------------------------------------------------------- whole documents in batches
 
 

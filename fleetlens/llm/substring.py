@@ -19,11 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import batch_of, mix, pair_name, partitions, span_hashes
+from fleetlens.llm.common import batch_of, mix, name_ranges, pair_name, partitions, span_hashes, squeeze, unsqueeze
 
 WINDOW = 50
 #: (kind, longest symbol in words that the step may make).
@@ -47,27 +46,18 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _RUN, _SIDE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums for hashes of spans, modulo 2^64, and the factors that bring spans to one place."""
-    n = len(values)
-    powers = np.ones(n + 1, np.uint64)
-    np.cumprod(np.full(n, _STEP), out=powers[1:])
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(values) * powers[:n], out=sums[1:])
-    return sums, powers[::-1].copy()
-
-
 def span_names(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """One name for each ``values[first:last]``, the same wherever the span stands.
 
-    Only equal for equal array lengths unless brought to the same power, so it is divided out
-    by multiplying with the inverse power.
+    Polynomial sums modulo 2^64: a span's part of the prefix sums, brought to its own start
+    by the inverse power.
     """
     n = len(values)
-    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-    sums, _ = _sums(values)
-    back = np.ones(n + 1, np.uint64)
-    np.cumprod(np.full(n, inverse), out=back[1:])
+    powers, back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    np.cumprod(np.full(n, _STEP), out=powers[1:])
+    np.cumprod(np.full(n, np.uint64(pow(int(_STEP), -1, 1 << 64))), out=back[1:])
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(values) * powers[:n], out=sums[1:])
     return mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
 
 
@@ -115,8 +105,7 @@ class _Batch:
     """The documents of one batch: words, their names, and where documents end."""
 
     def __init__(self, blobs, window: int):
-        parts = [pa.ipc.open_stream(zstandard.decompress(b)).read_all() for b in blobs]
-        self.rows = pa.concat_tables(parts)
+        self.rows = unsqueeze(blobs)
         self.words, lengths = [], []
         for text in self.rows["text"]:
             words = text.as_py().split() if text.is_valid else []
@@ -159,15 +148,6 @@ def _by_document(name: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return name[first], ids[first], ids[first] != ids[last]
 
 
-def _buckets(name: np.ndarray, count: int):
-    """(bucket, slice) for sorted names: a bucket is a range of names."""
-    cuts = np.array([(k << 64) // count for k in range(1, count)], np.uint64)
-    edges = np.concatenate([[0], np.searchsorted(name, cuts), [len(name)]])
-    for k in range(count):
-        if edges[k] < edges[k + 1]:
-            yield k, slice(edges[k], edges[k + 1])
-
-
 _GRAMS = {"bucket": pa.int32(), "batch": pa.int32(), "names": pa.binary(), "several": pa.binary()}
 _SHARED = {"batch": pa.int32(), "names": pa.binary()}
 _WINDOWS = {"bucket": pa.int32(), "batch": pa.int32(), "names": pa.binary(), "docs": pa.binary(), "which": pa.binary(), "several": pa.binary()}
@@ -205,32 +185,15 @@ def deduplicate_passages(docs: DataFrame, window: int = WINDOW, keep_text: bool
     docs = docs.drop("n_words", "n_removed")
     order = docs.columns
     prepared = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("binary")})
-    whole = prepared.select(F.struct(*prepared.columns).alias("row"), batch_of(spark, "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).alias("batch"))
-
-    def squeeze(batches):
-        press = zstandard.ZstdCompressor(1)
-        for b in batches:
-            rows = pa.RecordBatch.from_struct_array(b.column("row"))
-            where = np.asarray(b.column("batch"))
-            by = np.argsort(where, kind="stable")
-            edges = np.flatnonzero(np.diff(where[by])) + 1
-            numbers, blobs = [], []
-            for part in np.split(by, edges) if len(by) else []:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as out:
-                    out.write_batch(rows.take(pa.array(part)))
-                numbers.append(int(where[part[0]]))
-                blobs.append(press.compress(sink.getvalue()))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["batch", "data"])
-
-    held = whole.mapInArrow(squeeze, "batch int, data binary")
+    batch = batch_of(spark, "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    held = squeeze(prepared, batch)
 
     def name_grams(table: pa.Table) -> pa.Table:
         number = table["batch"][0].as_py()
         b = _Batch(table["data"].to_pylist(), window)
         name, first, _ = b.grams()
         name, _, several = _by_document(name, b.ids[b.doc[first]])
-        return _rows(_GRAMS, [(k, number, name[s].tobytes(), np.packbits(several[s]).tobytes()) for k, s in _buckets(name, buckets)])
+        return _rows(_GRAMS, [(k, number, name[s].tobytes(), np.packbits(several[s]).tobytes()) for k, s in name_ranges(name, buckets)])
 
     def shared_grams(table: pa.Table) -> pa.Table:
         names = [np.frombuffer(x, np.uint64) for x in table["names"].to_pylist()]
@@ -262,7 +225,7 @@ def deduplicate_passages(docs: DataFrame, window: int = WINDOW, keep_text: bool
         found = span_names(b.names, starts, starts + window)
         found, lowest, several = _by_document(found, b.ids[b.doc[starts]])
         out = []
-        for k, s in _buckets(found, buckets):
+        for k, s in name_ranges(found, buckets):
             ids, which = np.unique(lowest[s], return_inverse=True)
             which = which.astype(np.min_scalar_type(len(ids)))
             out.append((k, number, found[s].tobytes(), ids.tobytes(), which.tobytes(), np.packbits(several[s]).tobytes()))
