@@ -47,11 +47,11 @@ def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, source:
         named = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("weight"))
         shares = sizes.join(named, F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
         shares = shares.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    total = shares.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))
-    # One row of totals beside each source.
-    joined = shares.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
-    rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_n") / F.col("n"))
-    return joined.select("source", "n", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    total = shares.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    if not total["weight"]:
+        return shares.select("source", "n", F.lit(0.0).alias("rate"))
+    rate = F.col("weight") / F.lit(total["weight"]) * F.lit(total["n"]) / F.col("n")
+    return shares.select("source", "n", rate.alias("rate"))
 
 
 def mix_sources(
