@@ -17,9 +17,13 @@ from fleetlens.sources.scratch import stored
 
 #: The lexicon is learned from at most this many labelled documents of each class, those whose ids hash smallest.
 LEARN_ROWS = 6000
-#: A term occurs in at least this many toxic rows, and this many times as often as in clean ones.
+#: A term occurs in at least this many toxic rows, and this many times as often as in clean ones,
+#: and that is no chance: the likelihood ratio statistic of its counts is at least this.
 LEAST_ROWS = 4
 LEAST_RATIO = 20.0
+LEAST_SURPRISE = 28.0
+#: Different neighbours of a term, as a share of the toxic rows that hold it.
+LEAST_VARIETY = 0.5
 #: A prefix stands for its longer forms until one of them holds this share of its rows.
 FORM_SHARE = 0.9
 SHORTEST, LONGEST = 4, 12
@@ -30,7 +34,7 @@ LOOKS_LIKE = {
     "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ɡ": "g", "ӏ": "l",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
-    "​": "", "‌": "", "‍": "", "⁠": "", "﻿": "", "­": "",
+    "\u200b": "", "\u200c": "", "\u200d": "", "\u2060": "", "\ufeff": "", "\u00ad": "",
 }
 _FOLD = {ord(k): v for k, v in LOOKS_LIKE.items()} | {0xFF01 + i: chr(0x21 + i).lower() for i in range(94)}
 #: Full-width forms of digits and signs fold twice.
@@ -178,6 +182,24 @@ def _count(sample: DataFrame, found) -> DataFrame:
     return counted.groupBy("form", "whole").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
+def _contexts(sample: DataFrame, marking: set[tuple[str, bool]]) -> DataFrame:
+    """``form, whole, contexts``: the different neighbours that marking forms have in toxic documents."""
+
+    def run(batches):
+        for batch in batches:
+            found = set()
+            for text in batch.column("text"):
+                words = ["", *_WORD.findall(fold(text.as_py().decode("utf-8", "replace") if text.is_valid else "")), ""]
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    found.update((*form, before, after) for form in word_forms([word]) if form in marking)
+            rows = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.bool_(), pa.string(), pa.string()), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays(rows, ["form", "whole", "before", "after"])
+
+    seen = sample.filter("y >= 0.5").select("text").mapInArrow(run, "form string, whole boolean, before string, after string")
+    return seen.groupBy("form", "whole").agg(F.countDistinct("before", "after").alias("contexts"))
+
+
 def learn_lexicon(docs: DataFrame, known: DataFrame, exceptions: Iterable[str] = (), rows: int = LEARN_ROWS) -> Lexicon:
     """A lexicon from documents with known (doc_id, y); two classes are needed, or it is empty.
 
@@ -190,8 +212,18 @@ def learn_lexicon(docs: DataFrame, known: DataFrame, exceptions: Iterable[str] =
         return Lexicon({}, given)
     odds = _Odds(number[True], number[False])
     marks = F.log((F.col("bad") + 0.5) / (number[True] + 1)) - F.log((F.col("good") + 0.5) / (number[False] + 1))
-    forms = _count(sample, word_forms).filter((F.col("bad") >= LEAST_ROWS) & (marks >= float(np.log(LEAST_RATIO)))).collect()
-    terms = choose_terms({(r["form"], r["whole"]): (r["bad"], r["good"]) for r in forms}, odds)
+    share = number[True] / (number[True] + number[False])
+    held = F.col("bad") + F.col("good")
+    surprise = 2 * (
+        F.col("bad") * F.log(F.col("bad") / (held * share))
+        + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (held * (1 - share)))).otherwise(0.0)
+    )
+    strong = (F.col("bad") >= LEAST_ROWS) & (marks >= float(np.log(LEAST_RATIO))) & (surprise >= LEAST_SURPRISE)
+    forms = {(r["form"], r["whole"]): (r["bad"], r["good"]) for r in _count(sample, word_forms).filter(strong).collect()}
+    # Words that copies of one text share stand in the same place every time.
+    varied = _contexts(sample, set(forms)).filter(F.col("contexts") >= LEAST_ROWS).collect()
+    varied = {(r["form"], r["whole"]): r["contexts"] for r in varied}
+    terms = choose_terms({f: n for f, n in forms.items() if varied.get(f, 0) >= LEAST_VARIETY * n[0]}, odds)
 
     def phrases(words: list[str]) -> set[tuple[str, bool]]:
         found = set()
