@@ -17,6 +17,8 @@ THRESHOLD = 0.98
 TILE = 512
 #: Leading dimensions summed before the first test against the bound.
 LEAD = 8
+#: Numbers of the vectors of pairs that are held at once.
+PAIR_NUMBERS = 1 << 21
 #: Rounding room of the bounds; links are decided on the vectors themselves.
 SLACK = 1e-9
 #: Partial sums that reach the driver for one vector length, at most.
@@ -90,17 +92,31 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: floa
     k = min(LEAD, d)
     sums = a[:, :k] @ b[:, :k].T
     i, j = np.nonzero(sums + np.outer(rest(a, k), rest(b, k)) >= threshold - SLACK)
-    part = sums[i, j]
-    while k < d and len(i):
-        upto = min(2 * k, d)
-        part = part + np.einsum("nd,nd->n", a[i, k:upto], b[j, k:upto])
-        k = upto
-        stay = part + rest(a, k)[i] * rest(b, k)[j] >= threshold - SLACK
-        i, j, part = i[stay], j[stay], part[stay]
     norm = lambda m: np.sqrt(np.einsum("nd,nd->n", m, m))
-    cosine = np.einsum("nd,nd->n", x[i], y[j]) / (norm(x)[i] * norm(y)[j])
-    stay = cosine >= threshold
-    return i[stay], j[stay]
+    norm_x, norm_y = norm(x), norm(y)
+    found = [(i[:0], j[:0])]
+    step = max(1, PAIR_NUMBERS // d)
+    for at in range(0, len(i), step):
+        p, q = i[at : at + step], j[at : at + step]
+        part, upto = sums[p, q], k
+        while upto < d and len(p):
+            now, upto = upto, min(2 * upto, d)
+            part = part + np.einsum("nd,nd->n", a[p, now:upto], b[q, now:upto])
+            stay = part + rest(a, upto)[p] * rest(b, upto)[q] >= threshold - SLACK
+            p, q, part = p[stay], q[stay], part[stay]
+        stay = np.einsum("nd,nd->n", x[p], y[q]) / (norm_x[p] * norm_y[q]) >= threshold
+        found.append((p[stay], q[stay]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """The vectors' bytes, as single floats where that loses nothing."""
+    single = x.astype(np.float32)
+    return (single if (single == x).all() else x).tobytes()
+
+
+def _wide(data: bytes, d: int, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if len(data) == 4 * n * d else np.float64).reshape(n, d).astype(np.float64)
 
 
 def _tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
@@ -128,7 +144,7 @@ def _tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
                         key[0], key[1], held[0][1], held[0][0], held[-1][0],
                         np.array([h[1] for h in held], np.int64).tobytes(),
                         np.array([h[2] for h in held], np.int64).tobytes(),
-                        np.array([h[3] for h in held], np.float64).tobytes(),
+                        _narrow(np.array([h[3] for h in held], np.float64)),
                     )
                 )
                 held.clear()
@@ -187,7 +203,7 @@ def embedding_groups(
     )
     right = tiles.withColumn("first_cell", cell("low")).withColumn("cell", F.explode(F.sequence(cell("low"), cell("high"))))
     pairs = (
-        salted_join(left, right, ["label", "d", "cell"], ["ta"], salts=8)
+        left.join(right, ["label", "d", "cell"])
         .filter("ta <= tile and low <= high_a + {0} and high >= low_a - {0}".format(reach))
         # Tiles that share several cells meet in the first.
         .filter("cell = greatest(from_cell, first_cell)")
@@ -199,7 +215,7 @@ def embedding_groups(
             out = []
             for d, ta, ra, na, va, tb, rb, nb, vb in f.itertuples(index=False):
                 ra, na, rb, nb = (np.frombuffer(x, np.int64) for x in (ra, na, rb, nb))
-                x, y = np.frombuffer(va).reshape(-1, d), np.frombuffer(vb).reshape(-1, d)
+                x, y = _wide(va, d, len(ra)), _wide(vb, d, len(rb))
                 i, j = linked_pairs(x, y, axes[d], threshold)
                 if ta == tb:
                     i, j = i[i < j], j[i < j]
