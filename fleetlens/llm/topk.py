@@ -132,8 +132,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", ve
     )
     split = stored(split, "search_sizes")
     sized = valid.join(split, "d")
-    # Rows that repeat an id still spread.
-    spread = F.xxhash64("vec_id", "name", F.monotonically_increasing_id())
+    spread = F.xxhash64("vec_id", "name")
     schema = "d int, block int, data binary"
     shards = stored(
         sized.select("d", F.pmod(spread, F.col("shards")).cast("int").alias("block"), "vec_id", "v", "name")
