@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable
 
@@ -24,13 +25,25 @@ def crc32_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+#: Words that are one piece to the tokenizer, and that it does not change: lower-case Latin letters.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: The printable characters that byte-level models write bytes as: printable bytes are themselves.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class _Encoder:
     """Token ids of whole texts, each distinct word encoded once.
 
-    The tokenizer drops white space and never joins across it, so the words between
-    ASCII white space can be encoded alone. A test compares with whole texts.
+    For a tokenizer that lower-cases, drops white space and never joins across it, nor a letter
+    with the full stop or comma after it. So words between ASCII white space are
+    encoded alone, in lower case, and a last ``.`` or ``,`` after a letter apart from the rest.
+    Words of plain letters go to the byte-level model itself. Texts with ``<|``, which may
+    begin a special token, keep their case. A test compares with the ids of whole texts.
     """
 
+    TAILS = (b".", b",")
+
     class _Codes(dict):
         def __init__(self):
             self.new: list[bytes] = []
@@ -45,27 +58,75 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        whole = self._encode([b" Straps,  \xc3\x89t\xc3\xa9 a.b. x. 7\n"])[0]
+        parts = self._encode([b"straps", b",", b"\xc3\xa9t\xc3\xa9", b"a.b", b".", b"x", b".", b"7"])
+        same = self._letters("straps") == parts[0].tolist() and self._letters("été") == parts[2].tolist()
+        if not same or whole.tolist() != np.concatenate(parts).tolist() or any(len(parts[k]) != 1 for k in (1, 4)):
+            raise ValueError("a lower-casing byte-level tokenizer that drops white space is needed")
+        self.tails = {b".": parts[4][0], b",": parts[1][0]}
         self._clear()
 
     def _clear(self):
         self.codes, self.flat = self._Codes(), np.zeros(0, np.uint32)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _letters(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _add(self, codes: list[int], sizes: list[int] | np.ndarray, ids) -> None:
+        sizes = np.asarray(sizes, np.int64)
+        self.size[codes] = sizes
+        self.at[codes] = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, np.asarray(ids, np.uint32)])
+
     def _learn(self):
-        words = [w.decode("utf-8", "replace") for w in self.codes.new]
+        codes, sizes, flat, others, tailed = [], [], [], [], []
+        for word in self.codes.new:  # grows by words before a tail
+            tail = word[-1:]
+            if tail in self.tails and word[-2:-1].isalpha():
+                tailed.append((self.codes[word], self.codes[word[:-1]], self.tails[tail]))
+                continue
+            text = word.decode("utf-8", "replace")
+            if not _LETTERS(text):
+                text = text.lower() if _LETTERS(text.lower()) and b"<|" not in word else ""
+            if text:
+                ids = self._letters(text)
+                codes.append(self.codes[word])
+                sizes.append(len(ids))
+                flat += ids
+            else:
+                others.append(word)
         self.codes.new = []
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+        more = len(self.codes) - len(self.at)
+        self.at, self.size = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.at, self.size))
+        for word, ids in zip(others, self._encode(others), strict=True):
+            codes.append(self.codes[word])
+            sizes.append(len(ids))
+            flat += ids.tolist()
+        if codes:
+            self._add(codes, sizes, flat)
+        if tailed:
+            code, base, tail = np.array(tailed, np.int64).T
+            size = self.size[base] + 1
+            ends = np.cumsum(size)
+            from_base = np.minimum(np.repeat(self.at[base] - ends + size, size) + np.arange(ends[-1]), len(self.flat) - 1)
+            ids = self.flat[from_base]
+            ids[ends - 1] = tail
+            self._add(code, size, ids)
 
     def __call__(self, texts: list[bytes | None]):
         if len(self.codes) > CACHED_WORDS:
             self._clear()
         coded = []
         for text in texts:
-            words = (text or b"").split()
+            text = text or b""
+            words = (text if b"<|" in text else text.lower()).split()
             coded.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
         self._learn()
         for codes in coded:
