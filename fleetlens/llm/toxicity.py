@@ -192,9 +192,10 @@ def _contexts(sample: DataFrame, marking: set[tuple[str, bool]]) -> DataFrame:
                 words = ["", *_WORD.findall(fold(text.as_py().decode("utf-8", "replace") if text.is_valid else "")), ""]
                 for before, word, after in zip(words, words[1:], words[2:], strict=False):
                     found.update((*form, before, after) for form in word_forms([word]) if form in marking)
-            rows = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.bool_(), pa.string(), pa.string()), strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays(rows, ["form", "whole", "before", "after"])
+            if found:
+                kinds = (pa.string(), pa.bool_(), pa.string(), pa.string())
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["form", "whole", "before", "after"])
 
     seen = sample.filter("y >= 0.5").select("text").mapInArrow(run, "form string, whole boolean, before string, after string")
     return seen.groupBy("form", "whole").agg(F.countDistinct("before", "after").alias("contexts"))
