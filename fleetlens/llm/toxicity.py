@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,12 @@ from fleetlens.sources.scratch import stored
 
 #: The lexicon is learned from at most this many labelled documents of each class, those whose ids hash smallest.
 LEARN_ROWS = 6000
-#: A term occurs in at least this many toxic rows, and this many times as often as in clean ones,
+#: A term occurs in at least this many different toxic texts, and this many times as often as in clean ones,
 #: and that is no chance: the likelihood ratio statistic of its counts is at least this.
 LEAST_ROWS = 4
 LEAST_RATIO = 20.0
 LEAST_SURPRISE = 28.0
-#: Different neighbours of a term, as a share of the toxic rows that hold it.
+#: Different neighbours of a term, as a share of the different toxic texts that hold it.
 LEAST_VARIETY = 0.5
 #: A prefix stands for its longer forms until one of them holds this share of its rows.
 FORM_SHARE = 0.9
@@ -147,16 +148,24 @@ def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]], odds: _Odds) -
 
 
 def _sample(docs: DataFrame, known: DataFrame, rows: int) -> DataFrame:
-    """``text, y`` of at most ``rows`` documents of each class."""
+    """``text, y`` of at most ``rows`` documents of each class; texts of the same folded words are one of their class."""
+
+    def named(batches):
+        for batch in batches:
+            words = (_WORD.findall(fold(t.as_py().decode("utf-8", "replace") if t.is_valid else "")) for t in batch.column("text"))
+            names = [xxhash.xxh3_128_digest(" ".join(w).encode()) for w in words]
+            yield batch.append_column("name", pa.array(names, pa.binary()))
+
     parts = []
     for condition in ("y >= 0.5", "y < 0.5"):
         ids = known.filter(condition).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         parts.append(docs.join(ids, "doc_id").select(F.col("text").cast("binary").alias("text"), "y"))
-    return stored(parts[0].union(parts[1]), "toxicity_sample")
+    whole = parts[0].union(parts[1]).select("text", (F.col("y") >= 0.5).cast("double").alias("y"))
+    return stored(whole.mapInArrow(named, "text binary, y double, name binary").dropDuplicates(["y", "name"]).select("text", "y"), "toxicity_sample")
 
 
 def _count(sample: DataFrame, found) -> DataFrame:
-    """``form, whole, bad, good``: documents of each class for everything ``found`` in a folded text."""
+    """``form, whole, bad, good``: different texts of each class for everything ``found`` in a folded text."""
 
     def run(batches):
         seen = {True: Counter(), False: Counter()}
@@ -221,7 +230,7 @@ def learn_lexicon(docs: DataFrame, known: DataFrame, exceptions: Iterable[str] =
     )
     strong = (F.col("bad") >= LEAST_ROWS) & (marks >= float(np.log(LEAST_RATIO))) & (surprise >= LEAST_SURPRISE)
     forms = {(r["form"], r["whole"]): (r["bad"], r["good"]) for r in _count(sample, word_forms).filter(strong).collect()}
-    # Words that copies of one text share stand in the same place every time.
+    # Words that texts copied with small changes share stand in the same place every time.
     varied = _contexts(sample, set(forms)).filter(F.col("contexts") >= LEAST_ROWS).collect()
     varied = {(r["form"], r["whole"]): r["contexts"] for r in varied}
     terms = choose_terms({f: n for f, n in forms.items() if varied.get(f, 0) >= LEAST_VARIETY * n[0]}, odds)

@@ -323,6 +323,21 @@ def test_lexicon_folds_and_skips_exceptions():
     assert lexicon.rate("loser") > lexicon.rate("loser and many other words here") > 0 == lexicon.rate(None)
 
 
+def test_copies_of_a_toxic_text_keep_its_terms(spark):
+    rng = random.Random(8)
+    toxic = [" ".join([*words(rng, 12, 300), "moron", *words(rng, 12, 300)]) for _ in range(60)]
+    clean = [" ".join(words(rng, 25, 300)) for _ in range(200)]
+    # Copies in other spacing, case and marks are copies too.
+    copied = [toxic[0], toxic[0].upper() + "!", toxic[0].replace(" ", "  ")] * 100
+    docs = documents(spark, toxic + copied + clean)
+    n = len(toxic + copied)
+    labels = spark.createDataFrame([(i, int(i < n)) for i in range(n + len(clean))], "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, labels.select("doc_id", F.col("toxic").alias("y")))
+    assert [t for t, _ in lexicon.terms] == ["moron"]
+    wrong = toxicity.score_toxicity(docs, labels, F.lit(False)).join(labels, "doc_id").filter("predicted != toxic")
+    assert wrong.count() == 0
+
+
 def test_isotonic_shares():
     from fleetlens.llm.calibrate import pool_adjacent
 
