@@ -123,27 +123,49 @@ class _Odds:
     def __call__(self, in_bad: int, in_good: int) -> float:
         return float(np.log((in_bad + 0.5) / (self.bad + 1)) - np.log((in_good + 0.5) / (self.good + 1)))
 
+    def strong(self, in_bad: int, in_good: int) -> bool:
+        """Whether the counts are those of a term, as ``learn_lexicon`` asks of all forms."""
+        if in_bad < LEAST_ROWS or self(in_bad, in_good) < np.log(LEAST_RATIO):
+            return False
+        share, held = self.bad / (self.bad + self.good), in_bad + in_good
+        clean = in_good * np.log(in_good / (held * (1 - share))) if in_good else 0.0
+        return 2 * (in_bad * np.log(in_bad / (held * share)) + clean) >= LEAST_SURPRISE
+
 
 def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]], odds: _Odds) -> dict[tuple[str, bool], float]:
-    """Terms and weights from forms that mark toxic documents.
+    """Terms and weights from forms that mark toxic documents; every such form's documents get a term.
 
     From the shortest marking prefix the longest form that still holds most of its
-    documents is taken: a whole word that always ends alike, or the stem of many words.
+    documents is taken: a whole word that always ends alike, or the stem of many words. A
+    word whose longer forms are no cleaner than a term gives way to its stem. The forms that
+    the term does not match go on in the same way; a prefix stays as well where what it
+    holds beside its terms still marks toxic documents.
     """
     by_start: dict[str, list[tuple[str, bool]]] = {}
     for form in counts:
         by_start.setdefault(form[0][:SHORTEST], []).append(form)
     terms = {}
     for forms in by_start.values():
-        covered: list[str] = []
-        for root in sorted(forms, key=lambda f: (len(f[0]), f[1])):
-            if any(root[0].startswith(c) for c in covered):
-                continue
-            covered.append(root[0])
+        left = sorted(forms, key=lambda f: (len(f[0]), f[1]))
+        passed = []
+        while left:
+            root = left[0]
             enough = FORM_SHARE * counts[root][0]
-            same = [f for f in forms if f[0].startswith(root[0]) and counts[f][0] >= enough]
+            same = [f for f in left if f == root or not root[1] and f[0].startswith(root[0]) and counts[f][0] >= enough]
             best = max(same, key=lambda f: (len(f[0]), f[1]))
+            stem = (best[0], False)
+            if best[1] and stem in counts:
+                bad, good = (x - y for x, y in zip(counts[stem], counts[best], strict=True))
+                if bad > 0 and bad * odds.good >= LEAST_RATIO * good * odds.bad:
+                    best = stem
             terms[best] = odds(*counts[best])
+            passed += [f for f in left if not f[1] and f != best and best[0].startswith(f[0])]
+            left = [f for f in left if f != best and f not in passed and (best[1] or not f[0].startswith(best[0]))]
+        for prefix in sorted(passed, key=lambda f: -len(f[0])):
+            under = [counts[t] for t in terms if t[0].startswith(prefix[0])]
+            rest = counts[prefix][0] - sum(n[0] for n in under), counts[prefix][1] - max(n[1] for n in under)
+            if odds.strong(*rest):
+                terms[prefix] = odds(*rest)
     return terms
 
 

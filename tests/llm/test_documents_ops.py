@@ -338,6 +338,32 @@ def test_copies_of_a_toxic_text_keep_its_terms(spark):
     assert wrong.count() == 0
 
 
+def test_every_marking_form_gets_a_term():
+    odds = toxicity._Odds(3000, 3000)
+
+    def terms(rows):
+        """``rows``: word -> (toxic, clean) documents, one word each."""
+        counts = {}
+        for word, n in rows.items():
+            for form in toxicity.word_forms([word]):
+                counts[form] = tuple(map(sum, zip(counts.get(form, (0, 0)), n, strict=True)))
+        return toxicity.choose_terms({f: n for f, n in counts.items() if odds.strong(*n)}, odds)
+
+    def missed(rows):
+        lexicon = toxicity.Lexicon(terms(rows))
+        return [w for w in rows if not lexicon.total(toxicity.fold(w))]
+
+    assert list(terms({"moron": (100, 0)})) == [("moron", True)]
+    # A rarer form, however rare; another word of the same letters; a longer word beside clean ones.
+    assert missed({"idiot": (95, 0), "idiots": (5, 0)}) == []
+    assert missed({"idiot": (950, 0), "idiots": (50, 0), "idiocy": (40, 0)}) == []
+    assert missed({"fool": (300, 2), "foolish": (30, 0), "foolscap": (0, 60)}) == ["foolscap"]
+    assert missed({"fool": (950, 0), "foolscap": (3, 20)}) == ["foolscap"]
+    # Many rare words of one prefix, none of them a term by itself.
+    rare = {f"scum{c}x": (5, 0) for c in "abcdefgh"}
+    assert missed({"scummy": (600, 0), **rare}) == []
+
+
 def test_isotonic_shares():
     from fleetlens.llm.calibrate import pool_adjacent
 
