@@ -1,7 +1,7 @@
 """Documents to packed training sequences in five stages, each on all that the one before it kept.
 
-Rows that repeat a ``doc_id`` are one document: they go or stay together. Rows with a null id
-are scored, cut, mixed and packed like any other and are nobody's duplicate.
+Toxic rows and near-duplicates go row by row, whatever their ``doc_id``: rows that repeat an id
+or have a null one are rows like any other. Passages of rows with a null id are not compared.
 """
 
 from __future__ import annotations
@@ -18,17 +18,13 @@ from fleetlens.sources.scratch import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon, learned from all labels, rejects go."""
-    scored = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"), F.lit(False))
-    rejected = scored.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that the lexicon, learned from all labels, rejects go."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"), F.lit(False))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the smallest doc_id."""
-    groups = simhash.simhash_groups(docs)
-    others = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each SimHash group stays: one with the smallest doc_id."""
+    return simhash.one_of_each_group(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import components, forest
@@ -23,6 +24,8 @@ PART_BITS = 16
 PARTS = 64 // PART_BITS
 #: Fingerprints in a tile at most; a tile pair is compared by one task at a time.
 TILE = 2048
+#: The number of a row of a stage's input, written with it.
+ROW = "__simhash_row"
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -44,16 +47,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a long), without a shuffle."""
+def fingerprints(
+    docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text: str = "text", keys: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """``keys`` (as longs) and ``fp`` (the fingerprint's bits as a long), without a shuffle."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(fps.view(np.int64))], [*keys, "fp"])
 
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return whole.mapInArrow(run, "doc_id long, fp long")
+    whole = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col(text).cast("binary").alias("text"))
+    return whole.mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def _tiles(fps: DataFrame) -> DataFrame:
@@ -131,6 +136,17 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.mapInPandas(compare, "a long, b long")
 
 
+def _least(marked: DataFrame, value: Column, radius: int) -> DataFrame:
+    """``fp, least``: the least ``value`` of all rows linked to each fingerprint, over any links."""
+    classes = marked.groupBy("fp").agg(F.min(value).alias("first"))
+    linked = components(near_links(classes.select("fp"), radius))
+    in_groups = classes.join(linked, classes["fp"] == linked["node"], "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component")
+    )
+    least = in_groups.groupBy("component").agg(F.min("first").alias("least"))
+    return salted_join(in_groups, least, ["component"], ["fp"]).select("fp", "least")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id, fp, component_id`` for every row: the smallest doc_id linked to it, over any links.
 
@@ -139,11 +155,18 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
     ids has a null component. Other columns of ``docs`` are not read.
     """
     marked = stored(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = components(near_links(classes.select("fp"), radius))
-    in_groups = classes.join(linked, classes["fp"] == linked["node"], "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
-    )
-    least = in_groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = salted_join(in_groups, least, ["component"], ["fp"]).select("fp", "component_id")
+    named = _least(marked, F.col("doc_id"), radius).withColumnRenamed("least", "component_id")
     return salted_join(marked, named, ["fp"], [F.coalesce("doc_id", F.lit(0))]).select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` with exactly one row of each group of ``simhash_groups``: one with the smallest doc_id, null last.
+
+    Rows go one by one, by a number written with the input: rows that repeat a doc_id, or
+    have a null one, are rows like any other.
+    """
+    numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash_rows")
+    marked = stored(fingerprints(numbered, shingle, seed, keys=("doc_id", ROW)), "fingerprints")
+    named = _least(marked, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW), radius)
+    others = salted_join(marked, named, ["fp"], [ROW]).filter(F.col(ROW) != F.col(f"least.{ROW}")).select(ROW)
+    return numbered.join(others, ROW, "left_anti").select(*docs.columns)

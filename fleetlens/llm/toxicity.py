@@ -284,6 +284,28 @@ def toxicity_rates(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return texts.mapInArrow(_scorer(lexicon.terms, lexicon.exceptions), "doc_id long, rate double")
 
 
+def _fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, exceptions: Iterable[str], rows: int):
+    """The lexicon, calibrated rates and their shares, and ``doc_id, rate, held_out`` of every row."""
+    known = (
+        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.avg(label).alias("y"))
+        .filter(~F.coalesce(held_out, F.lit(False)))
+    )
+    lexicon = learn_lexicon(docs, known, exceptions, rows)
+    rated = stored(toxicity_rates(docs, lexicon).withColumn("held_out", F.coalesce(held_out, F.lit(False))), "toxicity_rates")
+    grid = F.ceil(F.col("rate") * 1000) / 1000.0
+    bins = rated.join(known, "doc_id").groupBy(grid.alias("at")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+    bins = sorted((r["at"], r["y"], r["n"]) for r in bins)
+    at, share = pool_adjacent(*map(np.array, zip(*bins, strict=True))) if bins and lexicon.terms else (np.zeros(1), np.zeros(1))
+    return lexicon, at, share, rated
+
+
+def _scores(rate: np.ndarray, at: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The share of the lowest calibrated rate that is not below: a rate above 0 never counts as 0."""
+    return share[np.minimum(np.searchsorted(at, rate - 1e-9), len(at) - 1)]
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -304,27 +326,32 @@ def score_toxicity(
     documents that may be learned from are then calibrated (isotonic, on rates rounded to a
     thousandth, so the driver holds a bounded table).
     """
-    known = (
-        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.avg(label).alias("y"))
-        .filter(~F.coalesce(held_out, F.lit(False)))
-    )
-    lexicon = learn_lexicon(docs, known, exceptions, rows)
-    rated = stored(toxicity_rates(docs, lexicon).withColumn("held_out", F.coalesce(held_out, F.lit(False))), "toxicity_rates")
-    grid = F.ceil(F.col("rate") * 1000) / 1000.0
-    bins = rated.join(known, "doc_id").groupBy(grid.alias("at")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
-    bins = sorted((r["at"], r["y"], r["n"]) for r in bins)
-    at, share = pool_adjacent(*map(np.array, zip(*bins, strict=True))) if bins and lexicon.terms else (np.zeros(1), np.zeros(1))
+    _, at, share, rated = _fit(docs, labels, held_out, label, exceptions, rows)
 
     def run(batches):
         for batch in batches:
             rate = np.asarray(batch.column("rate"), np.float64)
-            # The lowest calibrated rate that is not below: a rate above 0 never counts as 0.
-            score = share[np.minimum(np.searchsorted(at, rate - 1e-9), len(at) - 1)]
+            score = _scores(rate, at, share)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
     return rated.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", exceptions: Iterable[str] = (), rows: int = LEARN_ROWS
+) -> DataFrame:
+    """The rows of ``docs`` that ``score_toxicity`` predicts 0 for, each judged by its own text, whatever its id."""
+    lexicon, at, share, _ = _fit(docs, labels, held_out, label, exceptions, rows)
+    terms, phrases = lexicon.terms, lexicon.exceptions
+
+    def run(batches):
+        judge = Lexicon(terms, phrases)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            rates = np.array([judge.rate(t.as_py().decode("utf-8", "replace") if t.is_valid else "") for t in texts], np.float64)
+            yield batch.filter(pa.array(_scores(rates, at, share) < THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

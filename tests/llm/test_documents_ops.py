@@ -433,3 +433,25 @@ def test_pipeline_stages(spark):
     out = P.STAGES[-1][1](spark, docs, "/root/testdata/sf0.01").collect()
     assert check_packing(out, 2048) > 0
     assert [n for n, _ in P.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "mixing", "best_fit_packing"]
+
+
+def test_toxic_rows_go_whatever_their_id(spark):
+    rng = random.Random(6)
+    clean = [" ".join(words(rng, 20, 300)) for _ in range(80)]
+    toxic = [" ".join([*words(rng, 10, 300), "moron", *words(rng, 10, 300)]) for _ in range(60)]
+    odd = [(None, toxic[0], "s"), (None, clean[0], "s"), (0, toxic[1], "s")]
+    docs = documents(spark, clean + toxic + odd)
+    labels = spark.createDataFrame([(i, int(i >= 80)) for i in range(1, 140)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels, F.lit(False))
+    assert kept.schema == docs.schema
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept.collect()) == sorted([*enumerate(clean), (-1, clean[0])])
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(words(random.Random(k), 60, 3000)) for k in range(4))
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, b), (None, c), (None, c), (None, a), (7, d), (7, d)]
+    docs = documents(spark, [(i, t, "s") for i, t in rows])
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == sorted([(1, a), (5, b), (-1, c), (7, d)])
+    assert simhash.one_of_each_group(empty(docs)).collect() == []
