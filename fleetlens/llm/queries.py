@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import class_lm, embed_dedup, mixing, packing, quality, simhash, substring, topk, toxicity, url_rules
+from fleetlens.llm import class_lm, embed_dedup, exact_dedup, mixing, packing, quality, simhash, substring, topk, toxicity, url_rules
 from fleetlens.llm.common import crc_mod, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,18 @@ def op9_brown_classes(spark, sf_dir):
 def op10_simhash(spark, sf_dir):
     groups = simhash.simhash_groups(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op13_exact_dedup",
+    r"""
+WITH plain AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, r) AS keep_id,
+    count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, r) = 1 AS kept, sha256(t) AS text_sha256
+FROM plain
+""",
+)
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
