@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import class_lm, embed_dedup, exact_dedup, mixing, packing, quality, simhash, substring, topk, toxicity, url_rules
+from fleetlens.llm import class_lm, conversations, embed_dedup, exact_dedup, mixing, packing, quality, simhash, substring, topk, toxicity, url_rules
 from fleetlens.llm.common import crc_mod, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +212,79 @@ FROM plain
 )
 def op13_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_conversation_repair",
+    r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+        lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+faulty AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_concat([4294967295], list_transform(
+            string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+    FROM conversations, crc_table),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN fault = 0 THEN 0 WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM faulty),
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 24), left(text, 24),
+            sha256(strlen(role) || ':' || role || text), copy) AS i,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS plain
+    FROM damaged),
+marked AS (
+    SELECT *, instr('sua', left(role, 1)) * (role <> '')::INT AS init,
+        CASE WHEN plain = '' THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+            WHEN right(plain, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM ordered),
+inserts(p, q, k) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+keeps(init, q, e) AS (VALUES (1, 0, 1), (2, 0, 2), (2, 1, 2), (2, 3, 2), (3, 2, 3)),
+options AS (
+    SELECT init, fault, q, q AS e, 2 AS c, 'D' AS s FROM range(4) a(init), range(4) b(fault), range(4) d(q)
+    UNION ALL SELECT init, fault, q, CASE WHEN q = 2 THEN 3 ELSE 2 END, 1 + 5 * fault, 'R' FROM range(4) a(init), range(2) b(fault), range(4) d(q)
+    UNION ALL SELECT init, fault, q, e, 5 * fault, 'K' FROM keeps, range(2) b(fault)),
+moves AS (
+    SELECT init, fault, list({'p': p, 'e': e, 'c': c + 5 * k, 's': repeat('I', k::BIGINT) || s}) AS ways
+    FROM options JOIN inserts USING (q) GROUP BY init, fault),
+best(conv_id, i, state) AS (
+    SELECT DISTINCT conv_id, 0::BIGINT, [{'c': 0::BIGINT, 'a': ''}, NULL, NULL, NULL] FROM conversations
+    UNION ALL
+    SELECT b.conv_id, r.i, list_transform([0, 1, 2, 3], lambda e: list_min(list_transform(
+        list_filter(ways, lambda w: w.e = e AND b.state[w.p + 1] IS NOT NULL),
+        lambda w: {'c': (b.state[w.p + 1].c + w.c)::BIGINT, 'a': b.state[w.p + 1].a || w.s})))
+    FROM best b JOIN marked r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1 JOIN moves USING (init, fault)),
+finished AS (
+    SELECT conv_id, list_min(list_filter([state[1], CASE WHEN state[2] IS NOT NULL THEN {'c': state[2].c + 10, 'a': state[2].a || 'II'} END,
+        CASE WHEN state[3] IS NOT NULL THEN {'c': state[3].c + 5, 'a': state[3].a || 'I'} END, state[4]], lambda x: x IS NOT NULL)) AS won
+    FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+edits AS (
+    SELECT conv_id, n, substr(won.a, n, 1) AS edit, n - strlen(replace(substr(won.a, 1, n), 'I', '')) AS inserted
+    FROM (SELECT conv_id, won, unnest(range(1, strlen(won.a) + 1)) AS n FROM finished)),
+turns AS (
+    SELECT e.conv_id, n, edit, role, text, row_number() OVER (PARTITION BY e.conv_id ORDER BY n) AS m,
+        max((n = 1 OR edit <> 'D') AND edit = 'K' AND init = 1) OVER (PARTITION BY e.conv_id) AS has_system
+    FROM edits e LEFT JOIN marked r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND edit <> 'I' AND r.i = n - inserted
+    WHERE edit <> 'D'),
+repaired AS (
+    SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (m + has_system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY n)) AS digest
+    FROM turns GROUP BY conv_id),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+        count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+        count(*) FILTER (before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM marked GROUP BY conv_id)
+SELECT f.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, won.c AS cost, won.a AS audit,
+    coalesce(digest, sha256('')) AS repaired_sha256
+FROM finished f LEFT JOIN repaired r ON f.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN counted c ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
+)
+def op11_conversation_repair(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.repaired_digests(rows, conversations.with_faults(rows))
