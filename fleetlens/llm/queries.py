@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import class_lm, conversations, embed_dedup, exact_dedup, mixing, packing, quality, simhash, substring, topk, toxicity, url_rules
+from fleetlens.llm import (
+    class_lm,
+    collocations,
+    conversations,
+    embed_dedup,
+    exact_dedup,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    substring,
+    topk,
+    toxicity,
+    url_rules,
+)
 from fleetlens.llm.common import crc_mod, read
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +302,37 @@ FROM finished f LEFT JOIN repaired r ON f.conv_id IS NOT DISTINCT FROM r.conv_id
 def op11_conversation_repair(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations")
     return conversations.repaired_digests(rows, conversations.with_faults(rows))
+
+
+@query(
+    "op12_phrase_streams",
+    r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM split, range(1, 6) sizes(k)),
+counts AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 100),
+cuts AS (
+    SELECT lang, phrase, f, c, array_to_string(w[:c], ' ') AS first, array_to_string(w[c + 1:], ' ') AS rest
+    FROM candidates, range(1, 5) cut(c) WHERE c < k),
+scored AS (
+    SELECT t.lang, t.phrase, t.f AS a, l.f AS l, r.f AS r, n::BIGINT AS n, c, (1000::HUGEINT * t.f * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM cuts t JOIN counts l ON l.lang = t.lang AND l.phrase = t.first JOIN counts r ON r.lang = t.lang AND r.phrase = t.rest
+        JOIN totals ON totals.lang = t.lang
+    QUALIFY row_number() OVER (PARTITION BY t.lang, t.phrase ORDER BY score, c) = 1),
+inside AS (
+    SELECT DISTINCT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, f
+    FROM candidates, range(2, 5) sizes(m), range(1, 5) starts(s) WHERE m < k AND s + m - 1 <= k),
+left_out AS (SELECT x.lang, x.phrase FROM scored x JOIN inside y ON x.lang = y.lang AND x.phrase = y.phrase AND 100 * y.f >= 100 * x.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM scored ANTI JOIN left_out USING (lang, phrase)) WHERE rank <= 2000
+""",
+)
+def op12_phrase_streams(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))

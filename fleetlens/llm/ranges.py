@@ -25,15 +25,20 @@ class Splitters:
         self._array = F.from_json(F.lit(json.dumps(points)), f"array<struct<{schema}>>")
 
     def range_of(self, key: Column) -> Column:
-        """The range of a key by binary search; ``key`` is a struct like the splitters."""
+        """The range of a key, a struct like the splitters."""
+        return self.count_while(lambda point: point <= key)
+
+    def count_while(self, holds) -> Column:
+        """How many splitters a condition holds for, by binary search: it must hold up to some splitter and for none after."""
         steps = [1 << b for b in reversed(range(self.count.bit_length()))]
         if not steps:
             return F.lit(0)
-        return F.aggregate(
-            F.array(*map(F.lit, steps)),
-            F.lit(0),
-            lambda low, step: F.when(F.get(self._array, low + step - 1) <= key, low + step).otherwise(low),
-        )
+
+        def look(low, step):
+            point = F.get(self._array, low + step - 1)  # null beyond the last
+            return F.when(point.isNotNull() & holds(point), low + step).otherwise(low)
+
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), look)
 
 
 def splitters(rows: DataFrame, keys: dict[str, Column], schema: str, weight: Column, ranges: int | None = None) -> Splitters:
