@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import partitions
 from fleetlens.llm.ranges import SAMPLES, Splitters, splitters
+from fleetlens.operators.skew import salted_join
 from fleetlens.sources.scratch import stored
 
 LONGEST = 5
@@ -384,7 +385,8 @@ def collocations(docs: DataFrame, least: int = LEAST, report: int = REPORT) -> D
     )
     merged = forward.hint("merge").join(backward, ["lang", "phrase"])
     a = F.col("f")
-    whole = merged.filter((F.coalesce("extended", F.lit(0)) < a) & (F.coalesce("extended_left", F.lit(0)) < a)).join(words, "lang")
+    whole = merged.filter((F.coalesce("extended", F.lit(0)) < a) & (F.coalesce("extended_left", F.lit(0)) < a))
+    whole = salted_join(whole, words, ["lang"], ["phrase"])
     best = whole.withColumn("cut", best_cut()).select(
         "lang", F.rtrim("phrase").alias("phrase"), a.alias("a"), F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score")
     )
