@@ -269,9 +269,12 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     texts = texts.filter("octet_length(text) > 0")
     spark = docs.sparkSession
     total = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    points = _window_splitters(texts, total, max(partitions(spark), -(-total // RANGE_BYTES)))
+    ranges = max(partitions(spark), -(-total // RANGE_BYTES))
+    points = _window_splitters(texts, total, ranges)
     sent = _sent(texts, points)
     schema = "lang string, phrase string, size int, f long"
+    # As many tasks as the text asks for, whatever the session's number of partitions is.
+    sent = sent.repartition(max(partitions(spark), ranges // 2), "lang", "range")
     partial = sent.groupBy("lang", "range").applyInArrow(lambda g: _runs(g, least), schema)
     # Phrases at the ends of ranges come in parts.
     counted = stored(partial.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")), "phrase_counts")
