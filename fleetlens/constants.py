@@ -204,6 +204,8 @@ SUMMARY_FAILED_START = "Deployment finished with failures on: "
 SUMMARY_FAILED_END = " ({succeeded}/{total} succeeded)"
 DETAILS_PREFIX = "Full details in "
 NO_STEPS_PREFIX = "No install commands found for host "
+# What a step without a command is called in the log.
+NO_COMMAND = "null"
 STEP_PREFIXES = {
     "STEP_BEGIN": "Executing: ",
     "STEP_OK": "Successfully executed: ",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.operators import render, runlog
 from fleetlens.operators.inventory import server_rows, service_rows
+from fleetlens.operators.ordered import earlier_count
 from fleetlens.operators.resolve import resolve
 from fleetlens.operators.select import drop_blank_rows, select_hosts
 from fleetlens.operators.skew import salted_join
@@ -29,24 +30,32 @@ def step_report(steps: DataFrame, parsed: DataFrame, runs: DataFrame) -> DataFra
     """State of every planned step in every attempt at its host.
 
     ``steps`` are install steps. ``runs`` ties a run to the one inventory it works on:
-    ``run, inventory``; a run that is not in it has no planned steps. A command is found in
-    the log by its text. Failed, or finished, or not run: because a step before it failed or
-    because the log ends first.
+    ``run, inventory``; a run that is not in it has no planned steps. The n-th time an attempt
+    logs a command belongs to the n-th step of the host with that command. Failed, or
+    finished, or not run: because a step before it failed or because the log ends first.
+    A step without a command stays, with ``missing`` set; a log names its command ``null``.
     """
     worked = runlog.number_attempts(parsed).select("run", F.col("host").alias("hostname"), "attempt").distinct()
-    seen = (
-        runlog.step_results(parsed)
-        .groupBy("run", F.col("host").alias("hostname"), "attempt", F.col("command").alias("install_cmd"))
-        .agg(F.max(F.col("failed").cast("int")).alias("failed"))
+    results = runlog.step_results(parsed).select(
+        "run", F.col("host").alias("hostname"), "attempt", F.col("command").alias("__command"), "failed", "part", "n"
     )
-    planned = steps.where("install_cmd IS NOT NULL").join(runs.select("run", "inventory"), "inventory")
+    named = ["run", "hostname", "attempt", "__command"]
+    seen = earlier_count(results, F.lit(True), named, "__nth").drop("part", "n")
+    placed = steps.withColumns(
+        {
+            "missing": F.col("install_cmd").isNull(),
+            "__command": F.coalesce("install_cmd", F.lit(C.NO_COMMAND)),
+            "place": F.struct("seq", "cmd_pos"),
+        }
+    )
+    numbered = earlier_count(placed, F.lit(True), ["inventory", "hostname", "__command"], "__nth", "server_pos", "place")
+    planned = numbered.join(runs.select("run", "inventory"), "inventory")
     tried = salted_join(planned, worked, ["run", "hostname"], ["server_pos", "seq", "cmd_pos"])
-    keys = ["run", "hostname", "attempt", "install_cmd"]
-    states = salted_join(tried, seen, keys, ["server_pos", "seq", "cmd_pos"], "left")
-    placed = states.withColumns({"place": F.struct("seq", "cmd_pos"), "failed": F.col("failed").cast("boolean")})
-    states = runlog.steps_reached(placed, ("inventory", "run", "hostname", "attempt"), "server_pos", "place")
+    # Both sides have one row for each key, so no key is hot.
+    states = tried.join(seen, [*named, "__nth"], "left")
+    states = runlog.steps_reached(states, ("inventory", "run", "hostname", "attempt"), "server_pos", "place")
     return states.select(
-        "inventory", "run", "hostname", "attempt", "server_pos", "seq", "cmd_pos", "install_cmd", "state"
+        "inventory", "run", "hostname", "attempt", "server_pos", "seq", "cmd_pos", "install_cmd", "missing", "state"
     )
 
 

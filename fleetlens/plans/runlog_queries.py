@@ -138,25 +138,33 @@ def steps_reached(spark, sf_dir):
     return runlog.steps_reached(with_part(steps)).drop("part")
 
 
-# Per event the host line of its user, the result of one of five steps, and for a third of the
-# events the host's own result, after which the host's next lines are another attempt. A run is
-# a day of one inventory. On odd days that is a second inventory with the same hosts and fewer steps.
-STEP_EVENTS = """SELECT strftime(ts, '%d%m%Y') || lpad(CAST(CAST(floor(user_id / 40.0) AS BIGINT) AS VARCHAR), 6, '0') AS run, user_id,
-    CAST(floor(user_id / 40.0) AS BIGINT) + 1000000 * (day(ts) % 2) AS inventory, 'step_' || (event_id % 5) AS cmd, value > 45 AS failed,
+# Per event the host line of its user, the result of a step, and for a third of the events the
+# host's own result, after which the host's next lines are another attempt. A run is a day of
+# one inventory. Hosts plan two of their commands twice. On odd days the run's is a second
+# inventory with the same hosts, fewer steps, and one step without a command.
+STEP_EVENTS = """SELECT event_id, strftime(ts, '%d%m%Y') || lpad(CAST(CAST(floor(user_id / 40.0) AS BIGINT) AS VARCHAR), 6, '0') AS run, user_id,
+    CAST(floor(user_id / 40.0) AS BIGINT) + 1000000 * (day(ts) % 2) AS inventory,
+    CASE WHEN event_id % 7 = 6 THEN 'null' ELSE 'step_' || (event_id % 7 % 3) END AS cmd, value > 45 OR event_id % 7 = 6 AS failed,
     1 + count(*) FILTER (event_id % 3 = 0) OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attempt FROM events"""
 
 
 @query(
     "step_report",
-    f"""WITH ev AS ({STEP_EVENTS}), seen AS (SELECT run, user_id, attempt, cmd, bool_or(failed) AS failed FROM ev GROUP BY 1, 2, 3, 4),
-      steps AS (SELECT c_custkey, CAST(floor(c_custkey / 40.0) AS BIGINT) AS inventory, unnest([0, 1, 2, 3, 4]) AS seq FROM customer
+    f"""WITH ev AS ({STEP_EVENTS}), seen AS (SELECT run, user_id, attempt, cmd, failed,
+        row_number() OVER (PARTITION BY run, user_id, attempt, cmd ORDER BY event_id) AS nth FROM ev),
+      planned AS (SELECT c_custkey, CAST(floor(c_custkey / 40.0) AS BIGINT) AS inventory, unnest([0, 1, 2, 3, 4]) AS seq FROM customer
         UNION ALL SELECT c_custkey, CAST(floor(c_custkey / 40.0) AS BIGINT) + 1000000, unnest([0, 1, 2]) FROM customer),
-      tried AS (SELECT steps.inventory, runs.run, c_custkey, worked.attempt, seq, failed FROM steps
+      steps AS (SELECT *, CASE WHEN inventory < 1000000 OR seq <> 1 THEN 'step_' || (seq % 3) END AS install_cmd,
+        row_number() OVER (PARTITION BY inventory, c_custkey, CASE WHEN inventory >= 1000000 AND seq = 1 THEN -1 ELSE seq % 3 END ORDER BY seq) AS nth
+        FROM planned),
+      tried AS (SELECT steps.inventory, runs.run, c_custkey, worked.attempt, seq, install_cmd, failed FROM steps
         JOIN (SELECT DISTINCT run, inventory FROM ev) AS runs ON runs.inventory = steps.inventory
         JOIN (SELECT DISTINCT run, user_id, attempt FROM ev) AS worked ON worked.run = runs.run AND worked.user_id = c_custkey
-        LEFT JOIN seen ON seen.run = runs.run AND seen.user_id = c_custkey AND seen.attempt = worked.attempt AND seen.cmd = 'step_' || seq)
-    SELECT inventory, run, 'n' || c_custkey AS hostname, attempt, c_custkey AS server_pos, seq, 0 AS cmd_pos, 'step_' || seq AS install_cmd,
+        LEFT JOIN seen ON seen.run = runs.run AND seen.user_id = c_custkey AND seen.attempt = worked.attempt
+          AND seen.cmd = coalesce(install_cmd, 'null') AND seen.nth = steps.nth)
+    SELECT inventory, run, 'n' || c_custkey AS hostname, attempt, c_custkey AS server_pos, seq, 0 AS cmd_pos, install_cmd,
+      install_cmd IS NULL AS missing,
       CASE WHEN failed IS NULL OR count(*) FILTER (failed) OVER (PARTITION BY run, c_custkey, attempt ORDER BY seq
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'NOT_RUN' WHEN failed THEN 'FAILED' ELSE 'OK' END AS state FROM tried""",
 )
@@ -166,11 +174,12 @@ def planned_steps(spark, sf_dir):
         "*",
         "concat(date_format(ts, 'ddMMyyyy'), lpad(string(user_id div 40), 6, '0')) AS run",
         "user_id div 40 + 1000000 * (day(ts) % 2) AS inventory",
+        "if(value > 45 OR event_id % 7 = 6, 'Error executing: ', 'Successfully executed: ') AS result",
+        "if(event_id % 7 = 6, 'null', concat('step_', event_id % 7 % 3)) AS command",
     )
     opening = X.log_line("ts", F.concat(F.lit("=== n"), "user_id", F.lit(" === running installer remotely")))
-    result = F.expr("concat(if(value > 45, 'Error', 'Successfully'), if(value > 45, ' executing', ' executed'), ': step_', event_id % 5)")
     ended = F.when(F.expr("event_id % 3 = 0"), X.log_line("ts", F.concat(F.lit("=== n"), "user_id", F.lit(": SUCCESS ==="))))
-    lines = events.select("run", "event_id", F.posexplode(F.array(opening, result, ended)).alias("pos", "line"))
+    lines = events.select("run", "event_id", F.posexplode(F.array(opening, F.concat("result", "command"), ended)).alias("pos", "line"))
     placed = with_part(lines.where("line IS NOT NULL").select("run", F.expr("event_id * 3 + pos").alias("n"), "line"))
     parsed = stored(runlog.parse_run_lines(placed), "run-lines")
     hosts = table(spark, sf_dir, "customer").selectExpr(
@@ -180,9 +189,10 @@ def planned_steps(spark, sf_dir):
         "c_custkey div 40 + twin AS inventory",
         "0 AS cmd_pos",
     )
-    steps = hosts.withColumn("seq", F.explode(F.expr("sequence(0, if(twin = 0, 4, 2))"))).drop("twin")
+    steps = hosts.withColumn("seq", F.explode(F.expr("sequence(0, if(twin = 0, 4, 2))")))
+    command = F.expr("if(twin = 0 OR seq != 1, concat('step_', seq % 3), NULL)")
     runs = events.select("run", "inventory").distinct()
-    return step_report(steps.withColumn("install_cmd", F.concat(F.lit("step_"), "seq")), parsed, runs)
+    return step_report(steps.withColumn("install_cmd", command).drop("twin"), parsed, runs)
 
 
 @query(

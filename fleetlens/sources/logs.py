@@ -2,7 +2,8 @@
 
 A run log may be of any size: it is never held as one value. ``part`` names the piece of a
 file that one task reads (bounded by ``spark.sql.files.maxPartitionBytes``) and ``n`` orders
-the lines inside it, so (``part``, ``n``) orders the lines of a run without any shuffle.
+the lines inside it, so (``part``, ``n``) orders the lines of a run without any shuffle. The files of a run stand in the
+order of their stamps, which an index of one row a file gives.
 
 Where a file is cut can change from scan to scan, when executors come or go. The ordered
 operators read their input twice, so run them over landed lines, where the place is data.
@@ -10,7 +11,7 @@ operators read their input twice, so run them over landed lines, where the place
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
@@ -45,12 +46,43 @@ def text_lines(reader, path) -> DataFrame:
     )
 
 
+def stamp_of(line: Column) -> Column:
+    """The time a line begins with, as ``[2026-01-02 03:04:05]``; null without one."""
+    return F.when(line.startswith("["), F.regexp_extract(line, C.STAMP_PATTERN, 1)).try_cast("timestamp_ntz")
+
+
+def natural_name(name: Column) -> Column:
+    """``name`` with its numbers padded, so that piece-9 sorts before piece-10."""
+    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(r)), "")
+
+
+def order_files(lines: DataFrame, ts: Column) -> DataFrame:
+    """Lines with ``place``, the place of their file in its run, put first in ``part``.
+
+    ``lines`` has ``run`` and ``part`` (``file, block``). Files go by their first and last stamp (``ts``), then by
+    name, numbers in names as numbers. A file without a stamp follows the file named before it.
+    """
+    spans = lines.groupBy("run", F.col("part.file").alias("file")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+    by_name = Window.partitionBy("run").orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Beside a file's own stamps come those of the last stamped file up to it in the order of names.
+    spans = spans.withColumn("name", F.struct(natural_name(F.col("file")), F.col("file")))
+    stamped = F.when(F.col("first").isNotNull(), F.struct("first", "last"))
+    spans = spans.withColumn("at", F.last(stamped, ignorenulls=True).over(by_name))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("at.first", "at.last", "name"))
+    index = spans.select(F.col("run").alias("__run"), "file", place.alias("place"))
+    joined = lines.join(index, (F.col("run") == F.col("__run")) & (F.col("part.file") == F.col("file")))
+    part = F.struct("place", F.col("part.file").alias("file"), F.col("part.block").alias("block"))
+    return joined.select(*[part.alias(c) if c == "part" else c for c in lines.columns])
+
+
 def read_run_logs(
     spark: SparkSession, path, run_pattern: str = C.RUN_FILE_PATTERN, keep_blank: bool = False
 ) -> DataFrame:
-    """Lines of run logs: ``run, run_ts, part, n, line``."""
+    """Lines of run logs: ``run, run_ts, part, n, line``. A run may lie in any number of files."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    return number_in_file(with_run(text_lines(reader, path), run_pattern), keep_blank)
+    numbered = number_in_file(with_run(text_lines(reader, path), run_pattern), keep_blank)
+    return order_files(numbered, stamp_of(F.col("line")))
 
 
 def land_run_logs(

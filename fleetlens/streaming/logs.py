@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.operators import runlog
-from fleetlens.sources.logs import number_in_file, text_lines, with_run
+from fleetlens.sources.logs import number_in_file, order_files, text_lines, with_run
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def write_attempts(
         lines = spark.read.schema(schema).option("basePath", f"{out}/lines").parquet(f"{out}/lines")
         touched = lines.where(F.col("batch") == batch_id).select("run_date", "run").distinct()
         whole = lines.where(F.col("batch") <= batch_id).join(touched, ["run_date", "run"], "left_semi")
-        found = runlog.host_attempts(whole).drop("part", "n")
+        found = runlog.host_attempts(order_files(whole, F.col("ts"))).drop("part", "n")
         found.write.mode("overwrite").parquet(f"{out}/attempts/batch={batch_id}")
 
     return _start(stream, write, checkpoint, drain)

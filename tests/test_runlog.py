@@ -298,13 +298,43 @@ def test_step_report(spark, parsed):
         "inventory string, server_pos int, hostname string, seq int, cmd_pos int, install_cmd string",
     )
     runs = spark.createDataFrame([("02012026100000", "i")], "run string, inventory string")
-    got = step_report(steps, parsed, runs).select("hostname", "install_cmd", "state")
-    assert rows(got, "hostname", "install_cmd") == [
-        ("10.0.0.1", "a_install", "OK"), ("10.0.0.2", "b_install", "FAILED"), ("10.0.0.2", "c", "NOT_RUN"),
-        ("10.0.0.3", "d", "NOT_RUN"),
+    got = step_report(steps, parsed, runs).select("hostname", "seq", "install_cmd", "missing", "state")
+    assert rows(got, "hostname", "seq") == [
+        ("10.0.0.1", 0, "a_install", False, "OK"), ("10.0.0.2", 0, "b_install", False, "FAILED"), ("10.0.0.2", 1, "c", False, "NOT_RUN"),
+        ("10.0.0.3", 0, "d", False, "NOT_RUN"), ("10.0.0.3", 1, None, True, "NOT_RUN"),
     ]
 
 
+def test_a_command_planned_several_times(spark):
+    """Each planned step has the result of its own turn; a step without a command is one named null."""
+    def attempt(*results):
+        lines = ["[2026-01-02 10:00:00] === h === running installer remotely"]
+        for verb, command in results:
+            lines += [f"Executing: {command}", f"{verb}: {command}"]
+        return [*lines, "[2026-01-02 10:00:09] === h: SUCCESS ==="]
+
+    ok, bad = "Successfully executed", "Error executing"
+    lines = attempt((ok, "sync"), (ok, "b"), (bad, "sync")) + attempt((ok, "sync"), (ok, "b"), (ok, "sync"), (bad, "null")) + attempt((bad, "sync"))
+    # Pieces of three lines: the turns of a command are counted across them.
+    rows_in = [("r", i // 3, i, line) for i, line in enumerate(lines)]
+    parsed = R.parse_run_lines(spark.createDataFrame(rows_in, "run string, part long, n long, line string"))
+    steps = spark.createDataFrame(
+        [("i", 0, "h", 0, 0, "sync"), ("i", 0, "h", 0, 1, "b"), ("i", 0, "h", 1, 0, "sync"), ("i", 0, "h", 2, 0, None), ("i", 0, "h", 3, 0, "sync")],
+        "inventory string, server_pos int, hostname string, seq int, cmd_pos int, install_cmd string",
+    )
+    got = step_report(steps, parsed, spark.createDataFrame([("r", "i")], "run string, inventory string"))
+    states = {}
+    for r in got.orderBy("attempt", "seq", "cmd_pos").collect():
+        states.setdefault(r["attempt"], []).append(r["state"])
+    skipped = "NOT_RUN"
+    assert states == {
+        1: ["OK", "OK", "FAILED", skipped, skipped],
+        2: ["OK", "OK", "OK", "FAILED", skipped],
+        3: ["FAILED", skipped, skipped, skipped, skipped],
+    }
+    assert [r["seq"] for r in got.where("missing").select("seq").distinct().collect()] == [2]
+
+
 def test_steps_of_a_retried_host_and_of_a_host_in_two_inventories(spark):
     lines = [
         "[2026-01-02 10:00:00] === h === running installer remotely", "Error executing: a",

@@ -64,6 +64,21 @@ def test_runs_in_several_files_equal_the_batch_result(spark, tmp_path):
     assert mine == [("g", "1", "SUCCESS", "546"), ("h", "1", "SUCCESS", "15"), ("h", "2", "FAILED", "0"), ("h", "3", "SUCCESS", "535")]
 
 
+def test_files_of_a_run_go_by_their_stamps(spark, tmp_path):
+    """File names say nothing of the order, or count without leading zeros."""
+    want = None
+    for case, names in enumerate((["piece-8", "piece-9", "piece-10", "piece-11"], ["z", "b", "c", "a"], ["4", "3", "30", "1"])):
+        folder = tmp_path / str(case)
+        (folder / "in" / "run=02012026235950").mkdir(parents=True)
+        for name, text in zip(names, CUT, strict=True):
+            (folder / "in" / "run=02012026235950" / name).write_text(text)
+        batch = [r[1:] for r in batch_rows(spark, folder / "in", folder / "landed", PIECES)]
+        stream = [r[1:] for r in drain(spark, folder / "in", folder / "out", folder / "progress", pattern=PIECES)]
+        want = want or batch
+        assert batch == stream == want
+    assert ("h", "3", "2026-01-03 00:00:05", "2026-01-03 00:09:00", "SUCCESS", "None", "535") in want
+
+
 def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
     folder.mkdir()
