@@ -14,6 +14,7 @@ from fleetlens.plans.samples import table
 from fleetlens.sources import logs, sinks
 from fleetlens.sources.scratch import scratch_path, stored
 from fleetlens.streaming import logs as streaming
+from fleetlens.streaming import state
 
 # The events as parsed lines: one row per event, then one summary row per day.
 REASON = "CASE user_id % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'SSH connect / mkdir' WHEN 2 THEN 'scp' ELSE 'remote install' END"
@@ -66,13 +67,15 @@ def parse_run_log(spark, sf_dir):
     return parsed_lines(spark, sf_dir).select("run", "n", *PARSED.split(", "), "k", "total")
 
 
-@query(
-    "read_run_logs",
+NUMBERED = (
     EVENTS
-    + f"""SELECT run, strptime(run, '%d%m%Y%H%M%S') AS run_ts, row_number() OVER (PARTITION BY run ORDER BY n) AS line_no, kind, ts,
+    + """SELECT run, strptime(run, '%d%m%Y%H%M%S') AS run_ts, row_number() OVER (PARTITION BY run ORDER BY n) AS line_no, kind, ts,
       host, status, command FROM (SELECT run, n, kind, ts, host, status, command FROM lines UNION ALL
-      SELECT run, n, 'SUMMARY', ts, NULL, NULL, NULL FROM ends) AS t""",
+      SELECT run, n, 'SUMMARY', ts, NULL, NULL, NULL FROM ends) AS t"""
 )
+
+
+@query("read_run_logs", NUMBERED)
 def read_run_logs(spark, sf_dir):
     """Run logs written as files and read back line by line, with their line numbers."""
     files, out = samples.run_files(spark, sf_dir), scratch_path(spark, "run-lines")
@@ -80,6 +83,15 @@ def read_run_logs(spark, sf_dir):
     return numbered.select("run", "run_ts", "line_no", "kind", "ts", "host", "status", "command")
 
 
+@query("run_files_by_stamp", NUMBERED)
+def run_files_by_stamp(spark, sf_dir):
+    """The same from many files a run, whose names say nothing of their order."""
+    files, out = scratch_path(spark, "run-logs"), scratch_path(spark, "run-lines")
+    samples.write_run_files(samples.event_lines(spark, sf_dir), files, events=256, named=False)
+    numbered = number_lines(logs.land_run_logs(spark, files, out, samples.RUN_FOLDER_PATTERN))
+    return numbered.select("run", "run_ts", "line_no", "kind", "ts", "host", "status", "command")
+
+
 @query(
     "attribute_lines",
     EVENTS
@@ -318,6 +330,50 @@ def stream_attempts_stateful(spark, sf_dir):
     return streaming.read_attempts(spark, out)
 
 
+#: Attempts with a result, and others once the watermark is a day past their host's last line.
+ENDED = f"""SELECT {ATTEMPT} FROM attempts WHERE status <> 'NO_RESULT' OR (run, host) IN (SELECT (run, host) FROM lines WHERE host IS NOT NULL
+    GROUP BY run, host HAVING max(ts) + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 10 MINUTE FROM lines WHERE host IS NOT NULL))"""
+
+
+@query("stream_ended_attempts", EVENTS + ENDED)
+def stream_ended_attempts(spark, sf_dir):
+    """Attempts as they end, over three deliveries that cut runs, with state for open hosts only."""
+    out, progress = scratch_path(spark, "ended"), scratch_path(spark, "progress")
+    lines = samples.event_lines(spark, sf_dir)
+    files = scratch_path(spark, "arriving")
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    for delivery in range(3):
+        low, high = (2 * (last + 1) * k // 3 for k in (delivery, delivery + 1))
+        samples.write_run_files(lines.where(f"n >= {low} AND n < {high + 2 * (delivery == 2)}"), f"{files}/{delivery}")
+        stream = streaming.stream_lines(spark, files)
+        state.write_ended_attempts(stream, out, progress, "1 day", "10 minutes", samples.RUN_FOLDER_PATTERN).awaitTermination()
+    return state.read_ended_attempts(spark, out)
+
+
+@query(
+    "stream_level_windows",
+    """WITH ev AS (SELECT *, user_id % 7 AS file, CASE WHEN event_type <> 'click' THEN date_trunc('minute', ts) END AS minute,
+        CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN NULL ELSE 'INFO' END AS level, user_id % 5 = 0 AS held_back,
+        (SELECT date_trunc('second', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE event_type <> 'click' AND user_id % 5 <> 0) AS mark,
+        (SELECT date_trunc('second', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE event_type <> 'click') AS final_mark FROM events)
+      SELECT file, level, minute, CASE WHEN minute IS NULL THEN 'unstamped' WHEN held_back AND minute + INTERVAL 1 MINUTE <= mark THEN 'late'
+        ELSE 'final' END AS kind, count(*) AS lines FROM ev WHERE minute IS NULL OR minute + INTERVAL 1 MINUTE <= final_mark
+        OR held_back AND minute + INTERVAL 1 MINUTE <= mark GROUP BY ALL""",
+)
+def stream_level_windows(spark, sf_dir):
+    """Minutes that the watermark has passed, and beside them late and unstamped lines: a fifth of the users deliver late."""
+    files, out, progress = (scratch_path(spark, name) for name in ("service-logs", "windows", "progress"))
+    for late in (False, True):
+        users = table(spark, sf_dir, "events").where(F.expr("user_id % 5 = 0") == late)
+        lines = samples.service_lines(spark, sf_dir, users).select("line", "log")
+        lines.repartition("log").write.partitionBy("log").text(f"{files}/late={late}")
+        state.write_level_windows(streaming.stream_lines(spark, files), out, progress).awaitTermination()
+    log = F.regexp_extract("file", r"log=(\d+)", 1).cast("bigint")
+    found = [state.read_level_windows(spark, out, kind).withColumn("kind", F.lit(kind)) for kind in ("final", "late", "unstamped")]
+    counts = found[0].unionByName(found[1]).unionByName(found[2]).groupBy(log.alias("file"), "level", "minute", "kind")
+    return counts.agg(F.sum("lines").alias("lines"))
+
+
 @query(
     "stream_levels",
     """SELECT user_id % 7 AS file, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN NULL ELSE 'INFO' END AS level,

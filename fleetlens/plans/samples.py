@@ -205,9 +205,13 @@ def event_lines(spark: SparkSession, sf_dir: str, run: str | None = None) -> Dat
     return with_part(lines.unionByName(ends.select("run", "n", X.log_line("ts", done).alias("line"))))
 
 
-def write_run_files(lines: DataFrame, path: str) -> None:
-    """Rendered lines as text, one file per run and ``FILE_EVENTS`` events, in line order."""
-    pieces = lines.withColumn("piece", F.expr(f"lpad(string(n div {2 * FILE_EVENTS}), 12, '0')"))
+def write_run_files(lines: DataFrame, path: str, events: int = FILE_EVENTS, named: bool = True) -> None:
+    """Rendered lines as text, one file per run and ``events`` events, in line order.
+
+    ``named``: file names sort like the lines. Else they are hashes.
+    """
+    piece = F.expr(f"lpad(string(n div {2 * events}), 12, '0')")
+    pieces = lines.withColumn("piece", piece if named else F.md5(F.concat("run", piece)))
     (
         pieces.repartition("run", "piece")
         .sortWithinPartitions("run", "piece", "n")
@@ -234,9 +238,9 @@ def run_files(spark: SparkSession, sf_dir: str) -> str:
 RUN_FOLDER_PATTERN = r"run=(\d{14})"
 
 
-def service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``line, level``: stamped lines for most events, raw tool output for clicks."""
-    events = table(spark, sf_dir, "events")
+def service_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``line, level``: stamped lines for most events (all of the table's unless given), raw tool output for clicks."""
+    events = table(spark, sf_dir, "events") if events is None else events
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") != "click", "INFO")
     message = F.concat("event_type", F.lit(" of user "), "user_id")
     return events.select(
