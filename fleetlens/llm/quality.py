@@ -16,6 +16,8 @@ SEED = 7
 #: Raw scores are calibrated on this grid.
 LOW, HIGH, STEP = -1.0, 2.0, 0.002
 THRESHOLD = 0.7
+#: Rows whose features a task holds at once.
+ROWS = 1024
 
 _UPPER, _LOWER, _DIGIT, _SPACE = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
@@ -101,7 +103,8 @@ class FourierRidge:
         return np.concatenate([f, np.ones((len(x), 1))], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.expand(x) @ self.weights, LOW, HIGH)
+        found = [self.expand(x[s : s + ROWS]) @ self.weights for s in range(0, len(x), ROWS)]
+        return np.clip(np.concatenate([np.zeros(0), *found]), LOW, HIGH)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), self.grid, self.share)
@@ -134,11 +137,16 @@ def fit_quality(
     n, mean = moments[0], moments[1 : d + 1] / moments[0]
     model = FourierRidge(mean, np.sqrt(np.maximum(moments[d + 1 :] / n - mean**2, 0)), features, seed)
 
+    k = features + 1
+
     def normal(x, y):
-        z = model.expand(x)
-        return np.concatenate([(z.T @ z).reshape(-1), z.T @ y])
+        total = np.zeros(k * k + k)
+        for s in range(0, len(x), ROWS):
+            z = model.expand(x[s : s + ROWS])
+            total[: k * k] += (z.T @ z).reshape(-1)
+            total[k * k :] += z.T @ y[s : s + ROWS]
+        return total
 
-    k = features + 1
     both = sums(normal)
     model.weights = np.linalg.solve(both[: k * k].reshape(k, k) + ridge * n * np.eye(k) / k, both[k * k :])
 
