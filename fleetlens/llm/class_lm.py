@@ -252,9 +252,10 @@ def score_texts(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, sweeps:
     or empty text is the end token alone. Rows where ``held_out`` (a condition on ``doc_id``)
     holds, or whose id is null, are scored but not learned from. ``base_score`` is the log10
     probability under add-one unigrams, ``score`` that of the class model, ``perplexity``
-    10 ^ (-score / n_tokens). Unknown words are one type of their own: it follows a class as
-    often as words that occur once in training do. If nothing is learned from, all words are
-    unknown and certain, and scores are 0. Rows that repeat an id stay rows, and each is
+    10 ^ (-score / n_tokens). Unknown words are a class of their own: it follows a class as
+    often as words that occur once in training do, and gives each word 1 / (V + 1), V being the
+    number of distinct training tokens, so that an unknown word costs more than known ones do. If nothing
+    is learned from, all words are unknown and certain, and scores are 0. Rows that repeat an id stay rows, and each is
     learned from. Only ``doc_id`` and ``text`` are read.
     """
     spark = docs.sparkSession
@@ -295,7 +296,8 @@ def score_texts(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, sweeps:
         first = tokens.last - tokens.n + 1
         known = counts > 0
         base = np.log10((counts + 1) / (n + v + 1))
-        emitted = np.zeros(len(counts))
+        # An unknown word is one of at least as many as there are known ones.
+        emitted = np.full(len(counts), -np.log10(v + 1))
         emitted[known] = np.log10(counts[known] / in_class[classes[known]])
         # Unknown words are class CLASSES; words that occur once, which stand for them, are marked.
         codes = np.where(known, classes, CLASSES) + np.where(counts == 1, 128, 0)
