@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.ordered import earlier_count
 from fleetlens.operators.skew import salted_join
 from fleetlens.sources.scratch import stored
 
@@ -54,6 +55,27 @@ def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, source:
     return shares.select("source", "n", rate.alias("rate"))
 
 
+def _draw_names(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``mix_draw``, the text that a row's draw is hashed from: its key.
+
+    Rows without a key, or with one that others have too, add a hash of the whole row and its number
+    among equal rows. Such rows are numbered by pieces, so that one row may be repeated without bound.
+    """
+    id_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    counted = docs.groupBy(F.col(key).alias("mix_id")).agg(F.count("*").alias("n"))
+    shared = stored(counted.filter("n > 1 or mix_id is null").select("mix_id"), "mix_shared")
+    if shared.isEmpty():
+        return docs.withColumn("mix_draw", id_text)
+    same = F.col(key).eqNullSafe(F.col("mix_id"))
+    place = F.monotonically_increasing_id()
+    columns = [F.col(f"`{c}`").cast("string") for c in docs.columns]
+    whole = F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])))
+    odd = stored(docs.join(shared, same, "left_semi").withColumn("mix_row", whole).withColumn("mix_n", place), "mix_odd")
+    odd = earlier_count(odd.withColumn("mix_part", F.shiftright("mix_n", 33)), F.lit(True), ["mix_row"], "mix_nth", "mix_part", "mix_n")
+    odd = odd.withColumn("mix_draw", F.concat_ws(":", id_text, "mix_row", "mix_nth")).select(*docs.columns, "mix_draw")
+    return docs.join(shared, same, "left_anti").withColumn("mix_draw", id_text).unionByName(odd)
+
+
 def mix_sources(
     docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED, source: str = "source", key: str = "doc_id"
 ) -> DataFrame:
@@ -61,8 +83,8 @@ def mix_sources(
 
     The number of copies is the quantile of a Poisson distribution with the source's rate at
     a uniform number hashed from ``seed`` and ``key``; large rates are sums of several such
-    numbers. Rows that repeat a key get the same count. A null key hashes like an empty
-    text. An empty table gives an empty table. ``docs`` must not have columns ``mix_*``
+    numbers. Rows with a null key, and rows that share one, have draws of their own, hashed from the whole row
+    and its number among equal rows too. An empty table gives an empty table. ``docs`` must not have columns ``mix_*``
     of its own: they are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
@@ -76,8 +98,8 @@ def mix_sources(
     # A null source must join: its hash key is a text no other source has.
     name = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("v"), c.cast("string")))
     rates = rates.withColumn("mix_key", name(F.col("mix_source"))).drop("mix_source")
-    id_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    joined = salted_join(docs.withColumn("mix_key", name(F.col(source))), rates, ["mix_key"], [id_text])
+    id_text = F.col("mix_draw")
+    joined = salted_join(_draw_names(docs, key).withColumn("mix_key", name(F.col(source))), rates, ["mix_key"], ["mix_draw"])
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("mix_parts")),
         F.lit(0),
@@ -92,5 +114,5 @@ def mix_sources(
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
     )
     order = F.xxhash64(F.lit(seed), id_text, F.col("mix_copy"))
-    mixed = copies.withColumn("mix_order", order).drop("mix_key", "mix_parts", "mix_cdf", "mix_n")
+    mixed = copies.withColumn("mix_order", order).drop("mix_key", "mix_parts", "mix_cdf", "mix_n", "mix_draw")
     return mixed.repartition("mix_order").sortWithinPartitions("mix_order").drop("mix_order")
