@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fleetlens.llm.calibrate import pool_adjacent
 from fleetlens.sources.scratch import stored
@@ -23,8 +24,6 @@ LEARN_ROWS = 6000
 LEAST_ROWS = 4
 LEAST_RATIO = 20.0
 LEAST_SURPRISE = 28.0
-#: Different neighbours of a term, as a share of the different toxic texts that hold it.
-LEAST_VARIETY = 0.5
 #: A prefix stands for its longer forms until one of them holds this share of its rows.
 FORM_SHARE = 0.9
 SHORTEST, LONGEST = 4, 12
@@ -252,10 +251,11 @@ def learn_lexicon(docs: DataFrame, known: DataFrame, exceptions: Iterable[str] =
     )
     strong = (F.col("bad") >= LEAST_ROWS) & (marks >= float(np.log(LEAST_RATIO))) & (surprise >= LEAST_SURPRISE)
     forms = {(r["form"], r["whole"]): (r["bad"], r["good"]) for r in _count(sample, word_forms).filter(strong).collect()}
-    # Words that texts copied with small changes share stand in the same place every time.
+    # Texts copied with small changes say the same thing again: what counts is the places a form stands in.
     varied = _contexts(sample, set(forms)).filter(F.col("contexts") >= LEAST_ROWS).collect()
     varied = {(r["form"], r["whole"]): r["contexts"] for r in varied}
-    terms = choose_terms({f: n for f, n in forms.items() if varied.get(f, 0) >= LEAST_VARIETY * n[0]}, odds)
+    evidence = {f: (min(bad, varied.get(f, 0)), good) for f, (bad, good) in forms.items()}
+    terms = choose_terms({f: n for f, n in evidence.items() if odds.strong(*n)}, odds)
 
     def phrases(words: list[str]) -> set[tuple[str, bool]]:
         found = set()
@@ -284,21 +284,22 @@ def toxicity_rates(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return texts.mapInArrow(_scorer(lexicon.terms, lexicon.exceptions), "doc_id long, rate double")
 
 
-def _fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, exceptions: Iterable[str], rows: int):
-    """The lexicon, calibrated rates and their shares, and ``doc_id, rate, held_out`` of every row."""
-    known = (
-        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.avg(label).alias("y"))
-        .filter(~F.coalesce(held_out, F.lit(False)))
-    )
-    lexicon = learn_lexicon(docs, known, exceptions, rows)
-    rated = stored(toxicity_rates(docs, lexicon).withColumn("held_out", F.coalesce(held_out, F.lit(False))), "toxicity_rates")
+#: The rate of a row of ``drop_toxic``'s input, written with it.
+RATE = "__toxic_rate"
+
+
+def _known(labels: DataFrame, held_out: Column, label: str) -> DataFrame:
+    """``doc_id, y`` of the rows that may be learned from."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("y"))
+    return known.filter(~F.coalesce(held_out, F.lit(False)))
+
+
+def _calibrated(rated: DataFrame, known: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Rates and the shares of toxic rows there, never falling, from ``doc_id, rate``."""
     grid = F.ceil(F.col("rate") * 1000) / 1000.0
     bins = rated.join(known, "doc_id").groupBy(grid.alias("at")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
     bins = sorted((r["at"], r["y"], r["n"]) for r in bins)
-    at, share = pool_adjacent(*map(np.array, zip(*bins, strict=True))) if bins and lexicon.terms else (np.zeros(1), np.zeros(1))
-    return lexicon, at, share, rated
+    return pool_adjacent(*map(np.array, zip(*bins, strict=True))) if bins and lexicon.terms else (np.zeros(1), np.zeros(1))
 
 
 def _scores(rate: np.ndarray, at: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -326,7 +327,10 @@ def score_toxicity(
     documents that may be learned from are then calibrated (isotonic, on rates rounded to a
     thousandth, so the driver holds a bounded table).
     """
-    _, at, share, rated = _fit(docs, labels, held_out, label, exceptions, rows)
+    known = _known(labels, held_out, label)
+    lexicon = learn_lexicon(docs, known, exceptions, rows)
+    rated = stored(toxicity_rates(docs, lexicon).withColumn("held_out", F.coalesce(held_out, F.lit(False))), "toxicity_rates")
+    at, share = _calibrated(rated, known, lexicon)
 
     def run(batches):
         for batch in batches:
@@ -343,15 +347,25 @@ def score_toxicity(
 def drop_toxic(
     docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", exceptions: Iterable[str] = (), rows: int = LEARN_ROWS
 ) -> DataFrame:
-    """The rows of ``docs`` that ``score_toxicity`` predicts 0 for, each judged by its own text, whatever its id."""
-    lexicon, at, share, _ = _fit(docs, labels, held_out, label, exceptions, rows)
+    """The rows of ``docs`` that ``score_toxicity`` predicts 0 for, each judged by its own text, whatever its id.
+
+    A column ``__toxic_rate`` of ``docs`` is taken away. Null and empty texts stay.
+    """
+    docs = docs.drop(RATE)
+    known = _known(labels, held_out, label)
+    lexicon = learn_lexicon(docs, known, exceptions, rows)
     terms, phrases = lexicon.terms, lexicon.exceptions
 
     def run(batches):
         judge = Lexicon(terms, phrases)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            rates = np.array([judge.rate(t.as_py().decode("utf-8", "replace") if t.is_valid else "") for t in texts], np.float64)
-            yield batch.filter(pa.array(_scores(rates, at, share) < THRESHOLD, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            rates = [judge.rate(t.as_py().decode("utf-8", "replace") if t.is_valid else "") for t in texts]
+            yield batch.append_column(RATE, pa.array(rates, pa.float64()))
+
+    # Texts are scored once: the rate is written with its row.
+    rated = stored(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(RATE, DoubleType())])), "toxicity_rows")
+    at, share = _calibrated(rated.select("doc_id", F.col(RATE).alias("rate")), known, lexicon)
+    first = int(np.searchsorted(share, THRESHOLD))
+    kept = F.lit(True) if first == len(share) else F.col(RATE) - 1e-9 <= (float(at[first - 1]) if first else -np.inf)
+    return rated.filter(kept).drop(RATE)
