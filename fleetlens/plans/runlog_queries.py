@@ -11,7 +11,7 @@ from fleetlens.plans import samples
 from fleetlens.plans.fleet import failure_report, step_report
 from fleetlens.plans.registry import query
 from fleetlens.plans.samples import table
-from fleetlens.sources import logs, sinks
+from fleetlens.sources import growing, logs, sinks
 from fleetlens.sources.scratch import scratch_path, stored
 from fleetlens.streaming import logs as streaming
 from fleetlens.streaming import state
@@ -321,6 +321,21 @@ def stream_attempts(spark, sf_dir):
     return streaming.read_attempts(spark, out)
 
 
+@query(
+    "stream_growing_files",
+    EVENTS.replace("strftime(ts, '%d%m%Y') || '000000'", samples.SHORT_RUN) + f"SELECT {ATTEMPT} FROM attempts",
+)
+def stream_growing_files(spark, sf_dir):
+    """Attempts of run logs that are read while they are written: three looks, cut within lines."""
+    files, out, progress = (scratch_path(spark, name) for name in ("growing", "attempts", "progress"))
+    lines = stored(samples.event_lines(spark, sf_dir, samples.SHORT_RUN).select("run", "n", "line"), "lines")
+    for share in (0.4, 0.75, 1.0):
+        samples.grow_run_files(lines, files, share)
+        stream = growing.stream_growing(spark, files)
+        streaming.write_attempts(stream, out, progress, samples.RUN_FOLDER_PATTERN).awaitTermination()
+    return streaming.read_attempts(spark, out)
+
+
 @query("stream_attempts_stateful", EVENTS + f"SELECT {ATTEMPT} FROM attempts")
 def stream_attempts_stateful(spark, sf_dir):
     """Attempts of runs that arrive in several files, in batches that cut them."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import with_part
+from fleetlens.sources.growing import open_folder
 from fleetlens.sources.inventory import parse_inventory
 from fleetlens.sources.scratch import scratch_path
 
@@ -221,6 +222,24 @@ def write_run_files(lines: DataFrame, path: str, events: int = FILE_EVENTS, name
     )
 
 
+def grow_run_files(lines: DataFrame, path: str, share: float) -> None:
+    """Each run's rendered lines as one file, written as far as the first ``share`` of its bytes.
+
+    Called again with a larger share, the files have grown. Runs are those of ``SHORT_RUN``, of bounded size.
+    """
+
+    def write(run):
+        data = ("\n".join(run.sort_values("n")["line"]) + "\n").encode()
+        system, folder = open_folder(path)
+        place = f"{folder}/run={run['run'].iloc[0]}"
+        system.create_dir(place)
+        with system.open_output_stream(f"{place}/deploy.log") as out:
+            out.write(data[: int(len(data) * share)])
+        return run[["run"]].head(1)
+
+    lines.select("run", "n", "line").groupBy("run").applyInPandas(write, "run string").count()
+
+
 def land(spark: SparkSession, sf_dir: str) -> None:
     """Render the inputs once, so that what is timed afterwards is the library and not their rendering."""
     for name, make in (("inventories", inventories), ("event_lines", event_lines)):

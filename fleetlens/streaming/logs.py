@@ -1,7 +1,8 @@
 """Run logs and service logs as they arrive, with the rows the batch operators give.
 
 Each micro-batch writes folders of its own and replaces them when it is repeated, so a
-restart adds nothing twice and no state is held between batches but the tables themselves.
+restart adds nothing twice and no state is held between batches but the tables themselves. The folders
+of many batches are merged (``compact``), so their number stays small.
 
 * Run logs are landed first: their lines have a fixed place before an ordered operator
   reads them. A batch then works out the attempts of the runs it has lines of, from all
@@ -15,10 +16,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fleetlens import constants as C
 from fleetlens.operators import runlog
 from fleetlens.sources.logs import number_in_file, order_files, text_lines, with_run
+from fleetlens.streaming.compact import FAN, compact, read_batches
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -35,12 +38,12 @@ def _start(stream: DataFrame, write, checkpoint: str, drain: bool):
 
 
 def write_attempts(
-    stream: DataFrame, out: str, checkpoint: str, run_pattern: str = C.RUN_FILE_PATTERN, drain: bool = True
+    stream: DataFrame, out: str, checkpoint: str, run_pattern: str = C.RUN_FILE_PATTERN, drain: bool = True, fan: int = FAN
 ):
     """Attempts of the runs of each batch, as ``out/attempts/batch=<id>``; read them with ``read_attempts``.
 
     Parsed host lines are kept under ``out/lines``, by the date of the run, and only the dates
-    and runs of a batch are read again. ``drain`` reads what is there and stops.
+    and runs of a batch are read again. ``drain`` reads what is there and stops. Folders of ``fan`` batches are merged.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -50,33 +53,45 @@ def write_attempts(
         dated = parsed.withColumn("run_date", F.coalesce(F.col("run_ts").cast("date").cast("string"), F.lit("none")))
         folder = f"{out}/lines/batch={batch_id}"
         dated.write.mode("overwrite").partitionBy("run_date").parquet(folder)
-        schema = dated.schema.add("batch", "long")
-        lines = spark.read.schema(schema).option("basePath", f"{out}/lines").parquet(f"{out}/lines")
+        schema = StructType([*dated.schema.fields, StructField("batch", LongType())])
+        lines = read_batches(spark, f"{out}/lines", schema)
         touched = lines.where(F.col("batch") == batch_id).select("run_date", "run").distinct()
         whole = lines.where(F.col("batch") <= batch_id).join(touched, ["run_date", "run"], "left_semi")
         found = runlog.host_attempts(order_files(whole, F.col("ts"))).drop("part", "n")
         found.write.mode("overwrite").parquet(f"{out}/attempts/batch={batch_id}")
+        if batch_id % fan == fan - 1:
+            compact(spark, f"{out}/lines", lambda df: df, schema, ("run_date",), fan)
+            compact(spark, f"{out}/attempts", _of_last_batch, fan=fan)
 
     return _start(stream, write, checkpoint, drain)
 
 
 def read_attempts(spark: SparkSession, out: str) -> DataFrame:
     """The attempts of all runs that have arrived: for each run those of its last batch."""
-    found = spark.read.option("basePath", f"{out}/attempts").parquet(f"{out}/attempts")
+    return _of_last_batch(read_batches(spark, f"{out}/attempts")).drop("batch")
+
+
+def _of_last_batch(found: DataFrame) -> DataFrame:
     last = found.groupBy("run").agg(F.max("batch").alias("batch"))
-    return found.join(last, ["run", "batch"]).drop("batch")
+    return found.join(last, ["run", "batch"])
 
 
-def write_level_counts(stream: DataFrame, out: str, checkpoint: str, drain: bool = True):
+def write_level_counts(stream: DataFrame, out: str, checkpoint: str, drain: bool = True, fan: int = FAN):
     """Lines of each batch per file, level and minute, as ``out/batch=<id>``; read them with ``read_level_counts``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = runlog.parse_service_lines(batch.where("line != ''"))
         runlog.level_counts(parsed).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if batch_id % fan == fan - 1:
+            compact(batch.sparkSession, out, _summed, fan=fan)
 
     return _start(stream, write, checkpoint, drain)
 
 
 def read_level_counts(spark: SparkSession, out: str) -> DataFrame:
     """Lines per file, level and minute over all batches; unstamped lines have a null level and minute."""
-    return spark.read.parquet(out).groupBy("file", "level", "minute").agg(F.sum("lines").alias("lines"))
+    return _summed(read_batches(spark, out)).drop("batch")
+
+
+def _summed(found: DataFrame) -> DataFrame:
+    return found.groupBy("file", "level", "minute").agg(F.sum("lines").alias("lines"), F.max("batch").alias("batch"))
