@@ -666,6 +666,18 @@ def skip_existing(spark, sf_dir):
     return select.skip_existing(wanted, done, ["c_custkey"])
 
 
+@query(
+    "skip_existing_filtered",
+    """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS
+    (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT')""",
+)
+def skip_existing_filtered(spark, sf_dir):
+    """Lines of orders that are not urgent; most of them are found absent before any shuffle."""
+    wanted = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("o_orderkey AS l_orderkey")
+    return select.skip_existing(wanted, done, ["l_orderkey"], bloom_bits=select.BLOOM_BITS)
+
+
 @query(
     "total_hosts",
     "SELECT c_nationkey AS inventory, count(*) FILTER (c_acctbal >= 0) AS total FROM customer GROUP BY 1",
