@@ -10,10 +10,10 @@ from fleetlens.operators import inventory as I
 from fleetlens.operators import render, resolve, select, validate
 from fleetlens.plans import samples
 from fleetlens.plans.fleet import fleet_documents, rollout_hosts, services_of
-from fleetlens.plans.registry import query
+from fleetlens.plans.registry import ORACLES, query
 from fleetlens.plans.samples import table
 from fleetlens.sources import inventory as source
-from fleetlens.sources import sinks
+from fleetlens.sources import landed, sinks
 from fleetlens.sources.scratch import scratch_path
 
 WITH = f"WITH {samples.blocks_sql()} "
@@ -195,9 +195,12 @@ def _waiting(key):
 
 
 def _backfill_rows(spark, sf_dir, only_missing):
-    filled = services_of(I.backfill_keys(samples.inventories(spark, sf_dir), NEW_VALUES, only_missing=only_missing))
+    return _key_rows(I.backfill_keys(samples.inventories(spark, sf_dir), NEW_VALUES, only_missing=only_missing))
+
+
+def _key_rows(documents):
     cfg = F.col("cfg")
-    return filled.select(
+    return services_of(documents).select(
         *PLACE.split(", "),
         cfg["FERNET_KEY"].alias("fernet"),
         cfg["WEBSERVER_SECRET_KEY"].alias("secret"),
@@ -217,6 +220,15 @@ def backfill(spark, sf_dir):
     return _backfill_rows(spark, sf_dir, False)
 
 
+@query("backfill_landed", ORACLES["backfill"])
+def backfill_landed(spark, sf_dir):
+    """The same update of landed inventories, in which only buckets with a waiting document are rewritten."""
+    path = scratch_path(spark, "landed")
+    landed.land_documents(samples.inventories(spark, sf_dir), path)
+    landed.backfill_landed(spark, path, NEW_VALUES)
+    return _key_rows(landed.read_documents(spark, path))
+
+
 @query(
     "backfill_only_missing",
     WITH

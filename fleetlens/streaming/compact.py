@@ -9,7 +9,6 @@ compaction that is repeated, or stopped anywhere, leaves a table with the same r
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -17,48 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fleetlens.sources.folders import Folder, newest_manifest, write_manifest
+
 FAN = 8
 #: The newest batches stay as they are: a restart may write the last one again.
 KEPT = 1
 
 
-class _Folder:
-    """A folder on any file system that Spark knows."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._jvm = spark.sparkContext._jvm
-        self._root = self._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, *parts: str):
-        at = self._root
-        for part in parts:
-            at = self._jvm.org.apache.hadoop.fs.Path(at, part)
-        return at
-
-    def names(self, *parts: str) -> list[str]:
-        path = self._path(*parts)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
-
-    def whole(self, *parts: str) -> bool:
-        return self._fs.exists(self._path(*parts, "_SUCCESS"))
-
-    def delete(self, *parts: str) -> None:
-        self._fs.delete(self._path(*parts), True)
-
-
 def _manifest(spark: SparkSession, out: str) -> tuple[int, dict]:
     """The number and content of the newest complete manifest; 0 and no runs without one."""
-    folder = _Folder(spark, out)
-    complete = [n for n in folder.names("manifests") if folder.whole("manifests", n)]
-    if not complete:
-        return 0, {"runs": []}
-    text = spark.read.text(f"{out}/manifests/{complete[-1]}").first()[0]
-    return int(complete[-1]), json.loads(text)
+    number, content = newest_manifest(spark, out)
+    return number, content or {"runs": []}
 
 
 def _batches(spark: SparkSession, out: str, after: int) -> list[int]:
-    folder = _Folder(spark, out)
+    folder = Folder(spark, out)
     ids = (int(n.removeprefix("batch=")) for n in folder.names() if n.startswith("batch="))
     return sorted(i for i in ids if i > after and folder.whole(f"batch={i}"))
 
@@ -89,7 +61,7 @@ def compact(
 ) -> None:
     """Merge full levels of the table under ``out``. ``merge`` must give rows that stand for those it is given, ``batch`` kept."""
     number, manifest = _manifest(spark, out)
-    folder = _Folder(spark, out)
+    folder = Folder(spark, out)
     runs = list(manifest["runs"])
     waiting = _batches(spark, out, _last(runs))
     waiting = waiting[: len(waiting) - KEPT]
@@ -110,15 +82,12 @@ def compact(
         level += 1
     if runs == manifest["runs"]:
         return
-    text = json.dumps({"runs": runs})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifests/{number + 1:012d}")
+    write_manifest(spark, out, number + 1, {"runs": runs})
     # Readers of this manifest or of the one before need neither the batches that the one before
     # had merged, nor runs that neither names.
     for batch in folder.names():
         if batch.startswith("batch=") and int(batch.removeprefix("batch=")) <= _last(manifest["runs"]):
             folder.delete(batch)
-    for name in folder.names("manifests")[:-2]:
-        folder.delete("manifests", name)
     named = {r["folder"] for r in [*manifest["runs"], *runs]}
     for name in folder.names("runs"):
         if name not in named:

@@ -68,7 +68,7 @@ def test_a_compaction_that_stops_changes_nothing(spark, tmp_path, monkeypatch, s
         else:
             for batch in range(7, 14):
                 write(spark, out, batch)
-            monkeypatch.setattr(K._Folder, "delete", broken)
+            monkeypatch.setattr(K.Folder, "delete", broken)
             with pytest.raises(RuntimeError):
                 K.compact(spark, out, summed, fan=3)
             monkeypatch.undo()
