@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions import text as X
 from fleetlens.operators.ordered import with_part
+from fleetlens.sources.folders import Folder
 from fleetlens.sources.growing import open_folder
 from fleetlens.sources.inventory import parse_inventory
 from fleetlens.sources.scratch import scratch_path
 
 HOSTS_PER_INVENTORY = 40
-# Inputs written by ``land``: (name, tables) -> folder. Queries then read them instead of rendering.
-_LANDED: dict[tuple[str, str], str] = {}
 FILE_EVENTS = 1 << 12
 
 # Which service blocks a customer's server has, as SQL conditions over the customer row.
@@ -87,6 +86,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    return table(spark, sf_dir, name) if f"{name}.parquet" in Folder(spark, sf_dir).names() else None
+
+
 def _block_json(service: str) -> Column:
     fields = [F.lit(service).alias("name")]
     for key in keys_of(service):
@@ -123,8 +126,7 @@ def inventory_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landed = _LANDED.get(("inventories", sf_dir))
-    return spark.read.parquet(landed) if landed else parse_inventory(inventory_texts(spark, sf_dir))
+    return _landed(spark, sf_dir, "inventories") or parse_inventory(inventory_texts(spark, sf_dir))
 
 
 def _effective(key: str) -> str:
@@ -172,9 +174,9 @@ def event_lines(spark: SparkSession, sf_dir: str, run: str | None = None) -> Dat
     A run is a day, of any size, unless ``run`` says otherwise (``SHORT_RUN``: a fixed
     number of events).
     """
-    landed = None if run else _LANDED.get(("event_lines", sf_dir))
+    landed = None if run else _landed(spark, sf_dir, "event_lines")
     if landed:
-        return spark.read.parquet(landed)
+        return landed
     events = table(spark, sf_dir, "events")
     day = X.run_id(F.to_date("ts").cast("timestamp_ntz"))
     events = events.withColumn("run", F.expr(run) if run else day)
@@ -240,12 +242,13 @@ def grow_run_files(lines: DataFrame, path: str, share: float) -> None:
     lines.select("run", "n", "line").groupBy("run").applyInPandas(write, "run string").count()
 
 
-def land(spark: SparkSession, sf_dir: str) -> None:
-    """Render the inputs once, so that what is timed afterwards is the library and not their rendering."""
+def land(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Render the inputs of ``sf_dir`` into ``folder``, as tables.
+
+    Queries that are given a folder with these tables beside the driver tables read them and don't render.
+    """
     for name, make in (("inventories", inventories), ("event_lines", event_lines)):
-        path = scratch_path(spark, name)
-        make(spark, sf_dir).write.parquet(path)
-        _LANDED[name, sf_dir] = path
+        make(spark, sf_dir).write.parquet(f"{folder}/{name}.parquet")
 
 
 def run_files(spark: SparkSession, sf_dir: str) -> str:

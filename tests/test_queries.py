@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from fleetlens.plans import samples
 from fleetlens.plans.registry import ORACLES, QUERIES
 
 SF_DIR = Path("/root/testdata/sf0.001")
@@ -39,3 +40,14 @@ def test_query_equals_sql(spark, con, name):
     place = [theirs.index(c) for c in columns]
     expected = sorted(tuple(str(r[i]) for i in place) for r in cursor.fetchall())
     assert sorted(tuple(str(v) for v in r) for r in df.select(*columns).collect()) == expected
+
+
+def test_inputs_landed_beside_the_tables_give_the_same_rows(spark, tmp_path):
+    for file in SF_DIR.glob("*.parquet"):
+        (tmp_path / file.name).symlink_to(file)
+    samples.land(spark, str(SF_DIR), str(tmp_path))
+    for name, landed in (("server_rows", "inventories"), ("level_counts", None), ("parse_run_log", "event_lines")):
+        here, there = (QUERIES[name](spark, str(folder)) for folder in (tmp_path, SF_DIR))
+        assert sorted(map(str, here.collect())) == sorted(map(str, there.collect()))
+        if landed:
+            assert any(f"{landed}.parquet" in f for f in here.inputFiles())
