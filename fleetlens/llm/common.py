@@ -44,6 +44,23 @@ def batch_of(spark: SparkSession, *cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(BATCHES_PER_PARTITION * partitions(spark))).cast("int")
 
 
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` written once with a number of its own on every row, in ``column``.
+
+    Identical rows can be dealt apart by it, and a repeated task deals them as before, since the
+    number is read and not made again.
+    """
+    return stored(rows.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``rows`` has it in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- words and hashes in numpy
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

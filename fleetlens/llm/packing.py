@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import batch_of
-from fleetlens.sources.scratch import stored
+from fleetlens.llm.common import batch_of, free_name, numbered
 
 LENGTH = 2048
 END_ID = 0
@@ -252,9 +251,11 @@ def pack(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
 
     The driver holds the number of pieces of each length (``capacity`` numbers at most), and
     packs lengths; pieces then take the places of their length by rank. Ranks are counted in
-    bounded buckets, so a length that a third of all pieces have is no hot group.
+    buckets by a number written with each piece, so neither a length that a third of all pieces have
+    nor the copies of one piece are a hot group.
     """
-    kept = stored(pieces.withColumn("bucket", batch_of(pieces.sparkSession, "doc_id", "piece")), "pieces")
+    row = free_name(pieces, "row")
+    kept = numbered(pieces, row, "pieces").withColumn("bucket", batch_of(pieces.sparkSession, row))
     by_bucket = kept.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = by_bucket.select(
         "length",
@@ -263,10 +264,10 @@ def pack(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
     )
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(best_two_fit(counts, capacity))
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", F.xxhash64("value"))
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", row)
     ranked = kept.withColumn("rank", F.row_number().over(order) - 1).join(before, ["length", "bucket"])
-    names = [c for c in kept.columns if c != "bucket"]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "bucket")
+    names = [c for c in kept.columns if c not in ("bucket", row)]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
 
     def place(batches):
         for batch in batches:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import components, forest
+from fleetlens.llm.common import components, forest, free_name, numbered
 from fleetlens.operators.skew import salted_join
 from fleetlens.sources.scratch import stored
 
@@ -163,10 +163,11 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS, shingle: int = SHIN
     """``docs`` with exactly one row of each group of ``simhash_groups``: one with the smallest doc_id, null last.
 
     Rows go one by one, by a number written with the input: rows that repeat a doc_id, or
-    have a null one, are rows like any other.
+    have a null one, are rows like any other. The number's column takes a name that ``docs`` does not have.
     """
-    numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash_rows")
-    marked = stored(fingerprints(numbered, shingle, seed, keys=("doc_id", ROW)), "fingerprints")
-    named = _least(marked, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW), radius)
-    others = salted_join(marked, named, ["fp"], [ROW]).filter(F.col(ROW) != F.col(f"least.{ROW}")).select(ROW)
-    return numbered.join(others, ROW, "left_anti").select(*docs.columns)
+    row = free_name(docs, ROW)
+    rows = numbered(docs, row, "simhash_rows")
+    marked = stored(fingerprints(rows, shingle, seed, keys=("doc_id", row)), "fingerprints")
+    named = _least(marked, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row), radius)
+    others = salted_join(marked, named, ["fp"], [row]).filter(F.col(row) != F.col(f"least.{row}")).select(row)
+    return rows.join(others, row, "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import partitions
+from fleetlens.llm.common import numbered, partitions
 from fleetlens.sources.scratch import stored
 
 K = 5
@@ -18,6 +18,8 @@ LEAF = 256
 #: Candidates in a shard and queries in a block, about.
 SHARD_ROWS = 4096
 BLOCK_ROWS = 256
+#: Scores beyond it, on either side, are given as it.
+MOST = 2**63 - 1
 
 
 def finite(vector: Column) -> Column:
@@ -36,7 +38,7 @@ def build_tree(x: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> dict:
         child.append((-1, -1))
         span.append((start, end))
         at = len(low) - 1
-        width = high[at] - low[at]
+        width = high[at].astype(float) - low[at]
         if end - start > leaf and width.any():
             middle = (end - start) // 2
             side = rows[:, int(width.argmax())]
@@ -55,11 +57,13 @@ def search(tree: dict, q: np.ndarray, qids: np.ndarray, known: list[list[int]],
     the start. Nodes are visited best bound first, until the next bound is below the kth score.
     """
     x, ids, child, span = tree["x"], tree["ids"], tree["child"], tree["span"]
-    largest = max(abs(int(tree["low"].min())), abs(int(tree["high"].max()))) * int(np.abs(q).max(initial=0)) * x.shape[1]
-    # Whole numbers below 2^53 are exact in double precision.
-    kind = np.float64 if largest < 2**53 else np.int64
+    largest = _largest(tree["low"], tree["high"]) * _largest(q, q) * x.shape[1]
+    # Whole numbers below 2^53 are exact in double precision, those past 2^63 only as Python's own.
+    kind = np.float64 if largest < 2**53 else np.int64 if largest <= MOST else object
     xs, qs = x.astype(kind), q.astype(kind)
     bounds = np.maximum(qs, 0) @ tree["high"].astype(kind).T + np.minimum(qs, 0) @ tree["low"].astype(kind).T
+    if kind is object:
+        bounds = np.clip(bounds, -MOST, MOST)
     out = []
     for i in range(len(q)):
         best = list(known[i])  # heap of the k best scores seen
@@ -77,6 +81,8 @@ def search(tree: dict, q: np.ndarray, qids: np.ndarray, known: list[list[int]],
                 continue
             s, e = span[at]
             scores = xs[s:e] @ qs[i]
+            if kind is object:
+                scores = np.clip(scores, -MOST, MOST).astype(np.int64)
             rows = np.flatnonzero((ids[s:e] != qids[i]) & (scores >= best[0] if len(best) == k else True))
             if not len(rows):
                 continue
@@ -93,6 +99,10 @@ def search(tree: dict, q: np.ndarray, qids: np.ndarray, known: list[list[int]],
     return out
 
 
+def _largest(low: np.ndarray, high: np.ndarray) -> int:
+    return max(abs(int(low.min(initial=0))), abs(int(high.max(initial=0))))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(flat.flatten(), np.int64).reshape(len(flat), -1)
@@ -102,7 +112,7 @@ def _block(build: bool):
     def run(table: pa.Table) -> pa.Table:
         x, ids = _matrix(table["v"]), np.asarray(table["vec_id"], np.int64)
         # The smallest type that holds the components.
-        x = x.astype(np.min_scalar_type(-int(np.abs(x).max(initial=1)) - 1))
+        x = x.astype(np.min_scalar_type(min(int(x.min()), -int(x.max()) - 1)))
         made = build_tree(x, ids) if build else {"x": x, "ids": ids, "names": np.asarray(table["name"], np.int64)}
         return pa.table(
             {"d": pa.array([x.shape[1]], pa.int32()), "block": table["block"].slice(0, 1), "data": pa.array([pickle.dumps(made)], pa.binary())}
@@ -117,22 +127,25 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", ve
     ``vector`` is an array of whole numbers; rows where it, or the id, is null, or which is
     empty or has null components, take no part. Candidates have the query's length and another id; fewer than
     ``k`` give all. Ties go to the smaller ``vec_id``. Repeated candidate rows all count; a
-    repeated query row counts once. Other columns are not read.
+    repeated query row counts once. Other columns are not read. A score past 64 bits is given, and
+    ranked, as the largest or smallest of 2^63 - 1 and its negative.
 
-    Candidates are spread over shards of bounded size and queries over blocks. Each block
+    Candidates are spread over shards of bounded size, identical rows too, by a number written with
+    them, and queries over blocks. Each block
     first searches one shard; the scores it finds go along to all other shards as the kth
     score to beat.
     """
     valid = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("v"), is_query.alias("is_query"))
     ok = F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull())
     valid = valid.filter(ok).withColumn("d", F.size("v")).withColumn("name", F.xxhash64("vec_id", "v"))
+    valid = numbered(valid, "row", "search_rows")
     sizes = valid.groupBy("d").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("nq"))
     split = sizes.select(
         "d", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"), F.greatest(F.ceil(F.col("nq") / BLOCK_ROWS), F.lit(1)).cast("int").alias("blocks")
     )
     split = stored(split, "search_sizes")
     sized = valid.join(split, "d")
-    spread = F.xxhash64("vec_id", "name")
+    spread = F.xxhash64("row")
     schema = "d int, block int, data binary"
     shards = stored(
         sized.select("d", F.pmod(spread, F.col("shards")).cast("int").alias("block"), "vec_id", "v", "name")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import BATCHES_PER_PARTITION, ascii_lower, partitions
+from fleetlens.llm.common import BATCHES_PER_PARTITION, ascii_lower, numbered, partitions
 
 ALLOW, BLOCK = "allow", "block"
 #: Above every key that begins with a rule's key.
@@ -112,16 +112,17 @@ def judge_urls(
     path and no rule. Repeated pages and null ids stay rows; other columns are not read.
 
     Urls are cut into even ranges of (host key, salt), so a host with a third of all pages
-    spans many ranges. A rule goes to each range its interval meets: the ranges that a host
+    spans many ranges; the salt is a number written with each row, so copies of one row do too. A rule goes to each range its interval meets: the ranges that a host
     fills are bounded by the number of ranges, and only rules on ancestors of a split go to
     several. Each range is one sorted sweep that keeps a stack of active nested rules.
     """
     spark = pages.sparkSession
     ranges = BATCHES_PER_PARTITION * partitions(spark)
-    host, path = host_and_path(F.col(url))
-    urls = pages.select(
-        F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path")
-    ).select("*", host_key(F.col("host")).alias("key"), F.xxhash64("page_id", "url").alias("salt"))
+    rows = numbered(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url")), "row", "urls")
+    host, path = host_and_path(F.col("url"))
+    urls = rows.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("row").alias("salt")).select(
+        "page_id", "url", "host", "path", host_key(F.col("host")).alias("key"), "salt"
+    )
     splits = _splits(urls, ranges)
 
     def place(batches):
