@@ -109,20 +109,35 @@ def host_attempts(parsed: DataFrame) -> DataFrame:
     by piece. An attempt is its last line in a piece, with the time of its first; an attempt
     that goes on into later pieces hands that time over, one row a piece.
     """
+    return join_pieces(piece_attempts(parsed))
+
+
+def piece_attempts(parsed: DataFrame) -> DataFrame:
+    """The attempts of each (run, host) as far as one piece tells: the last line of each in the piece.
+
+    ``nth`` counts the results above it in the piece, ``first`` and ``until`` are the earliest and latest time of
+    its lines there. Depends on nothing outside the piece, so pieces may be worked out as they come.
+    """
     keys = ["run", "host"]
     lines = host_lines(parsed).select(*keys, "part", "n", "ts", "status", "reason")
     piece = Window.partitionBy(*keys, "part").orderBy("n")
-    done = F.col("status").isNotNull()
     local = lines.withColumns(
         {
-            "__a": F.count("status").over(piece.rowsBetween(Window.unboundedPreceding, -1)),
+            "nth": F.count("status").over(piece.rowsBetween(Window.unboundedPreceding, -1)),
             "__last": F.lead(F.lit(1)).over(piece).isNull(),
         }
     )
-    first = F.min("ts").over(Window.partitionBy(*keys, "part", "__a"))
-    ends = local.withColumn("__first", first).where(done | F.col("__last"))
+    attempt = Window.partitionBy(*keys, "part", "nth")
+    spans = local.withColumns({"first": F.min("ts").over(attempt), "until": F.max("ts").over(attempt)})
+    return spans.where(F.col("status").isNotNull() | F.col("__last")).drop("__last")
+
+
+def join_pieces(ends: DataFrame) -> DataFrame:
+    """Attempts from those of all pieces (``piece_attempts``), one that spans pieces being one row."""
+    keys = ["run", "host"]
+    done = F.col("status").isNotNull()
     pieces = ends.groupBy(*keys, "part").agg(
-        F.count("status").alias("__done"), F.min(F.when(~done, F.col("__first"))).alias("__open")
+        F.count("status").alias("__done"), F.min(F.when(~done, F.col("first"))).alias("__open")
     )
     order = Window.partitionBy(*keys).orderBy("part")
     upto, above = (order.rowsBetween(Window.unboundedPreceding, k) for k in (Window.currentRow, -1))
@@ -138,11 +153,11 @@ def host_attempts(parsed: DataFrame) -> DataFrame:
         F.lead(F.lit(1)).over(order).isNull().alias("__tail"),
     )
     found = ends.join(carry, [*keys, "part"]).where(done | F.col("__tail"))
-    started = F.least("__first", F.when(F.col("__a") == 0, F.col("__from")))
+    started = F.least("first", F.when(F.col("nth") == 0, F.col("__from")))
     return (
         found.select(
             *keys,
-            (F.col("__a") + F.col("__before") + 1).alias("attempt"),
+            (F.col("nth") + F.col("__before") + 1).alias("attempt"),
             started.alias("started"),
             F.when(done, F.col("ts")).alias("ended"),
             F.coalesce("status", F.lit("NO_RESULT")).alias("status"),

@@ -316,7 +316,7 @@ def stream_attempts(spark, sf_dir):
     lines = samples.event_lines(spark, sf_dir, samples.SHORT_RUN)
     lines.repartition("run").sortWithinPartitions("run", "n").select("run", "line").write.partitionBy("run").text(files)
     out = scratch_path(spark, "attempts")
-    stream = streaming.stream_lines(spark, files, max_files=8)
+    stream = streaming.stream_lines(spark, files, max_files=samples.files_a_batch(spark, files))
     streaming.write_attempts(stream, out, scratch_path(spark, "progress"), samples.RUN_FOLDER_PATTERN).awaitTermination()
     return streaming.read_attempts(spark, out)
 
@@ -339,8 +339,8 @@ def stream_growing_files(spark, sf_dir):
 @query("stream_attempts_stateful", EVENTS + f"SELECT {ATTEMPT} FROM attempts")
 def stream_attempts_stateful(spark, sf_dir):
     """Attempts of runs that arrive in several files, in batches that cut them."""
-    out = scratch_path(spark, "attempts")
-    stream = streaming.stream_lines(spark, samples.run_files(spark, sf_dir), max_files=8)
+    files, out = samples.run_files(spark, sf_dir), scratch_path(spark, "attempts")
+    stream = streaming.stream_lines(spark, files, max_files=samples.files_a_batch(spark, files))
     streaming.write_attempts(stream, out, scratch_path(spark, "progress"), samples.RUN_FOLDER_PATTERN).awaitTermination()
     return streaming.read_attempts(spark, out)
 

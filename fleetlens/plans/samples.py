@@ -257,6 +257,16 @@ def run_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def files_a_batch(spark: SparkSession, path: str, least: int = 8, batches: int = 32) -> int:
+    """Files that one batch of a stream takes from ``path``: ``least``, and more where those would be over ``batches`` batches.
+
+    A file holds a few thousand lines at any size of the tables; batches of a fixed number of
+    them would cost the start of a few jobs for every 30,000 lines.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
+    return max(least, -(-len(files) // batches))
+
+
 RUN_FOLDER_PATTERN = r"run=(\d{14})"
 
 

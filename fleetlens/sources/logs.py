@@ -57,13 +57,15 @@ def natural_name(name: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(r)), "")
 
 
-def order_files(lines: DataFrame, ts: Column) -> DataFrame:
+def order_files(lines: DataFrame, ts: Column, until: Column | None = None) -> DataFrame:
     """Lines with ``place``, the place of their file in its run, put first in ``part``.
 
     ``lines`` has ``run`` and ``part`` (``file, block``). Files go by their first and last stamp (``ts``), then by
-    name, numbers in names as numbers. A file without a stamp follows the file named before it.
+    name, numbers in names as numbers. A file without a stamp follows the file named before it. Rows that
+    stand for several lines have the time of the earliest in ``ts`` and that of the latest in ``until``.
     """
-    spans = lines.groupBy("run", F.col("part.file").alias("file")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+    last = F.max(ts if until is None else until)
+    spans = lines.groupBy("run", F.col("part.file").alias("file")).agg(F.min(ts).alias("first"), last.alias("last"))
     by_name = Window.partitionBy("run").orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Beside a file's own stamps come those of the last stamped file up to it in the order of names.
     spans = spans.withColumn("name", F.struct(natural_name(F.col("file")), F.col("file")))

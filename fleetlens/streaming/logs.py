@@ -5,9 +5,10 @@ restart adds nothing twice and no state is held between batches but the tables t
 of many batches are merged (``compact``), so their number stays small.
 
 * Run logs are landed first: their lines have a fixed place before an ordered operator
-  reads them. A batch then works out the attempts of the runs it has lines of, from all
-  lines landed so far. A run may come in any number of files, across any time, and
-  ``read_attempts`` gives the rows of the last batch that had the run.
+  reads them. A batch then works out the attempts of its own lines, piece by piece of a file, and reads
+  no lines of other batches, so all batches together read each line once. A run may come in any
+  number of files, across any time: ``read_attempts`` puts the files of a run in order and joins
+  the attempts that go on from piece to piece.
 * Service lines are counted batch by batch; counts of batches add up. Late lines and lines
   without a stamp count like any other.
 """
@@ -40,10 +41,10 @@ def _start(stream: DataFrame, write, checkpoint: str, drain: bool):
 def write_attempts(
     stream: DataFrame, out: str, checkpoint: str, run_pattern: str = C.RUN_FILE_PATTERN, drain: bool = True, fan: int = FAN
 ):
-    """Attempts of the runs of each batch, as ``out/attempts/batch=<id>``; read them with ``read_attempts``.
+    """Attempts in the pieces of each batch, as ``out/attempts/batch=<id>``; read them with ``read_attempts``.
 
-    Parsed host lines are kept under ``out/lines``, by the date of the run, and only the dates
-    and runs of a batch are read again. ``drain`` reads what is there and stops. Folders of ``fan`` batches are merged.
+    Parsed host lines are kept under ``out/lines``, by the date of the run. The work of a batch follows its own
+    lines, however many its runs have had before. ``drain`` reads what is there and stops. Folders of ``fan`` batches are merged.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -53,27 +54,20 @@ def write_attempts(
         dated = parsed.withColumn("run_date", F.coalesce(F.col("run_ts").cast("date").cast("string"), F.lit("none")))
         folder = f"{out}/lines/batch={batch_id}"
         dated.write.mode("overwrite").partitionBy("run_date").parquet(folder)
-        schema = StructType([*dated.schema.fields, StructField("batch", LongType())])
-        lines = read_batches(spark, f"{out}/lines", schema)
-        touched = lines.where(F.col("batch") == batch_id).select("run_date", "run").distinct()
-        whole = lines.where(F.col("batch") <= batch_id).join(touched, ["run_date", "run"], "left_semi")
-        found = runlog.host_attempts(order_files(whole, F.col("ts"))).drop("part", "n")
-        found.write.mode("overwrite").parquet(f"{out}/attempts/batch={batch_id}")
+        landed = spark.read.schema(dated.schema).parquet(folder)
+        runlog.piece_attempts(landed).write.mode("overwrite").parquet(f"{out}/attempts/batch={batch_id}")
         if batch_id % fan == fan - 1:
+            schema = StructType([*dated.schema.fields, StructField("batch", LongType())])
             compact(spark, f"{out}/lines", lambda df: df, schema, ("run_date",), fan)
-            compact(spark, f"{out}/attempts", _of_last_batch, fan=fan)
+            compact(spark, f"{out}/attempts", lambda df: df, fan=fan)
 
     return _start(stream, write, checkpoint, drain)
 
 
 def read_attempts(spark: SparkSession, out: str) -> DataFrame:
-    """The attempts of all runs that have arrived: for each run those of its last batch."""
-    return _of_last_batch(read_batches(spark, f"{out}/attempts")).drop("batch")
-
-
-def _of_last_batch(found: DataFrame) -> DataFrame:
-    last = found.groupBy("run").agg(F.max("batch").alias("batch"))
-    return found.join(last, ["run", "batch"])
+    """The attempts of all runs that have arrived, joined over the pieces of all batches."""
+    found = read_batches(spark, f"{out}/attempts").drop("batch")
+    return runlog.join_pieces(order_files(found, F.col("first"), F.col("until"))).drop("part", "n")
 
 
 def write_level_counts(stream: DataFrame, out: str, checkpoint: str, drain: bool = True, fan: int = FAN):

@@ -3,6 +3,7 @@
 import os
 
 from fleetlens.operators import runlog as R
+from fleetlens.plans import samples
 from fleetlens.sources.logs import land_run_logs, read_service_logs
 from fleetlens.streaming import logs as T
 from tests.test_runlog import RUNS
@@ -64,6 +65,25 @@ def test_runs_in_several_files_equal_the_batch_result(spark, tmp_path):
     assert mine == [("g", "1", "SUCCESS", "546"), ("h", "1", "SUCCESS", "15"), ("h", "2", "FAILED", "0"), ("h", "3", "SUCCESS", "535")]
 
 
+def test_a_batch_works_on_its_own_lines_only(spark, tmp_path):
+    folder, out, progress = (tmp_path / n for n in ("in", "out", "progress"))
+    (folder / "run=02012026235950").mkdir(parents=True)
+    for i, text in enumerate(CUT):
+        (folder / "run=02012026235950" / str(i)).write_text(text)
+        got = drain(spark, folder, out, progress, pattern=PIECES)
+    assert [spark.read.parquet(f"{out}/attempts/batch={i}").count() for i in range(len(CUT))] == [2, 2, 1, 2]
+    assert len(got) == 4
+
+
+def test_batches_grow_with_the_files_that_wait(spark, tmp_path):
+    for count, want in ((3, 2), (12, 3)):
+        folder = tmp_path / str(count)
+        folder.mkdir()
+        for i in range(count):
+            (folder / str(i)).write_text("x\n")
+        assert samples.files_a_batch(spark, str(folder), least=2, batches=4) == want
+
+
 def test_files_of_a_run_go_by_their_stamps(spark, tmp_path):
     """File names say nothing of the order, or count without leading zeros."""
     want = None
