@@ -1,7 +1,8 @@
 """Streams whose state is bounded by event time: attempts per host, and service-log windows.
 
 Both reduce the rows of a task first, so that a host or log with most of the lines is a few
-rows a task, and keep one small value for each open host or window. A timer in event time
+rows a task, and keep one small value for each open host or window; open hosts lie together in buckets,
+as a call of Python for each of them would take most of the time. A timer in event time
 ends what the watermark has passed, and with it the state.
 
 ``transformWithState`` needs the RocksDB state store; the functions set it for the session.
@@ -14,6 +15,7 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Timers stand half a second off the log's whole seconds, so that none meets the watermark.
 HALF_SECOND = 500
+#: Hosts are dealt to so many states. A stream that goes on from a checkpoint needs the number it began with.
+BUCKETS = 1024
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
@@ -86,39 +90,79 @@ _ATTEMPT = ["run", "host", "attempt", "started", "ended", "status", "reason"]
 _ATTEMPT_TYPE = "run string, host string, attempt long, started long, ended long, status string, reason string"
 
 
+#: What is kept of a host: results so far, when the open attempt started (or none), and the last line.
+_OPEN = pa.schema([("run", pa.string()), ("host", pa.string()), ("done", pa.int64()), ("started", pa.int64()), ("last", pa.int64())])
+
+
+def _pack(hosts: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _OPEN, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.Table.from_pandas(hosts, _OPEN, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes | None) -> pd.DataFrame:
+    table = pa.ipc.open_stream(data).read_all() if data else _OPEN.empty_table()
+    types = {pa.int64(): pd.Int64Dtype()}
+    return table.to_pandas(types_mapper=types.get).astype({"run": object, "host": object})
+
+
 class Attempts(StatefulProcessor):
-    """One (run, host): attempts done, and when the open one started. Silent for ``patience``, it is over."""
+    """The open hosts of a bucket, each a (run, host): attempts done, and when the open one started.
+
+    A host that is silent for ``patience`` is over. The hosts of a bucket are worked on together, and one timer
+    stands at the end of the first of them.
+    """
 
     def __init__(self, patience: int):
         self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "done long, started long, last long")
+        self.now = handle.getValueState("now", "hosts binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        done, started, last = self.now.get() if self.now.exists() else (0, None, None)
-        lines = pd.concat(list(rows))
+        lines = pd.concat(list(rows), ignore_index=True)
         lines["ms"] = lines["ts"].astype("datetime64[ms]").astype("int64")
-        out = []
-        for line in lines.sort_values(["ms", "name", "block", "n"]).itertuples():
-            started = line.ms if started is None else started
-            last = line.ms if last is None else max(last, line.ms)
-            if line.status is not None and line.status == line.status:
-                done += 1
-                reason = line.reason if line.reason == line.reason else None
-                out.append((*key, done, started, line.ms, line.status, reason))
-                started = None
+        lines = lines.sort_values(["run", "host", "ms", "name", "block", "n"], ignore_index=True)
+        held = _unpack(bytes(self.now.get()[0]) if self.now.exists() else None)
+        lines = lines.merge(held, on=["run", "host"], how="left", validate="many_to_one")
+        is_result = lines["status"].notna()
+        by_host = lines.groupby(["run", "host"], sort=False)
+        results = is_result.astype("int64").groupby([lines["run"], lines["host"]], sort=False).cumsum()
+        lines["above"] = results - is_result
+        lines["total"] = lines["done"].fillna(0) + results
+        # An attempt began with its first line here, or where it stood open before.
+        began = lines.groupby(["run", "host", "above"], sort=False)["ms"].transform("first").astype("Int64")
+        lines["began"] = lines["started"].where((lines["above"] == 0) & lines["started"].notna(), began)
+        found = lines[is_result]
+        out = pd.DataFrame({"run": found["run"], "host": found["host"], "attempt": found["total"], "started": found["began"]})
+        out = out.assign(ended=found["ms"].astype("Int64"), status=found["status"], reason=found["reason"].astype(object).where(found["reason"].notna(), None))
+        ends = lines.loc[~lines.duplicated(["run", "host"], keep="last"), ["run", "host", "total", "began", "status", "last"]]
+        ends["latest"] = by_host["ms"].max().to_numpy()
+        ends["last"] = ends[["last", "latest"]].max(axis=1)
+        ends["started"] = ends["began"].where(ends["status"].isna())
+        now = ends.rename(columns={"total": "done"})[_OPEN.names]
+        seen = held.merge(now[["run", "host"]], on=["run", "host"], how="left", indicator=True)["_merge"] == "both"
+        self._keep(pd.concat([held[~seen.to_numpy()], now], ignore_index=True))
+        yield out[_ATTEMPT]
+
+    def _keep(self, hosts: pd.DataFrame) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(last) + self.patience + HALF_SECOND)
-        self.now.update((int(done), started, int(last)))
-        yield _frame(out, _ATTEMPT)
+        if hosts.empty:
+            self.now.clear()
+            return
+        self.now.update((_pack(hosts),))
+        self.handle.registerTimer(int(hosts["last"].min()) + self.patience + HALF_SECOND)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done, started, _ = self.now.get()
-        self.now.clear()
-        yield _frame([] if started is None else [(*key, done + 1, started, None, "NO_RESULT", None)], _ATTEMPT)
+        hosts = _unpack(bytes(self.now.get()[0]))
+        over = hosts["last"].astype("int64") + self.patience + HALF_SECOND <= timerValues.getCurrentWatermarkInMs()
+        self._keep(hosts[~over])
+        ended = hosts[over & hosts["started"].notna()]
+        out = pd.DataFrame({"run": ended["run"], "host": ended["host"], "attempt": ended["done"] + 1, "started": ended["started"]})
+        yield out.assign(ended=pd.array([None] * len(out), "Int64"), status="NO_RESULT", reason=None)[_ATTEMPT]
 
     def close(self) -> None:
         pass
@@ -127,7 +171,7 @@ class Attempts(StatefulProcessor):
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     """Rows whose whole numbers may be null and stay whole numbers."""
     frame = pd.DataFrame(rows, columns=columns)
-    for name in ("attempt", "started", "ended", "lines", "minute"):
+    for name in ("lines", "minute"):
         if name in columns:
             frame[name] = pd.array([None if v is None else int(v) for v in frame[name].astype(object).where(frame[name].notna(), None)], "Int64")
     return frame
@@ -148,7 +192,8 @@ def write_ended_attempts(
     lines = runlog.host_lines(runlog.parse_run_lines(with_run(stream, run_pattern), "timestamp"))
     ends = lines.select("run", natural_name(F.col("file")).alias("name"), "block", "host", "status", "reason", "ts")
     ends = ends.where("ts IS NOT NULL").mapInPandas(_ends_of_attempts, _LINE_TYPE).withWatermark("ts", delay)
-    attempts = ends.groupBy("run", "host").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("run", "host"), F.lit(BUCKETS)).cast("int")
+    attempts = ends.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         Attempts(milliseconds(patience)), _ATTEMPT_TYPE, "Append", "eventTime"
     )
 

@@ -52,6 +52,24 @@ def test_ended_attempts(spark, tmp_path):
     assert len(states) >= 12 and max(states) <= 12 * 5 and max(states[-4:]) <= max(states[:4]) + 10
 
 
+def test_open_hosts_share_states(spark, tmp_path, monkeypatch):
+    """Hosts that go on over two batches, many to a bucket: one state a bucket, the rows of the batch operator."""
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    folder, out, progress = (tmp_path / n for n in ("in", "out", "progress"))
+    place = folder / "run=02012026000000"
+    place.mkdir(parents=True)
+    opened = [f"[2026-01-02 10:00:{h % 60:02d}] === h{h} === ensuring remote directory exists" for h in range(200)]
+    ended = [f"[2026-01-02 10:10:{h % 60:02d}] === h{h}: SUCCESS ===" for h in range(0, 200, 2)]
+    for name, lines in (("1", opened), ("2", ended)):
+        (place / name).write_text("\n".join(lines) + "\n")
+        os.utime(place / name, (int(name), int(name)))
+    query = S.write_ended_attempts(T.stream_lines(spark, str(folder), max_files=1), str(out), str(progress), "3 hours", "1 hour", r"run=(\d{14})")
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3 * 4
+    batch = rows(R.host_attempts(land_run_logs(spark, str(folder), str(tmp_path / "landed"), r"run=(\d{14})")), *ATTEMPT)
+    assert rows(S.read_ended_attempts(spark, str(out)), *ATTEMPT) == [r for r in batch if r[5] == "SUCCESS"] and len(batch) == 200
+
+
 def service_file(folder, name, at, *lines):
     (folder / name).write_text("".join(f"[2026-01-02 {t}] [{level}] x\n" if level else f"{t}\n" for t, level in lines))
     os.utime(folder / name, (at, at))
