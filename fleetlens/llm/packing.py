@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from fleetlens.llm.common import batch_of, free_name, numbered
 
 LENGTH = 2048
 END_ID = 0
-#: Distinct words a task remembers the ids of.
-CACHED_WORDS = 400_000
+#: Distinct words a task remembers the ids of: about 50 bytes each.
+CACHED_WORDS = 500_000
+#: Bytes of text that a task cuts into words at once, or one longer text.
+BYTES_AT_ONCE = 1 << 23
 
 
 def crc32_of_ids(ids: np.ndarray) -> int:
@@ -25,115 +29,123 @@ def crc32_of_ids(ids: np.ndarray) -> int:
 
 
 #: Words that are one piece to the tokenizer, and that it does not change: lower-case Latin letters.
-_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_LETTERS = "^[a-zß-öø-ÿ]+$"
 #: The printable characters that byte-level models write bytes as: printable bytes are themselves.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: The bytes of letters beyond ASCII that are printed as another character.
+_CHANGED = [(chr(b), chr(c)) for b, c in _BYTE_LETTERS.items() if b >= 0x80 and b != c]
 
 
 class _Encoder:
     """Token ids of whole texts, each distinct word encoded once.
 
-    For a tokenizer that lower-cases, drops white space and never joins across it, nor a letter
-    with the full stop or comma after it. So words between ASCII white space are
-    encoded alone, in lower case, and a last ``.`` or ``,`` after a letter apart from the rest.
+    For a tokenizer that lower-cases, drops white space and never joins across it, nor a Latin letter
+    with the ASCII punctuation of ``TAIL`` after it. So words between ASCII white space are
+    encoded alone, in lower case, and punctuation that ends a word after a letter apart from the rest.
     Words of plain letters go to the byte-level model itself. Texts with ``<|``, which may
     begin a special token, keep their case. A test compares with the ids of whole texts.
+    Arrow cuts texts into words and numbers the distinct ones; Python sees a word only when it is new.
     """
 
-    TAILS = (b".", b",")
-
-    class _Codes(dict):
-        def __init__(self):
-            self.new: list[bytes] = []
-
-        def __missing__(self, word):
-            self[word] = code = len(self)
-            self.new.append(word)
-            return code
+    #: Without the apostrophe, which begins English endings, and what special tokens are written with.
+    TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+    #: Words with a tail to encode apart.
+    TAILED = f"[A-Za-zß-öø-ÿ][{re.escape(TAIL)}]+$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        whole = self._encode([b" Straps,  \xc3\x89t\xc3\xa9 a.b. x. 7\n"])[0]
-        parts = self._encode([b"straps", b",", b"\xc3\xa9t\xc3\xa9", b"a.b", b".", b"x", b".", b"7"])
-        same = self._letters("straps") == parts[0].tolist() and self._letters("été") == parts[2].tolist()
-        if not same or whole.tolist() != np.concatenate(parts).tolist() or any(len(parts[k]) != 1 for k in (1, 4)):
+        self.model = self.tokenizer.model
+        whole = self._encode([" Straps  Été\ta.b 7\n", *(x + t for x in "Xé" for t in self.TAIL)])
+        alone = self._encode(["straps", "été", "a.b", "7", "x", "é", *self.TAIL])
+        apart = [x + t for x in alone[4:6] for t in alone[6:]]
+        if self._letters([b"straps", "été".encode()]) != alone[:2] or whole != [sum(alone[:4], []), *apart]:
             raise ValueError("a lower-casing byte-level tokenizer that drops white space is needed")
-        self.tails = {b".": parts[4][0], b",": parts[1][0]}
         self._clear()
 
     def _clear(self):
-        self.codes, self.flat = self._Codes(), np.zeros(0, np.uint32)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # A word's code is its place in words; its ids are flat[at : at + size]. The empty word has none.
+        self.words, self.flat = pa.array([""], pa.string()), np.zeros(0, np.uint32)
+        self.at, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, word: str) -> list[int]:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
+    def _letters(self, words: list[bytes]) -> list[list[int]]:
+        printed = b" ".join(words).decode("latin-1")
+        if not printed.isascii():
+            for byte, char in _CHANGED:
+                printed = printed.replace(byte, char)
+        return [[t.id for t in self.model.tokenize(word)] for word in printed.split()]
 
-    def _add(self, codes: list[int], sizes: list[int] | np.ndarray, ids) -> None:
-        sizes = np.asarray(sizes, np.int64)
+    def _add(self, codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.size[codes] = sizes
         self.at[codes] = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, np.asarray(ids, np.uint32)])
-
-    def _learn(self):
-        codes, sizes, flat, others, tailed = [], [], [], [], []
-        for word in self.codes.new:  # grows by words before a tail
-            tail = word[-1:]
-            if tail in self.tails and word[-2:-1].isalpha():
-                tailed.append((self.codes[word], self.codes[word[:-1]], self.tails[tail]))
-                continue
-            text = word.decode("utf-8", "replace")
-            if not _LETTERS(text):
-                text = text.lower() if _LETTERS(text.lower()) and b"<|" not in word else ""
-            if text:
-                ids = self._letters(text)
-                codes.append(self.codes[word])
-                sizes.append(len(ids))
-                flat += ids
-            else:
-                others.append(word)
-        self.codes.new = []
-        more = len(self.codes) - len(self.at)
-        self.at, self.size = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.at, self.size))
-        for word, ids in zip(others, self._encode(others), strict=True):
-            codes.append(self.codes[word])
-            sizes.append(len(ids))
-            flat += ids.tolist()
-        if codes:
-            self._add(codes, sizes, flat)
-        if tailed:
-            code, base, tail = np.array(tailed, np.int64).T
-            size = self.size[base] + 1
-            ends = np.cumsum(size)
-            from_base = np.minimum(np.repeat(self.at[base] - ends + size, size) + np.arange(ends[-1]), len(self.flat) - 1)
-            ids = self.flat[from_base]
-            ids[ends - 1] = tail
-            self._add(code, size, ids)
-
-    def __call__(self, texts: list[bytes | None]):
-        if len(self.codes) > CACHED_WORDS:
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _codes(self, words: pa.Array) -> np.ndarray:
+        """The words' codes; new words get the next ones, as yet without ids."""
+        known, *new = pa.chunked_array([self.words, words]).dictionary_encode().chunks  # an empty chunk goes
+        self.words = known.dictionary  # that of all chunks: the known words stay first
+        more = np.zeros(len(self.words) - len(self.at), np.int64)
+        self.at, self.size = np.concatenate([self.at, more]), np.concatenate([self.size, more])
+        return np.asarray(new[0].indices) if new else np.zeros(0, np.int32)
+
+    def _learn(self, first: int):
+        """Encodes the words from code ``first`` on, and what they consist of if they have tails."""
+        tailed, _ = self._matching(first, self.TAILED)
+        parts = []
+        for word in self._bytes(tailed):
+            base = word.rstrip(self.TAIL.encode())
+            parts += [base, word[len(base) :]]
+        parts = self._codes(pa.array(parts, pa.binary()).view(pa.string()))  # have no tails themselves
+        plain, others = self._matching(first, _LETTERS)
+        others = np.setdiff1d(others, tailed, assume_unique=True)
+        found = self._letters(self._bytes(plain))
+        found += self._encode([w.decode("utf-8", "replace") for w in self._bytes(others)])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(np.concatenate([plain, others]), sizes, np.array([i for ids in found for i in ids], np.uint32))
+        self._add(tailed, self.size[parts].reshape(-1, 2).sum(axis=1), self._ids(parts))
+
+    def _bytes(self, codes: np.ndarray) -> list[bytes]:
+        return self.words.take(pa.array(codes)).view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+    def _matching(self, first: int, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+        """The codes from ``first`` on whose words match, and the others. Bytes that are no UTF-8 match nothing."""
+        found = np.asarray(pc.match_substring_regex(self.words.slice(first), pattern))
+        return first + np.flatnonzero(found), first + np.flatnonzero(~found)
+
+    def _ids(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of the words of these codes, one after another."""
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.at[codes] - ends + size, size) + np.arange(total)]
+
+    def __call__(self, texts: pa.Array | list[bytes | None]) -> Iterator[np.ndarray]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
+        texts = pc.fill_null(texts.cast(pa.binary()).view(pa.string()), "")  # not checked: texts are bytes
+        part = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64) // BYTES_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for start, stop in zip(cuts, cuts[1:]):
+            yield from self._some(texts.slice(start, stop - start))
+
+    def _some(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if len(self.words) > CACHED_WORDS:
             self._clear()
-        coded = []
-        for text in texts:
-            text = text or b""
-            words = (text if b"<|" in text else text.lower()).split()
-            coded.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
-        self._learn()
-        for codes in coded:
-            size = self.size[codes]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(self.at[codes] - ends + size, size) + np.arange(total)
-            yield np.concatenate([self.flat[at], np.array([END_ID], np.uint32)])
+        lower, special = pc.ascii_lower(texts), pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, lower) if special.true_count else lower)
+        bounds, first = np.asarray(lists.offsets).tolist(), len(self.words)
+        codes = self._codes(lists.flatten())
+        del lower, lists
+        self._learn(first)
+        end = np.array([END_ID], np.uint32)
+        for start, stop in zip(bounds, bounds[1:]):
+            yield np.concatenate([self._ids(codes[start:stop]), end])
 
 
 def encode_pieces(
@@ -155,10 +167,11 @@ def encode_pieces(
     def run(batches):
         encoder = _Encoder(tokenizer)
         for whole in batches:
+            found = encoder(whole.column("text"))
             for at in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(at, rows_at_once)
                 rows, piece, start, size, out = [], [], [], [], []
-                for i, ids in enumerate(encoder(batch.column("text").to_pylist())):
+                for i, ids in enumerate(islice(found, batch.num_rows)):
                     for k, s in enumerate(range(0, len(ids), length)):
                         part = ids[s : s + length]
                         rows.append(i)

@@ -231,6 +231,35 @@ def test_encoder_matches_the_tokenizer_on_odd_words():
         assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_encoder_matches_the_tokenizer_over_many_batches_of_words(monkeypatch):
+    monkeypatch.setattr(packing, "BYTES_AT_ONCE", 400)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 300)
+    rng = random.Random(4)
+    pool = [*"abXé\u00c9\u0130\u03a3\u0301.,.!?;:'\"()[]<|>-$#_/29 \t\n\x0b\x1c\x85\xa0\u3000\u6771\0", "<|endoftext|>", "'s", "été!?", "straps***", "'LL"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += [None, "", " \n ", "été. " * 300]
+    encoder = packing._Encoder(tokenizer_path())
+    found = list(encoder([t if t is None else t.encode() for t in texts]))
+    assert [ids.tolist() for ids in found] == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    raw = [b"\xff\xc3\xa9. a\xc3 \xe2\x82. b\xc3, ", b"\xc3\xa9\xc3\xa9!"]
+    whole = [encoder.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in raw]
+    assert [ids.tolist() for ids in encoder(raw)] == [[*ids, 0] for ids in whole]
+    assert list(encoder([])) == []
+
+
+def test_encoder_sends_each_word_once_and_its_tail_apart(monkeypatch):
+    encoder, sent = packing._Encoder(tokenizer_path()), []
+    for name in ("_encode", "_letters"):
+        real = getattr(encoder, name)
+        # One argument or many: a list of words, or a word.
+        monkeypatch.setattr(encoder, name, lambda x, real=real: sent.extend([x] if isinstance(x, str) else [w if isinstance(w, str) else w.decode() for w in x]) or real(x))
+    texts = [b"Caf\xc3\xa9! caf\xc3\xa9. caf\xc3\xa9 x***", b"CAF\xc3\xa9 x x, 7", b"caf\xc3\xa9!"]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder(texts)):
+            assert ids.tolist() == [*encoder.tokenizer.encode(text.decode(), add_special_tokens=False).ids, 0]
+    assert sorted(sent) == sorted(["café", "x", "!", ".", "***", ",", "7"])
+
+
 def test_best_two_fit_replaces_the_smallest():
     # Greedy: 6 + 3, a gap of 1. Without the 3 a gap of 4 takes 2 + 2.
     assert packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10) == [([6, 2, 2], 1), ([3], 1)]
